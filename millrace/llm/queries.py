@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .data import read
 from .jaccard import similar_documents
+from .quality import MIN_DOCS, MIN_WORDS, LEFT_PERCENT, ONE_IN, quality
+from .winnow import contamination
 
 #: A-Z to a-z in SQL, other letters as they are.
 SQL_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -39,9 +41,80 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS
 """
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+SQL_OP8 = rf"""
+WITH t AS (
+  SELECT doc_id, list_filter(string_split_regex({SQL_LOWER.format("coalesce(text, '')")}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents
+), b AS (
+  SELECT item_id, list_filter(string_split_regex({SQL_LOWER.format("coalesce(text, '')")}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM benchmark
+), bw AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS k, array_to_string(w[i:i+least(len(w), 13)-1], ' ') AS s
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 11, 2))) AS i FROM b WHERE len(w) > 0)
+), k AS (SELECT DISTINCT k FROM bw),
+dw AS (
+  SELECT doc_id, k, i, array_to_string(w[i:i+k-1], ' ') AS s
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM t, k WHERE len(w) >= k)
+), h AS (SELECT doc_id, item_id, i, k FROM dw JOIN bw USING (k, s)),
+p AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM h) GROUP BY doc_id),
+m AS (
+  SELECT doc_id, count(*) AS n_items, sha256(string_agg(x, ',' ORDER BY x)) AS items_sha256
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM h) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM t LEFT JOIN p USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(read(spark, sf_dir, "documents"))
+
+
+SQL_OP2 = rf"""
+WITH t AS (
+  SELECT doc_id, coalesce('h' || source, '') AS host, coalesce(text, '') AS t,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents
+), g AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i+1], w[i+2]) AS c
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM t WHERE len(w) >= 3)
+), r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM g WHERE c >= 2) GROUP BY doc_id),
+x AS (
+  SELECT doc_id, host, trim(regexp_replace({SQL_LOWER.format("l")}, '[\x20\x09-\x0D]+', ' ', 'g')) AS l
+  FROM (SELECT doc_id, host, unnest(l) AS l FROM t)
+), o AS (
+  SELECT host, l FROM (SELECT host, l, count(DISTINCT doc_id) AS n FROM x GROUP BY host, l) JOIN (SELECT host, count(DISTINCT doc_id) AS docs FROM t GROUP BY host) USING (host)
+  WHERE n >= {MIN_DOCS} AND n * {ONE_IN} >= docs
+), b AS (SELECT doc_id, sum(len(string_split(l, ' '))) AS n FROM x JOIN o USING (host, l) GROUP BY doc_id),
+c AS (
+  SELECT t.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+         coalesce(r.n, 0)::BIGINT AS n_repeat_words, coalesce(b.n, 0)::BIGINT AS n_boilerplate_words
+  FROM t LEFT JOIN r USING (doc_id) LEFT JOIN b USING (doc_id)
+), d AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
+SELECT *, NOT base_failed AND n_words - n_boilerplate_words >= {MIN_WORDS} AND 100 * (n_words - n_boilerplate_words) >= {LEFT_PERCENT} * n_words AS kept
+FROM d
+"""
+
+
+#: Name, query, SQL or None.
+ALL = [
+    ("op2_quality_rules", op2_quality_rules, SQL_OP2),
+    ("op6_ngram_jaccard_join", op6_ngram_jaccard_join, SQL_OP6),
+    ("op8_benchmark_decontamination", op8_benchmark_decontamination, SQL_OP8),
+]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_ngram_jaccard_join": op6_ngram_jaccard_join}
+    return {name: query for name, query, _ in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_ngram_jaccard_join": SQL_OP6}
+    return {name: sql for name, _, sql in ALL if sql}

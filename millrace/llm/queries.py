@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .data import read
 from .jaccard import similar_documents
 from .quality import MIN_DOCS, MIN_WORDS, LEFT_PERCENT, ONE_IN, quality
+from .secrets import RULES, digest, findings
 from .winnow import contamination
 
 #: A-Z to a-z in SQL, other letters as they are.
@@ -104,11 +105,43 @@ FROM d
 """
 
 
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = findings(read(spark, sf_dir, "documents"))
+    return digest(found)
+
+
+def _sql_op9() -> str:
+    one = r"""
+  SELECT doc_id, {i} AS rule, '{kind}' AS kind, list_sum(list_transform(g[1:j], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:j-1], lambda x: length(x))), 0) AS a, m[j] AS s
+  FROM (SELECT doc_id, m, g, unnest(range(1, len(m) + 1)) AS j
+        FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS g FROM t))
+  """
+    keep = r"CASE {} END"
+    parts = " UNION ALL ".join(one.format(i=i, kind=r.kind, pattern=r.pattern.replace("'", "''")) for i, r in enumerate(RULES))
+    whens = " ".join(f"WHEN rule = {i} THEN length(regexp_extract(s, '{r.pattern.replace(chr(39), chr(39) * 2)}', {r.group})) >= {r.least}" for i, r in enumerate(RULES))
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS (SELECT *, (a + length(s))::BIGINT AS b FROM ({parts}) WHERE {keep.format(whens)}),
+x AS (
+  SELECT doc_id, count(*) FILTER (rule = 0) AS n_assign, count(*) FILTER (rule = 1) AS n_access, count(*) FILTER (rule = 2) AS n_hex,
+         sha256(coalesce(string_agg(kind || ':' || a::BIGINT || ':' || b, ',' ORDER BY a, rule) FILTER (rule < 3), '')) AS base_sha256,
+         string_agg(kind || ':' || a::BIGINT || ':' || b, ',' ORDER BY a, rule) AS spans
+  FROM f GROUP BY doc_id
+)
+SELECT t.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+       coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN x USING (doc_id)
+"""
+
+
+SQL_OP9 = _sql_op9()
+
 #: Name, query, SQL or None.
 ALL = [
     ("op2_quality_rules", op2_quality_rules, SQL_OP2),
     ("op6_ngram_jaccard_join", op6_ngram_jaccard_join, SQL_OP6),
     ("op8_benchmark_decontamination", op8_benchmark_decontamination, SQL_OP8),
+    ("op9_secret_scans", op9_secret_scans, SQL_OP9),
 ]
 
 

@@ -26,9 +26,13 @@ from .rtree import RTree, needed
 from .scratch import Scratch
 
 #: Cells of the table of shingle counts that orders shingles by rarity, and how it is cut for adding up.
-CELLS, PARTS, SALTS = 1 << 20, 64, 32
+CELLS, PARTS, SALTS = 1 << 23, 64, 32
+#: Shingles counted at a time.
+COUNTED = 1 << 21
 #: Coordinates of a point.
-GROUPS = 32
+GROUPS = 128
+#: Rounds of comparing each document with the smallest one that it shares a prefix shingle with.
+ROUNDS = 2
 #: Rows of one shingle that one search holds; a shingle with more is dealt over several.
 INDEX_ROWS = 4096
 #: Rows of one search task.
@@ -46,36 +50,46 @@ def _sets(batch: pa.RecordBatch, text: str, k: int) -> Iterator[np.ndarray]:
 def shingle_counts(docs: DataFrame, text: str, k: int) -> np.ndarray:
     """Counts of all shingles of all documents in ``CELLS`` hashed cells.
 
-    Each task counts its own texts; the tables are added up in two steps, so that no task adds more
-    than one in ``SALTS`` of them. The result has a fixed size of 4 MB.
+    Each task counts its own texts, up to 255 a cell; the tables are added up in two steps, so that no task
+    adds more than one in ``SALTS`` of them. The result has a fixed size of 16 MB. Counts only order the shingles:
+    results do not depend on them.
     """
     width = CELLS // PARTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, salt = np.zeros(CELLS, np.int64), 0
+        total, held, salt = np.zeros(CELLS, np.uint8), [], 0
+
+        def put() -> None:
+            cell, n = np.unique(np.concatenate(held), return_counts=True)
+            total[cell] = np.minimum(total[cell] + n, 255)
+            held.clear()
+
         for batch in W.slices(batches, text):
             runs, _ = W.shingles(W.words(batch[text], W.NOT_SPACE), k)
             salt = (salt + int(runs[:1].sum())) % SALTS
-            total += np.bincount((runs & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-        cells = np.minimum(total, 65535).astype(np.uint16)
-        if total.any():
+            held.append((runs & np.uint64(CELLS - 1)).astype(np.uint32))
+            if sum(map(len, held)) >= COUNTED:
+                put()
+        if held:
+            put()
             yield pa.RecordBatch.from_pydict(
-                {"part": np.arange(PARTS, dtype=np.int32), "salt": np.full(PARTS, salt, np.int32), "cells": [c.tobytes() for c in cells.reshape(PARTS, width)], "wide": np.zeros(PARTS, bool)}
+                {"part": np.arange(PARTS, dtype=np.int32), "salt": np.full(PARTS, salt, np.int32), "cells": [c.tobytes() for c in total.reshape(PARTS, width)], "wide": np.zeros(PARTS, bool)}
             )
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
         total = np.zeros(width, np.uint32)
         for cells, wide in zip(table["cells"], table["wide"]):
-            total += np.frombuffer(cells.as_py(), np.uint32 if wide.as_py() else np.uint16)
+            total += np.frombuffer(cells.as_py(), np.uint16 if wide.as_py() else np.uint8)
+        total = np.minimum(total, 65535).astype(np.uint16)
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "salt": pa.array([0], pa.int32()), "cells": [total.tobytes()], "wide": [True]})
 
     schema = "part int, salt int, cells binary, wide boolean"
     tables = docs.select(text).mapInArrow(count, schema)
     for keys in (("part", "salt"), ("part",)):
         tables = tables.groupBy(*keys).applyInArrow(add, schema)
-    out = np.zeros((PARTS, width), np.uint32)
+    out = np.zeros((PARTS, width), np.uint16)
     for row in tables.select("part", "cells").collect():
-        out[row.part] = np.frombuffer(row.cells, np.uint32)
+        out[row.part] = np.frombuffer(row.cells, np.uint16)
     return out.ravel()
 
 
@@ -125,6 +139,9 @@ def _search(percent: int):
                 for x in range(i, j):
                     found = lo + tree.search(p["point"][x], p["n"][x], percent)
                     found = found[q["c"][found] != p["c"][x]]
+                    # If this is the first shingle that both have, what follows it must suffice.
+                    left = np.minimum(q["n"][found] - q["pos"][found], p["n"][x] - p["pos"][x])
+                    found = found[left >= needed(q["n"][found], p["n"][x], percent)]
                     a.append(np.full(len(found), p["id"][x]))
                     b.append(q["id"][found])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
@@ -136,7 +153,7 @@ def _search(percent: int):
 
 def _columns(table: pa.Table) -> dict[str, np.ndarray]:
     table = table.sort_by("s")
-    out = {k: table[k].to_numpy() for k in ("s", "id", "n", "c")}
+    out = {k: table[k].to_numpy() for k in ("s", "id", "n", "c", "pos")}
     return out | {"point": np.asarray(table["point"].combine_chunks().flatten()).reshape(-1, GROUPS)}
 
 
@@ -214,6 +231,7 @@ def _similar_repeated(docs: DataFrame, key: str, k: int, percent: int, scratch:
 
 
 def _similar(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    spark = docs.sparkSession
     counts = shingle_counts(docs, "text", k)
     signed = scratch.table(signatures(docs, "id", "text", k, percent, counts), "signed")
     classes = scratch.table(signed.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep")), "classes")
@@ -222,7 +240,7 @@ def _similar(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFra
     scratch.drop(signed)
 
     # Rows of shingles that two sets or more have in their prefixes, with the smallest of these sets.
-    rows = reps.select(F.explode("prefix").alias("s"), "id").repartition("s")
+    rows = reps.select(F.posexplode("prefix").alias("pos", "s"), "id").repartition("s")
     shared = rows.groupBy("s").agg(F.count("*").alias("rows"), F.min("id").alias("leader")).where("rows > 1")
     rows = scratch.table(rows.join(shared, "s"), "rows")
     points = reps.select("id", "n", "point")
@@ -232,28 +250,35 @@ def _similar(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFra
         low = F.aggregate(F.zip_with("p_a", "p_b", lambda u, v: F.least(u, v)), F.lit(0), lambda t, v: t + v)
         return pairs.join(x, "a").join(y, "b").where(low * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
-    first = rows.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    first = scratch.table(bounded(first), "first")
-    links = verify(first, docs, "id", "text", k, percent, scratch)
-    label = scratch.table(components(links, "a", "b", scratch), "label")
+    def labelled(label: DataFrame) -> DataFrame:
+        """Shingle rows with their component, and whether it is another one than the leader's."""
+        out = rows.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
+        lead = label.select(F.col("node").alias("leader"), F.col("component").alias("lead"))
+        return out.join(lead, "leader", "left").withColumn("apart", F.col("c") != F.coalesce("lead", "leader"))
+
+    tried = links = spark.createDataFrame([], "a bigint, b bigint")
+    label = spark.createDataFrame([], "node bigint, component bigint")
+    for _ in range(ROUNDS):
+        nearest = labelled(label).where("apart").groupBy("id").agg(F.min("leader").alias("a"))
+        pairs = scratch.table(bounded(nearest.select("a", F.col("id").alias("b"))).join(tried, ["a", "b"], "left_anti"), "pairs")
+        links = links.union(verify(pairs, docs, "id", "text", k, percent, scratch))
+        tried = tried.union(pairs)
+        label = scratch.table(components(links, "a", "b", scratch), "label")
 
     # Shingles whose rows are not all connected: search what is apart from the leader among all of them.
-    rows = rows.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
-    lead = label.select(F.col("node").alias("leader"), F.col("component").alias("lead"))
-    rows = rows.join(lead, "leader", "left").withColumn("apart", F.col("c") != F.coalesce("lead", "leader"))
-    rows = scratch.table(rows.select("s", "id", "c", "apart", "rows"), "labelled")
-    open_ = rows.where("apart").groupBy("s").agg(F.count("*").alias("n_apart"))
-    rows = rows.join(open_, "s").join(points, "id")
-    rows = rows.withColumn("salts", F.ceil(F.col("rows") / INDEX_ROWS).cast("int"))
-    rows = scratch.table(rows.select("s", "id", "c", "n", "point", "apart", "salts"), "open")
-    tasks = max(1, rows.count() // TASK_ROWS)
+    found = scratch.table(labelled(label).select("s", "id", "pos", "c", "apart", "rows"), "labelled")
+    open_ = found.where("apart").groupBy("s").agg(F.count("*").alias("n_apart"))
+    found = found.join(open_, "s").join(points, "id").withColumn("salts", F.ceil(F.col("rows") / INDEX_ROWS).cast("int"))
+    found = scratch.table(found.select("s", "id", "pos", "c", "n", "point", "apart", "salts"), "open")
+    tasks = max(1, found.count() // TASK_ROWS)
     task = F.pmod(F.xxhash64("s", "salt"), F.lit(tasks)).alias("task")
-    index = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).select(task, "s", "id", "c", "n", "point")
-    probes = rows.where("apart").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(task, "s", "id", "c", "n", "point")
-    second = probes.groupBy("task").cogroup(index.groupBy("task")).applyInArrow(_search(percent), "a bigint, b bigint").distinct()
-    second = scratch.table(second.join(first, ["a", "b"], "left_anti"), "second")
-    more = verify(second, docs, "id", "text", k, percent, scratch)
-    label = scratch.table(components(links.union(more), "a", "b", scratch), "label")
+    columns = [task, "s", "id", "pos", "c", "n", "point"]
+    index = found.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).select(columns)
+    probes = found.where("apart").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(columns)
+    pairs = probes.groupBy("task").cogroup(index.groupBy("task")).applyInArrow(_search(percent), "a bigint, b bigint").distinct()
+    pairs = scratch.table(pairs.join(tried, ["a", "b"], "left_anti"), "searched")
+    links = links.union(verify(pairs, docs, "id", "text", k, percent, scratch))
+    label = scratch.table(components(links, "a", "b", scratch), "label")
 
     whole = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("low"))
     out = sized.join(whole, ["h1", "h2", "n"], "left")

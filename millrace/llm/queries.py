@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import idfile
 from .data import read
 from .jaccard import similar_documents
+from .packing import pack
 from .quality import MIN_DOCS, MIN_WORDS, LEFT_PERCENT, ONE_IN, quality
+from .scratch import Scratch
 from .secrets import RULES, digest, findings
 from .winnow import contamination
 
@@ -16,6 +19,23 @@ from .winnow import contamination
 SQL_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def tokenizer(name: str) -> str:
+    """Place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), with_ids=False)
+
+
+def op10_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, folder = tokenizer("word_bpe_49k.json"), Scratch(spark, "token-ids").base
+    manifest = idfile.write(read(spark, sf_dir, "documents"), path, folder)
+    return idfile.read(manifest, folder, path, with_ids=False)
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(read(spark, sf_dir, "documents"))
 
@@ -138,10 +158,12 @@ SQL_OP9 = _sql_op9()
 
 #: Name, query, SQL or None.
 ALL = [
+    ("op1_packing", op1_packing, None),
     ("op2_quality_rules", op2_quality_rules, SQL_OP2),
     ("op6_ngram_jaccard_join", op6_ngram_jaccard_join, SQL_OP6),
     ("op8_benchmark_decontamination", op8_benchmark_decontamination, SQL_OP8),
     ("op9_secret_scans", op9_secret_scans, SQL_OP9),
+    ("op10_token_id_files", op10_token_id_files, None),
 ]
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +28,10 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
+        # Workers of a session that was started elsewhere find this package too; on a cluster --py-files ships it.
+        root = str(Path(__file__).resolve().parents[2])
+        if root not in (known := spark.sparkContext.environment.get("PYTHONPATH", "")).split(":"):
+            spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{known}".rstrip(":")
         self.base = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         self.made = 0
 

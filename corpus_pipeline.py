@@ -7,19 +7,54 @@ from pyspark.sql import functions as F
 
 from millrace.llm.data import read
 from millrace.llm.jaccard import similar_documents
+from millrace.llm.lines import dedup_lines
+from millrace.llm.packing import pack
+from millrace.llm.queries import tokenizer
 from millrace.llm.scratch import Scratch
+from millrace.llm.toxicity import THRESHOLD, fit_on, score
+from millrace.llm.winnow import contamination
 
 #: Columns of ``documents``.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labels of ``docs``, scores below its threshold."""
+    model = fit_on(docs, read(spark, sf_dir, "labels"))
+    rejected = score(docs, model).where(F.col("score") >= THRESHOLD).select("doc_id")
+    return docs.join(rejected, "doc_id", "left_anti").select(COLUMNS)
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without lines similar to an earlier one. What has no words left by that is gone; empty texts stay."""
+    left = dedup_lines(docs).where(~F.coalesce("emptied", F.lit(False)))
+    return left.withColumn("n_chars", F.length("text").cast("bigint")).select(COLUMNS)
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each group of near duplicates."""
     kept = similar_documents(docs).where("component_id = doc_id").select("doc_id")
     return docs.join(kept, "doc_id", "left_semi").select(COLUMNS)
 
 
-STAGES = [("n-gram Jaccard join", one_of_each_group)]
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by benchmark items."""
+    found = contamination(docs, read(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
+    return docs.join(found, "doc_id", "left_anti").select(COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 1024 tokens."""
+    return pack(docs, tokenizer("byte_bpe_50k.json"), with_ids=False)
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("line dedup", without_repeated_lines),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("benchmark decontamination", without_benchmark),
+    ("packing", packed),
+]
 
 #: The stages train, draw up packing patterns and follow links, which SQL does not express.
 ORACLE_SQL = None

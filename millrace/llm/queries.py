@@ -5,14 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import idfile
+from . import idfile, warc
 from .data import read
 from .jaccard import similar_documents
+from .lines import dedup_lines
 from .packing import pack
 from .quality import MIN_DOCS, MIN_WORDS, LEFT_PERCENT, ONE_IN, quality
 from .scratch import Scratch
 from .secrets import RULES, digest, findings
+from .toxicity import toxicity
+from .urls import filter_urls
 from .winnow import contamination
 
 #: A-Z to a-z in SQL, other letters as they are.
@@ -36,6 +40,49 @@ def op10_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfile.read(manifest, folder, path, with_ids=False)
 
 
+def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.derive(warc.responses(read(spark, sf_dir, "pages")))
+    return made.withColumn("block", F.decode("block", "UTF-8"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "emptied", "text")
+
+
+SQL_OP4 = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+t AS (
+  SELECT doc_id, l, lines[l + 1] AS line, list_distinct(list_filter(string_split_regex(lower(lines[l + 1]), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS w
+  FROM (SELECT doc_id, lines, unnest(range(0, len(lines))) AS l FROM d)
+), c AS (
+  SELECT w, min(doc_id * 1000000 + l) AS p FROM (SELECT doc_id, l, list_sort(w) AS w FROM t WHERE len(w) > 0) GROUP BY w
+), f AS (SELECT s, count(*) AS n FROM (SELECT unnest(w) AS s FROM c) GROUP BY s),
+o AS (SELECT p, list(s ORDER BY f.n, s) AS w FROM (SELECT p, unnest(w) AS s FROM c) JOIN f USING (s) GROUP BY p),
+x AS (SELECT p, w, unnest(w[1:len(w) - CAST(ceil(len(w) * 80 / 100.0) AS BIGINT) + 1]) AS s FROM o),
+q AS (SELECT DISTINCT a.p AS a, b.p AS b FROM x a JOIN x b ON a.s = b.s AND b.p < a.p AND 100 * least(len(a.w), len(b.w)) >= 80 * greatest(len(a.w), len(b.w))),
+r AS (
+  SELECT DISTINCT a FROM (SELECT a, u.w AS u, v.w AS v, len(list_intersect(u.w, v.w)) AS i FROM q JOIN o u ON u.p = a JOIN o v ON v.p = b)
+  WHERE 100 * i >= 80 * (len(u) + len(v) - i)
+), k AS (SELECT p FROM c WHERE p NOT IN (SELECT a FROM r)),
+g AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (len(w) > 0 AND p IS NULL) AS n_removed, count(*) FILTER (len(w) > 0 AND p IS NOT NULL) AS n_left,
+         string_agg(line, chr(10) ORDER BY l) FILTER (len(w) = 0 OR p IS NOT NULL) AS left_text
+  FROM t LEFT JOIN k ON p = doc_id * 1000000 + l GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_removed > 0 AND n_left = 0, FALSE) AS emptied,
+       CASE WHEN d.text IS NOT NULL THEN coalesce(left_text, '') END AS text
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(read(spark, sf_dir, "pages"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(read(spark, sf_dir, "documents"))
 
@@ -160,7 +207,11 @@ SQL_OP9 = _sql_op9()
 ALL = [
     ("op1_packing", op1_packing, None),
     ("op2_quality_rules", op2_quality_rules, SQL_OP2),
+    ("op3_warc_derivatives", op3_warc_derivatives, None),
+    ("op4_line_dedup", op4_line_dedup, SQL_OP4),
+    ("op5_toxicity", op5_toxicity, None),
     ("op6_ngram_jaccard_join", op6_ngram_jaccard_join, SQL_OP6),
+    ("op7_url_filters", op7_url_filters, None),
     ("op8_benchmark_decontamination", op8_benchmark_decontamination, SQL_OP8),
     ("op9_secret_scans", op9_secret_scans, SQL_OP9),
     ("op10_token_id_files", op10_token_id_files, None),

@@ -18,7 +18,7 @@ from . import words as W
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Cells of the hashed n-grams, and lengths of these.
-CELLS, GRAMS = 1 << 14, (3, 4, 5)
+CELLS, GRAMS = 1 << 18, (3, 4, 5)
 #: Rows of the labelled table, at most.
 MAX_LABELLED = 10_000
 ROUNDS, RATE, RIDGE = 400, 2.0, 1e-3
@@ -45,7 +45,7 @@ def default_labelled() -> list[tuple[str, int]]:
     for label, terms in ((1, UNWANTED), (0, WANTED)):
         for i, term in enumerate(terms):
             other = terms[(i * 7 + 3) % len(terms)]
-            top = ("com", "net", "org")[i % 3]
+            top, i = ("com", "net", "org")[i % 3], i % 12  # paths say nothing about the label
             out += [
                 (f"https://www.{term}.example.{top}/{('en', 'fr', 'de', 'es')[i % 4]}/{1000 + 37 * i}", label),
                 (f"http://{term}-{other}.example.{top}/{('fr', 'de', 'es', 'en')[i % 4]}/{200 + 91 * i}.html", label),

@@ -277,7 +277,8 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", si
                 names=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"],
             )
 
-    both = encoded.select("row", "id", "ids").join(ranked, "row").select("id", "ids", "rank", "first")
+    # Ids and ranks meet by a shuffle at every size; ranks are as many as documents, and so no table to broadcast.
+    both = encoded.select("row", "id", "ids").join(ranked.hint("merge"), "row").select("id", "ids", "rank", "first")
     pieces = both.mapInArrow(cut, f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary")
     pieces = pieces.withColumnRenamed("id", key)
     return pieces if with_ids else pieces.drop("ids")

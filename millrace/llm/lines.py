@@ -5,9 +5,9 @@ by rarity; two similar sets share a token among their rarest ones (prefix filter
 there must be close in size (length filter), and what follows the shared token must suffice for the
 overlap (positional filter). What survives is verified on the whole sets.
 
-Every class is first compared with the earliest class of each prefix token; only classes that are
-similar to none of these are joined with all earlier ones. So a large group of variants of one line
-costs a few comparisons a line, and no pairs within the group.
+A token of up to ``HOT`` prefixes lets all of these meet. Beyond that, every class first meets the earliest
+class of the token alone; only those that are not similar to it meet all earlier ones. So a large group of
+variants of one line costs a few comparisons a line, and no pairs within the group.
 
 Everything is DataFrame functions. The driver holds two tables of fixed size: a byte per cell of
 hashed tokens, and a byte per cell of hashed line positions.
@@ -15,8 +15,6 @@ hashed tokens, and a byte per cell of hashed line positions.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,18 +22,30 @@ from .scratch import Scratch
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: Hash cells in which tokens are counted, for their order alone. One byte each.
-CELLS, CELL_ROWS = 1 << 20, 1 << 14
+CELLS, CELL_ROWS = 1 << 18, 1 << 14
 #: Hash cells that say which lines are verified. One byte each.
 MAP_CELLS, MAP_ROWS = 1 << 21, 1 << 15
-#: A class: the place of its first line, as document, version of its text and number of the line.
+#: Prefixes of one token that all meet one another.
+HOT = 1024
+#: A line: its document, the version of the document's text, and its number there.
 PLACE = ["o", "v", "l"]
+#: Size of a set and position in it, in one number.
+POS = 31
 
 _BITS = [bytes((x >> k) & 1 for k in range(8)) for x in range(256)]
 
 
-def tokens(line: Column) -> Column:
-    """The set of a line's lower-cased words."""
-    return F.array_distinct(F.array_remove(F.split(F.lower(line), SPACE), ""))
+def words(text: Column) -> Column:
+    """Lower-cased words."""
+    return F.array_remove(F.split(F.lower(text), SPACE), "")
+
+
+def hashes(line: Column) -> Column:
+    return F.transform(words(line), lambda w: F.xxhash64(w))
+
+
+def _cell(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(CELLS - 1)).cast("int")
 
 
 def rarity(docs: DataFrame) -> bytes:
@@ -43,8 +53,8 @@ def rarity(docs: DataFrame) -> bytes:
 
     1 stands for one occurrence at most: such a word is in no other line.
     """
-    word = docs.select(F.explode(F.array_remove(F.split(F.lower("text"), SPACE), "")).alias("w"))
-    counts = word.groupBy(F.pmod(F.xxhash64("w"), F.lit(CELLS)).alias("cell")).count()
+    word = docs.select(F.explode(words(F.col("text"))).alias("w")).select(_cell(F.xxhash64("w")).alias("cell"))
+    counts = word.groupBy("cell").count()
     level = F.least(F.lit(126), F.when(F.col("count") < 2, 1).otherwise(F.floor(4 * F.log2("count"))))
     part = counts.groupBy(F.floor(F.col("cell") / CELL_ROWS).alias("part")).agg(
         F.map_from_entries(F.collect_list(F.struct((F.col("cell") % CELL_ROWS).cast("int"), level.cast("int")))).alias("levels")
@@ -57,9 +67,9 @@ def rarity(docs: DataFrame) -> bytes:
 
 
 def ordered(line: Column, levels: bytes) -> Column:
-    """Tokens from the rarest on, each behind a character for its rarity."""
-    cell = lambda w: F.pmod(F.xxhash64(w), F.lit(CELLS)).cast("int") + 1
-    return F.sort_array(F.transform(tokens(line), lambda w: F.concat(F.substring(F.lit(levels), cell(w), F.lit(1)).cast("string"), w)))
+    """The set of a line's tokens from the rarest on, as numbers: rarity in the highest byte, hash below."""
+    level = lambda h: F.ascii(F.substring(F.lit(levels), _cell(h) + 1, F.lit(1)).cast("string")).cast("bigint")
+    return F.sort_array(F.array_distinct(F.transform(hashes(line), lambda h: F.shiftleft(level(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -67,70 +77,87 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, levels: bytes, percent: int) -> DataFrame:
-    """Rows ``(o, v, l, n, prefix)``: the first line of each token set, the set's size and its rarest tokens."""
+    """Rows ``(c, o, v, l, n, skip, prefix)``: number and first line of each token set, its size and its rarest tokens.
+
+    ``prefix`` has 31 bits of each token's hash, enough for meeting. Words that are in no other line are left out of it; ``skip``
+    says how many.
+    """
     lines = _lines(docs).select(*PLACE, ordered(F.col("line"), levels).alias("t")).where(F.size("t") > 0)
-    least = F.ceil(F.size("t") * percent / 100).cast("int")
-    prefix = F.filter(F.slice("t", F.lit(1), F.size("t") - least + 1), lambda x: ~x.startswith("\x01"))
-    lines = lines.select(*PLACE, F.size("t").alias("n"), F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(7), "t").alias("h2"), prefix.alias("prefix"))
+    rarest = F.slice("t", F.lit(1), F.size("t") - F.ceil(F.size("t") * percent / 100).cast("int") + 1)
+    prefix = F.transform(F.filter(rarest, lambda x: x >= F.lit(2 << 56)), lambda x: x.bitwiseAND(F.lit(2**31 - 1)).cast("int"))
+    lines = lines.select(*PLACE, F.size("t").alias("n"), F.xxhash64("t").alias("h1"), F.hash("t").alias("h2"), prefix.alias("prefix"))
     first = lines.groupBy("h1", "h2", "n").agg(F.min(F.struct(*PLACE, "prefix")).alias("f"))
-    return first.select("f.o", "f.v", "f.l", "n", "f.prefix")
+    whole = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
+    return first.select(F.monotonically_increasing_id().alias("c"), "f.o", "f.v", "f.l", "n", (whole - F.size("f.prefix")).alias("skip"), "f.prefix")
 
 
-def _close(percent: int) -> Column:
-    """Length and positional filters for rows ``(n, pos)`` and ``(n_b, pos_b)`` of one token."""
-    small, large = F.least("n", "n_b"), F.greatest("n", "n_b")
-    need = F.ceil(percent * (F.col("n") + F.col("n_b")) / (100 + percent))
-    left = F.least(F.col("n") - F.col("pos"), F.col("n_b") - F.col("pos_b"))
-    return (100 * small >= percent * large) & (left >= need)
+def _close(percent: int, a: str = "np", b: str = "np_b") -> Column:
+    """Length and positional filters for two sets that share a token."""
+    n, pos, m, at = F.shiftright(a, POS), F.col(a).bitwiseAND(F.lit(2**POS - 1)), F.shiftright(b, POS), F.col(b).bitwiseAND(F.lit(2**POS - 1))
+    left = F.least(n - pos, m - at)
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (left * (100 + percent) >= percent * (n + m))
 
 
-def _map(pairs: DataFrame) -> bytes:
-    """A byte per cell of places: 1 where an end of a pair may be."""
-    ends = pairs.select(F.explode(F.array(F.struct(*PLACE), F.struct(*[F.col(f"{c}_b").alias(c) for c in PLACE]))).alias("p")).select("p.*")
-    at = F.pmod(F.xxhash64(*PLACE), F.lit(MAP_CELLS)) + 1
-    bits = ends.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+def _map(places: DataFrame) -> bytes:
+    """A byte per cell of places: 1 where a line is that is wanted."""
+    at = F.xxhash64(*PLACE).bitwiseAND(F.lit(MAP_CELLS - 1)) + 1
+    bits = places.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
     out = bytearray(MAP_CELLS)
     for row in bits.collect():
         out[(row.part - 1) * MAP_ROWS : row.part * MAP_ROWS] = b"".join(_BITS[x] for x in row.bits)
     return bytes(out)
 
 
-def verify(pairs: DataFrame, docs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Rows ``(o, v, l)``: the later places of all pairs whose token sets are similar."""
-    held = F.lit(_map(pairs))
-    at = F.pmod(F.xxhash64(*PLACE), F.lit(MAP_CELLS)).cast("int") + 1
-    sets = _lines(docs).where(F.substring(held, at, F.lit(1)) == F.lit(b"\x01")).select(*PLACE, tokens(F.col("line")).alias("t"))
-    sets = scratch.table(sets.distinct(), "sets")
-    a = sets.withColumnRenamed("t", "t_a")
-    b = sets.select(*[F.col(c).alias(f"{c}_b") for c in PLACE], F.col("t").alias("t_b"))
-    both = pairs.join(a, PLACE).join(b, [f"{c}_b" for c in PLACE])
-    shared = F.size(F.array_intersect("t_a", "t_b"))
-    both = both.withColumn("i", shared).where(F.col("i") * (100 + percent) >= percent * (F.size("t_a") + F.size("t_b")))
-    return scratch.table(both.select(F.greatest(F.struct(*PLACE), F.struct(*[F.col(f"{c}_b").alias(c) for c in PLACE])).alias("p")).select("p.*").distinct(), "later")
+def verify(pairs: DataFrame, docs: DataFrame, first: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Rows ``c``: of the pairs ``(c, c_b)`` whose sets are similar, the class that stands later.
+
+    Only lines that a pair may need, told by a map of fixed size, are cut into tokens again.
+    """
+    ends = pairs.select(F.explode(F.array("c", "c_b")).alias("c")).distinct()
+    wanted = scratch.table(first.select("c", *PLACE).join(ends, "c", "left_semi"), "wanted")
+    at = F.xxhash64(*PLACE).bitwiseAND(F.lit(MAP_CELLS - 1)).cast("int") + 1
+    lines = _lines(docs).where(F.substring(F.lit(_map(wanted)), at, F.lit(1)) == F.lit(b"\x01"))
+    sets = scratch.table(lines.join(wanted, PLACE).select("c", F.struct(*PLACE).alias("p"), F.array_distinct(hashes(F.col("line"))).alias("t")), "sets")
+    both = pairs.join(sets, "c").join(sets.select(F.col("c").alias("c_b"), F.col("p").alias("p_b"), F.col("t").alias("t_b")), "c_b")
+    shared = F.size(F.array_intersect("t", "t_b"))
+    both = both.where(shared * (100 + percent) >= percent * (F.size("t") + F.size("t_b")))
+    later = scratch.table(both.select(F.when(F.col("p") > F.col("p_b"), F.col("c")).otherwise(F.col("c_b")).alias("c")).distinct(), "later")
+    scratch.drop(sets, wanted)
+    return later
 
 
 def similar_lines(docs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Rows ``(o, v, l)`` of the lines that stay: first of their class, and similar to no line before."""
+    """Rows ``(o, v, stay)``: the lines of each text that stay, being first of their class, and similar to no line before."""
     levels = rarity(docs)
     first = scratch.table(classes(docs, levels, percent), "classes")
-    rows = first.select(*PLACE, "n", F.posexplode("prefix").alias("pos", "s")).repartition("s")
-    lead = F.min(F.struct(*PLACE, "n", "pos")).alias("lead")
-    shared = rows.groupBy("s").agg(F.count("*").alias("rows"), lead).where("rows > 1")
-    rows = scratch.table(rows.join(shared, "s").select("s", *PLACE, "n", "pos", "lead"), "rows")
-    other = [f"{c}_b" for c in PLACE]
-
-    lead_of = [F.col(f"lead.{c}").alias(f"{c}_b") for c in [*PLACE, "n", "pos"]]
-    pairs = rows.select(*PLACE, "n", "pos", *lead_of).where(F.struct(*PLACE) > F.struct(*other)).where(_close(percent))
-    tried = scratch.table(pairs.select(*PLACE, *other).distinct(), "led")
-    later = [verify(tried, docs, percent, scratch)]
-
-    # What is similar to no such leader is joined with all that stands earlier.
-    probes = rows.join(later[0], PLACE, "left_anti").select("s", *PLACE, "n", "pos")
-    index = rows.select("s", *[F.col(c).alias(f"{c}_b") for c in [*PLACE, "n", "pos"]])
-    pairs = probes.join(index, "s").where(F.struct(*PLACE) > F.struct(*other)).where(_close(percent))
-    pairs = pairs.select(*PLACE, *other).distinct().join(tried, [*PLACE, *other], "left_anti")
-    later.append(verify(scratch.table(pairs, "searched"), docs, percent, scratch))
-    return first.select(PLACE).join(reduce(DataFrame.union, later), PLACE, "left_anti")
+    rows = first.select("c", "o", "n", "skip", F.posexplode("prefix").alias("at", "s"))
+    np = (F.shiftleft(F.col("n").cast("bigint"), POS) + F.col("at") + F.col("skip")).alias("np")
+    rows = rows.select("s", "c", "o", np).repartition("s")
+    shared = rows.groupBy("s").agg(F.count("*").alias("k"), F.min(F.struct("o", "c", "np")).alias("lead")).where("k > 1")
+    rows = rows.join(shared, "s")
+
+    # All reads of this one shuffle are parts of one job: pairs, and the rows of hot tokens.
+    cold = rows.where(F.col("k") <= HOT).select("s", "c", "np")
+    pairs = cold.join(cold.select("s", F.col("c").alias("c_b"), F.col("np").alias("np_b")), "s").where("c < c_b").where(_close(percent)).select("c", "c_b")
+    hot = rows.where(F.col("k") > HOT)
+    led = hot.where("c <> lead.c").withColumn("np_b", F.col("lead.np")).where(_close(percent))
+    pairs = pairs.union(led.select(F.least("c", "lead.c"), F.greatest("c", "lead.c")))
+    none = lambda kind: F.lit(None).cast(kind)
+    met = pairs.select("c", "c_b", none("int").alias("s"), none("bigint").alias("o"), none("bigint").alias("np"))
+    met = scratch.table(met.union(hot.select("c", none("bigint"), "s", "o", "np")), "met")
+    pairs = met.where("c_b is not null").select("c", "c_b").distinct()
+    later = verify(pairs, docs, first, percent, scratch)
+
+    hot = met.where("c_b is null").select("s", "c", "o", "np")
+    if not hot.isEmpty():
+        probes = hot.join(later, "c", "left_anti")
+        index = hot.select("s", F.col("c").alias("c_b"), F.col("o").alias("o_b"), F.col("np").alias("np_b"))
+        more = probes.join(index, "s").where("o_b <= o and c <> c_b").where(_close(percent))
+        more = scratch.table(more.select(F.least("c", "c_b").alias("c"), F.greatest("c", "c_b").alias("c_b")).distinct().join(pairs, ["c", "c_b"], "left_anti"), "searched")
+        later = later.union(verify(more, docs, first, percent, scratch))
+    stay = scratch.table(first.join(later, "c", "left_anti").groupBy("o", "v").agg(F.collect_list("l").alias("stay")), "stay")
+    scratch.drop(first, met)
+    return stay
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
@@ -147,8 +174,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     o = F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63)))
     v = F.coalesce(F.xxhash64(text), F.lit(0)) if repeated else F.lit(0).cast("bigint")
     own = docs.select(o.alias("o"), v.alias("v"), F.col(text).alias("text")).where("text is not null")
-    stay = similar_lines(own, percent, scratch).groupBy("o", "v").agg(F.collect_list("l").alias("stay"))
-    stay = stay.select(F.col("o").alias("_line_o"), F.col("v").alias("_line_v"), F.col("stay").alias("_line_stay"))
+    own = own.dropDuplicates(["o", "v"]) if repeated else own
+    stay = similar_lines(own, percent, scratch).select(F.col("o").alias("_line_o"), F.col("v").alias("_line_v"), F.col("stay").alias("_line_stay"))
 
     both = docs.drop("n_lines", "n_removed", "emptied").withColumns({"_line_key": o, "_line_version": v})
     both = both.join(stay, (F.col("_line_key") == F.col("_line_o")) & (F.col("_line_version") == F.col("_line_v")), "left")

@@ -49,3 +49,20 @@ DEFAULT_PRICE, EMBED_PRICE = (0.30, 2.50), 0.025
 TOP_KEYWORDS, PER_ARTICLE, VOCABULARY, MAX_DF = 50, 10, 500, 0.95
 ASSOC_VOCABULARY, ASSOC_SUPPORT, ASSOC_CONFIDENCE, ASSOC_RULES, ASSOC_SETS = 30, 0.10, 0.5, 15, 20
 CHUNK, OVERLAP, TOP_K = 600, 80, 5
+
+# Phrases that lead on to paid content, and hosts whose texts end without one, with the least length of a whole text.
+PAYWALL = [
+    "訂戶限定", "解鎖訂戶限定", "查看訂閱方案", "不限篇數暢讀", "立即購買", "訂閱看全文", "會員專屬", "付費訂閱", "登入後繼續閱讀", "升級會員",
+    "訂閱解鎖", "加入會員看全文", "本文為訂閱", "付費會員", "訂閱會員專屬", "本篇為訂閱限定", "訂閱以閱讀全文",
+]
+PAYWALL_HOSTS = {"businessweekly.com.tw": 700, "theinitium.com": 700, "ctee.com.tw": 700}
+
+# Words of cookie banners, three of which make one; and phrases of blocks that list other articles.
+COOKIES = [
+    "cookie", "cookies", "gdpr", "consent", "同意管理", "隱私權", "隱私政策", "personal data", "個人資料", "adchoices", "targeted advertising",
+    "performance cookies", "functional cookies", "audience measurement", "本網站使用", "這些 cookie", "這些 cookies",
+]
+LISTING_BLOCKS = ["延伸閱讀", "相關文章", "推薦閱讀", "熱門文章", "entertainment", "美麗佳人編輯部", "articlelist", "storylist", "postlist", "item-list", "card-list"]
+
+# Parts of class names and ids, and what they add to a block's weight of 1.
+WEIGHTS = [(["main", "content", "center", "article"], 0.3), (["side", "sidebar", "widget", "aside"], -0.5), (["header", "footer", "nav"], -0.4)]

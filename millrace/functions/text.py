@@ -148,3 +148,16 @@ def llm_cost(model: Column, prompt: Column, output: Column) -> Column:
         fits = F.lower(F.coalesce(model, F.lit(""))).contains(part)
         price_in, price_out = F.when(fits, a).otherwise(price_in), F.when(fits, b).otherwise(price_out)
     return F.bround(F.coalesce(prompt, F.lit(0)) / 1_000_000 * price_in + F.coalesce(output, F.lit(0)) / 1_000_000 * price_out, 4)
+
+
+def paywall(content: Column, url: Column) -> Column:
+    """``paywall`` if a text leads on to paid content, ``paywall_short`` if it is shorter than its host's whole texts, else empty."""
+    out = F.lit("")
+    for name, least in C.PAYWALL_HOSTS.items():
+        out = F.when(F.lower(F.coalesce(url, F.lit(""))).contains(name) & (F.length(F.coalesce(content, F.lit(""))) < least), "paywall_short").otherwise(out)
+    return F.when(has_any(content, C.PAYWALL), "paywall").otherwise(out)
+
+
+def cookie_banner(text: Column) -> Column:
+    t = F.lower(F.coalesce(text, F.lit("")))
+    return sum((F.when(t.contains(k), 1).otherwise(0) for k in C.COOKIES), F.lit(0)) >= 3

@@ -11,6 +11,7 @@ from ..functions import constants as C
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import keywords as K
+from ..operators import pages as P
 from ..operators import relational as R
 from ..operators import vectors as V
 from ..sources.tables import table
@@ -253,6 +254,57 @@ def page_cms(spark, d):
     return pages.groupBy(T.cms(F.col("html")).alias("cms")).agg(F.count("*").alias("n"))
 
 
+@query()
+def page_main_text(spark, d):
+    return P.main_text(table(spark, d, "pages"))
+
+
+@query()
+def page_listing(spark, d):
+    return P.listing_page(table(spark, d, "pages"))
+
+
+@query(f"""SELECT i, CASE WHEN {_any("c", C.PAYWALL)} THEN 'paywall' {" ".join(f"WHEN contains(lower(u), '{h}') AND length(c) < {n} THEN 'paywall_short'" for h, n in C.PAYWALL_HOSTS.items())} ELSE '' END AS reason,
+({" + ".join(f"contains(lower(c), '{k}')::INT" for k in C.COOKIES)}) >= 3 AS cookie_banner
+FROM (SELECT i, c, u FROM {_values([(-1, "本文 訂戶限定 更多", "http://a.com"), (-2, "短" * 40, "https://www.businessweekly.com.tw/x"), (-3, "長" * 1600, "https://theinitium.com/y"), (-4, "Cookies: GDPR consent", "")], "i, c, u")} UNION ALL SELECT page_id, html, url FROM pages)""")
+def page_paywall(spark, d):
+    more = [(-1, "本文 訂戶限定 更多", "http://a.com"), (-2, "短" * 40, "https://www.businessweekly.com.tw/x"), (-3, "長" * 1600, "https://theinitium.com/y"), (-4, "Cookies: GDPR consent", "")]
+    p = spark.createDataFrame(more, "i bigint, c string, u string").union(table(spark, d, "pages").select("page_id", "html", "url"))
+    return p.select("i", T.paywall(F.col("c"), F.col("u")).alias("reason"), T.cookie_banner(F.col("c")).alias("cookie_banner"))
+
+
+@query("""SELECT user_id AS domain, status, n, round_even(100.0 * n / sum(n) OVER (PARTITION BY user_id), 0)::BIGINT AS percent FROM (SELECT user_id, CASE WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'view' THEN 'skipped' ELSE 'success' END AS status, count(*) AS n FROM events GROUP BY ALL)""")
+def status_counts(spark, d):
+    from pyspark.sql import Window
+
+    status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "skipped").otherwise("success")
+    e = table(spark, d, "events").groupBy(F.col("user_id").alias("domain"), status.alias("status")).agg(F.count("*").alias("n"))
+    return e.withColumn("percent", F.bround(100 * F.col("n") / F.sum("n").over(Window.partitionBy("domain"))).cast("bigint"))
+
+
+@query(r"""WITH t AS (SELECT label, doc_id, text FROM (SELECT doc_id, text, doc_id % 8 AS label FROM documents)),
+f AS (SELECT label, doc_id, term, count(*) AS tf FROM (SELECT label, doc_id, unnest(regexp_extract_all(lower(text), '\p{L}{4,}')) AS term FROM t) GROUP BY ALL),
+x AS (SELECT label, term, sum(tf) AS n, count(*) AS docs, row_number() OVER (PARTITION BY label ORDER BY sum(tf) DESC, term) AS rank FROM f GROUP BY label, term)
+SELECT label, term, n::BIGINT AS n, docs, rank FROM x WHERE rank <= 8""")
+def cluster_keywords_by_label(spark, d):
+    from pyspark.sql import Window
+
+    toks = table(spark, d, "documents").select((F.col("doc_id") % 8).alias("label"), "doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,}"), F.lit(0))).alias("term"))
+    x = toks.groupBy("label", "doc_id", "term").agg(F.count("*").alias("tf")).groupBy("label", "term").agg(F.sum("tf").alias("n"), F.count("*").alias("docs"))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "term")).cast("bigint")
+    return x.withColumn("rank", rank).where("rank <= 8")
+
+
+@query("""SELECT conv_id, turn, CASE WHEN answer IS NULL OR length(answer) > floor(1.1 * length(raw)) + 50 OR length(answer) < 80 THEN raw ELSE answer END AS text, answer IS NOT NULL AND length(answer) <= floor(1.1 * length(raw)) + 50 AND length(answer) >= 80 AS accepted
+FROM (SELECT a.conv_id, a.turn, a.text AS raw, b.text AS answer FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)""")
+def denoise_accept(spark, d):
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("raw"))
+    b = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("raw").alias("answer"))
+    n, m = F.length("answer"), F.floor(1.1 * F.length("raw")) + 50
+    ok = F.coalesce((n <= m) & (n >= 80), F.lit(False))
+    return c.join(b, ["conv_id", "turn"], "left").select("conv_id", "turn", F.when(ok, F.col("answer")).otherwise(F.col("raw")).alias("text"), ok.alias("accepted"))
+
+
 # Texts
 
 

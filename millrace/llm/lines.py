@@ -3,7 +3,7 @@
 Lines with equal token sets form a class, which stands where its first line stands. Tokens are ordered
 by rarity; two similar sets share a token among their rarest ones (prefix filter). Pairs that meet
 there must be close in size (length filter), and what follows the shared token must suffice for the
-overlap (positional filter). What survives is verified on the whole sets.
+overlap (positional filter); a signature of 64 bits bounds the overlap further. What survives is verified on the whole sets.
 
 A token of up to ``HOT`` prefixes lets all of these meet. Beyond that, every class first meets the earliest
 class of the token alone; only those that are not similar to it meet all earlier ones. So a large group of
@@ -31,6 +31,8 @@ HOT = 1024
 PLACE = ["o", "v", "l"]
 #: Size of a set and position in it, in one number.
 POS = 31
+#: Bits of a line's number in a class number made of document and line.
+LINE_BITS = 28
 
 _BITS = [bytes((x >> k) & 1 for k in range(8)) for x in range(256)]
 
@@ -76,8 +78,11 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("o", "v", F.posexplode(F.split("text", "\n")).alias("l", "line"))
 
 
-def classes(docs: DataFrame, levels: bytes, percent: int) -> DataFrame:
-    """Rows ``(c, o, v, l, n, skip, prefix)``: number and first line of each token set, its size and its rarest tokens.
+def classes(docs: DataFrame, levels: bytes, percent: int, numbered: bool) -> DataFrame:
+    """Rows ``(c, o, v, l, n, sign, skip, prefix)``: number and first line of each token set, its size, signature and rarest tokens.
+
+    ``numbered``: documents have numbers of which class numbers can be made that keep their order.
+    The signature has 64 bits, each told by the parity of the tokens of one hash group.
 
     ``prefix`` has 31 bits of each token's hash, enough for meeting. Words that are in no other line are left out of it; ``skip``
     says how many.
@@ -85,17 +90,24 @@ def classes(docs: DataFrame, levels: bytes, percent: int) -> DataFrame:
     lines = _lines(docs).select(*PLACE, ordered(F.col("line"), levels).alias("t")).where(F.size("t") > 0)
     rarest = F.slice("t", F.lit(1), F.size("t") - F.ceil(F.size("t") * percent / 100).cast("int") + 1)
     prefix = F.transform(F.filter(rarest, lambda x: x >= F.lit(2 << 56)), lambda x: x.bitwiseAND(F.lit(2**31 - 1)).cast("int"))
-    lines = lines.select(*PLACE, F.size("t").alias("n"), F.xxhash64("t").alias("h1"), F.hash("t").alias("h2"), prefix.alias("prefix"))
-    first = lines.groupBy("h1", "h2", "n").agg(F.min(F.struct(*PLACE, "prefix")).alias("f"))
+    sign = F.aggregate("t", F.lit(0).cast("bigint"), lambda x, h: x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), h.bitwiseAND(F.lit(63)).cast("int"))))
+    lines = lines.select(*PLACE, F.size("t").alias("n"), F.xxhash64("t").alias("h1"), F.hash("t").alias("h2"), sign.alias("sign"), prefix.alias("prefix"))
+    first = lines.groupBy("h1", "h2", "n").agg(F.min(F.struct(*PLACE, "sign", "prefix")).alias("f"))
     whole = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
-    return first.select(F.monotonically_increasing_id().alias("c"), "f.o", "f.v", "f.l", "n", (whole - F.size("f.prefix")).alias("skip"), "f.prefix")
+    c = F.shiftleft(F.col("f.o"), LINE_BITS).bitwiseOR(F.col("f.l").cast("bigint")) if numbered else F.monotonically_increasing_id()
+    return first.select(c.alias("c"), "f.o", "f.v", "f.l", "n", "f.sign", (whole - F.size("f.prefix")).alias("skip"), "f.prefix")
+
 
+def _close(percent: int) -> Column:
+    """Length and positional filters for two sets that share a token, and the bound that their signatures give.
 
-def _close(percent: int, a: str = "np", b: str = "np_b") -> Column:
-    """Length and positional filters for two sets that share a token."""
-    n, pos, m, at = F.shiftright(a, POS), F.col(a).bitwiseAND(F.lit(2**POS - 1)), F.shiftright(b, POS), F.col(b).bitwiseAND(F.lit(2**POS - 1))
+    Sets differ in as many tokens at least as their signatures do in bits.
+    """
+    n, pos, m, at = F.shiftright("np", POS), F.col("np").bitwiseAND(F.lit(2**POS - 1)), F.shiftright("np_b", POS), F.col("np_b").bitwiseAND(F.lit(2**POS - 1))
     left = F.least(n - pos, m - at)
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (left * (100 + percent) >= percent * (n + m))
+    apart = F.bit_count(F.col("sign").bitwiseXOR(F.col("sign_b")))
+    near = (n + m - apart) * (100 + percent) >= 2 * percent * (n + m)
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & near & (left * (100 + percent) >= percent * (n + m))
 
 
 def _map(places: DataFrame) -> bytes:
@@ -126,35 +138,36 @@ def verify(pairs: DataFrame, docs: DataFrame, first: DataFrame, percent: int, sc
     return later
 
 
-def similar_lines(docs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def similar_lines(docs: DataFrame, percent: int, numbered: bool, scratch: Scratch) -> DataFrame:
     """Rows ``(o, v, stay)``: the lines of each text that stay, being first of their class, and similar to no line before."""
     levels = rarity(docs)
-    first = scratch.table(classes(docs, levels, percent), "classes")
-    rows = first.select("c", "o", "n", "skip", F.posexplode("prefix").alias("at", "s"))
+    first = scratch.table(classes(docs, levels, percent, numbered), "classes")
+    rows = first.select("c", "n", "skip", "sign", F.posexplode("prefix").alias("at", "s"))
     np = (F.shiftleft(F.col("n").cast("bigint"), POS) + F.col("at") + F.col("skip")).alias("np")
-    rows = rows.select("s", "c", "o", np).repartition("s")
-    shared = rows.groupBy("s").agg(F.count("*").alias("k"), F.min(F.struct("o", "c", "np")).alias("lead")).where("k > 1")
+    rows = rows.select("s", "c", np, "sign").repartition("s")
+    shared = rows.groupBy("s").agg(F.count("*").alias("k"), F.min(F.struct("c", "np", "sign")).alias("lead")).where("k > 1")
     rows = rows.join(shared, "s")
 
     # All reads of this one shuffle are parts of one job: pairs, and the rows of hot tokens.
-    cold = rows.where(F.col("k") <= HOT).select("s", "c", "np")
-    pairs = cold.join(cold.select("s", F.col("c").alias("c_b"), F.col("np").alias("np_b")), "s").where("c < c_b").where(_close(percent)).select("c", "c_b")
+    cold = rows.where(F.col("k") <= HOT).select("s", "c", "np", "sign")
+    other = [F.col(x).alias(f"{x}_b") for x in ("c", "np", "sign")]
+    pairs = cold.join(cold.select("s", *other), "s").where("c < c_b").where(_close(percent)).select("c", "c_b")
     hot = rows.where(F.col("k") > HOT)
-    led = hot.where("c <> lead.c").withColumn("np_b", F.col("lead.np")).where(_close(percent))
-    pairs = pairs.union(led.select(F.least("c", "lead.c"), F.greatest("c", "lead.c")))
+    led = hot.where("c <> lead.c").withColumns({"np_b": F.col("lead.np"), "sign_b": F.col("lead.sign")}).where(_close(percent))
+    pairs = pairs.union(led.select("lead.c", "c"))
     none = lambda kind: F.lit(None).cast(kind)
-    met = pairs.select("c", "c_b", none("int").alias("s"), none("bigint").alias("o"), none("bigint").alias("np"))
-    met = scratch.table(met.union(hot.select("c", none("bigint"), "s", "o", "np")), "met")
+    met = pairs.select("c", "c_b", none("int").alias("s"), none("bigint").alias("np"), none("bigint").alias("sign"))
+    met = scratch.table(met.union(hot.select("c", none("bigint"), "s", "np", "sign")), "met")
     pairs = met.where("c_b is not null").select("c", "c_b").distinct()
     later = verify(pairs, docs, first, percent, scratch)
 
-    hot = met.where("c_b is null").select("s", "c", "o", "np")
+    hot = met.where("c_b is null").select("s", "c", "np", "sign")
     if not hot.isEmpty():
+        # Class numbers that keep the order say which of two stands earlier; others meet both ways.
         probes = hot.join(later, "c", "left_anti")
-        index = hot.select("s", F.col("c").alias("c_b"), F.col("o").alias("o_b"), F.col("np").alias("np_b"))
-        more = probes.join(index, "s").where("o_b <= o and c <> c_b").where(_close(percent))
-        more = scratch.table(more.select(F.least("c", "c_b").alias("c"), F.greatest("c", "c_b").alias("c_b")).distinct().join(pairs, ["c", "c_b"], "left_anti"), "searched")
-        later = later.union(verify(more, docs, first, percent, scratch))
+        more = probes.join(hot.select("s", *other), "s").where("c_b < c" if numbered else "c_b <> c").where(_close(percent))
+        more = more.select(F.least("c", "c_b").alias("c"), F.greatest("c", "c_b").alias("c_b")).distinct().join(pairs, ["c", "c_b"], "left_anti")
+        later = later.union(verify(scratch.table(more, "searched"), docs, first, percent, scratch))
     stay = scratch.table(first.join(later, "c", "left_anti").groupBy("o", "v").agg(F.collect_list("l").alias("stay")), "stay")
     scratch.drop(first, met)
     return stay
@@ -175,7 +188,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     v = F.coalesce(F.xxhash64(text), F.lit(0)) if repeated else F.lit(0).cast("bigint")
     own = docs.select(o.alias("o"), v.alias("v"), F.col(text).alias("text")).where("text is not null")
     own = own.dropDuplicates(["o", "v"]) if repeated else own
-    stay = similar_lines(own, percent, scratch).select(F.col("o").alias("_line_o"), F.col("v").alias("_line_v"), F.col("stay").alias("_line_stay"))
+    most = own.agg(F.min("o").alias("low"), F.max("o").alias("high")).first()
+    numbered = not repeated and most.low is not None and 0 <= most.low and most.high < 1 << (63 - LINE_BITS)
+    stay = similar_lines(own, percent, numbered, scratch).select(F.col("o").alias("_line_o"), F.col("v").alias("_line_v"), F.col("stay").alias("_line_stay"))
 
     both = docs.drop("n_lines", "n_removed", "emptied").withColumns({"_line_key": o, "_line_version": v})
     both = both.join(stay, (F.col("_line_key") == F.col("_line_o")) & (F.col("_line_version") == F.col("_line_v")), "left")

@@ -17,11 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .scratch import Scratch
 
 #: Labelled rows that a fit takes at most, dealt by a hash of their keys. The bound holds in the mean.
 SAMPLE = 20_000
 #: Words that tell most about the label, at most so many.
-FEATURES = 1024
+FEATURES = 512
 #: A word's log-likelihood ratio against the label must reach this (chance: one in 10,000 words or fewer).
 LEAST_RATIO = 16.0
 #: Weight of the squared coefficients, and of squared changes of the logit under a swap.
@@ -75,42 +76,46 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def newton(x: np.ndarray, y: np.ndarray, swaps: np.ndarray, ridge: float = RIDGE, swap: float = SWAP) -> tuple[np.ndarray, float]:
+def newton(x: np.ndarray, y: np.ndarray, times: np.ndarray, swaps: np.ndarray, ridge: float = RIDGE, swap: float = SWAP) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise log loss + ridge + ``swap`` times the squared changes of the logit.
 
-    ``swaps`` is the Gram matrix of the feature changes of all counterfactuals, by Newton's method with step halving.
+    Row ``i`` of ``x`` counts ``times[i]`` times. ``swaps`` is the Gram matrix of the feature changes of all
+    counterfactuals. Newton's method with step halving.
     """
     n, k = x.shape
-    x = np.hstack([x, np.ones((n, 1))])
+    x = np.hstack([x, np.ones((n, 1), x.dtype)])
     penalty = np.zeros((k + 1, k + 1))
     penalty[:k, :k] = ridge * np.eye(k) + swap * swaps
     penalty[k, k] = 1e-6
 
     def loss(w: np.ndarray) -> float:
         z = x @ w
-        return float(np.logaddexp(0, z).sum() - y @ z + w @ penalty @ w / 2)
+        return float(times @ (np.logaddexp(0, z) - y * z) + w @ penalty @ w / 2)
 
     w = np.zeros(k + 1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
-        slope = x.T @ (p - y) + penalty @ w
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty + 1e-9 * np.eye(k + 1), slope)
+        curve, spread = penalty + 1e-9 * np.eye(k + 1), times * p * (1 - p)
+        for i in range(0, n, 2048):
+            part = x[i : i + 2048]
+            curve += (part * spread[i : i + 2048, None].astype(x.dtype)).T @ part
+        step = np.linalg.solve(curve, x.T @ (times * (p - y)) + penalty @ w)
         size, now = 1.0, loss(w)
         while loss(w - size * step) > now and size > 1e-6:
             size /= 2
         w = w - size * step
-        if np.abs(size * step).max() < 1e-6:
+        if np.abs(size * step).max() < 1e-4:
             break
     return w[:k], float(w[k])
 
 
-def swap_gram(rows: list[np.ndarray], k: int, groups: list[list[int]]) -> np.ndarray:
+def swap_gram(rows: list[np.ndarray], times: np.ndarray, k: int, groups: list[list[int]]) -> np.ndarray:
     """Sum of outer products of the feature changes when a term of a group is swapped for each other one.
 
-    ``rows``: the features of each text.
+    ``rows``: the features of each kind of text; ``times``: how many there are of it.
     """
     out = np.zeros((k, k))
-    for own in map(set, rows):
+    for own, n in zip(map(set, rows), times):
         for group in groups:
             for i in own.intersection(group):
                 for j in group:
@@ -118,20 +123,23 @@ def swap_gram(rows: list[np.ndarray], k: int, groups: list[list[int]]) -> np.nda
                         d = {i: 1.0} if j in own else {i: 1.0, j: -1.0}
                         for a, u in d.items():
                             for b, v in d.items():
-                                out[a, b] += u * v
+                                out[a, b] += n * u * v
     return out
 
 
+def sampled(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """About ``n`` rows in the mean, or all if there are fewer; a key is in or out by its hash."""
+    share = min(1.0, n / max(rows.count(), 1))
+    return rows.where(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
 def fit(labelled: DataFrame, key: str, text: str, label: str, sample: int = SAMPLE, identity: list[list[str]] | None = None, swap: float = SWAP) -> Model:
     """Fit on ``labelled``; rows with a null label or key are left out, a null text is an empty one.
 
     At most about ``sample`` rows, dealt by a hash of the key, are used. Without rows of both labels every score
     is that of the labels there are.
     """
-    rows = labelled.where(F.col(label).isNotNull() & F.col(key).isNotNull())
-    total = rows.count()
-    share = min(1.0, sample / max(total, 1))
-    rows = rows.where(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = sampled(labelled.where(F.col(label).isNotNull() & F.col(key).isNotNull()), key, sample)
     rows = rows.select(F.col(label).cast("int").alias("y"), F.col(text).alias("text"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,12 +172,12 @@ def fit(labelled: DataFrame, key: str, text: str, label: str, sample: int = SAMP
             yield pa.RecordBatch.from_arrays([batch["y"], pa.ListArray.from_arrays(pa.array(cut), pa.array(at[ok].astype(np.int32)))], names=["y", "at"])
 
     # Texts of equal label and features count once, with their number: the driver gets patterns, not texts.
-    table = rows.mapInArrow(hits, "y int, at array<int>").collect()
-    found = [np.array(r.at, np.int64) for r in table]
+    table = rows.mapInArrow(hits, "y int, at array<int>").groupBy("y", "at").agg(F.count("*").alias("n")).collect()
+    found, times = [np.array(r.at, np.int64) for r in table], np.array([r.n for r in table], float)
     x = np.zeros((len(found), len(features)), np.float32)
     for i, at in enumerate(found):
         x[i, at] = 1
-    weights, bias = newton(x, np.array([r.y for r in table], float), swap_gram(found, len(features), groups), swap=swap)
+    weights, bias = newton(x, np.array([r.y for r in table], float), times, swap_gram(found, times, len(features), groups), swap=swap)
     return Model(features, weights, bias)
 
 
@@ -190,11 +198,16 @@ def held_out(key) -> F.Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """Fit on the labels of ``docs`` that are not held out. A key with several labels counts with its highest."""
-    own = labels.where(~held_out(key) & F.col(label).isNotNull()).groupBy(key).agg(F.max(label).alias("_label"))
-    rows = docs.select(key, text).where(~held_out(key)).join(own, key)
-    return fit(rows, key, text, "_label")
+def fit_on(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
+    """Fit on the labels of ``docs`` that are not held out.
+
+    A key with several labels counts with its highest, one with several texts with the last in order of bytes. The sample is drawn from the
+    labels, so that about ``sample`` keys are broadcast and no texts are shuffled but theirs.
+    """
+    own = labels.where(~held_out(key) & F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.max(label).alias("_label"))
+    own = sampled(own, key, sample)
+    rows = docs.select(key, F.coalesce(text, F.lit("")).alias("_text")).join(F.broadcast(own), key).groupBy(key).agg(F.max("_text").alias("_text"), F.max("_label").alias("_label"))
+    return fit(Scratch(docs.sparkSession, "toxicity").table(rows, "labelled"), key, "_text", "_label", sample)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

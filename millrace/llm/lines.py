@@ -158,8 +158,13 @@ def similar_lines(docs: DataFrame, percent: int, numbered: bool, scratch: Scratc
     none = lambda kind: F.lit(None).cast(kind)
     met = pairs.select("c", "c_b", none("int").alias("s"), none("bigint").alias("np"), none("bigint").alias("sign"))
     met = scratch.table(met.union(hot.select("c", none("bigint"), "s", "np", "sign")), "met")
-    pairs = met.where("c_b is not null").select("c", "c_b").distinct()
-    later = verify(pairs, docs, first, percent, scratch)
+    pairs = scratch.table(met.where("c_b is not null").select("c", "c_b").distinct(), "pairs")
+    # Each class first with the earliest that it met; a class that goes by that needs no other.
+    nearest = scratch.table(pairs.groupBy("c_b").agg(F.min("c").alias("c")).select("c", "c_b"), "nearest")
+    later = verify(nearest, docs, first, percent, scratch)
+    rest = pairs.join(later.select(F.col("c").alias("c_b")), "c_b", "left_anti").select("c", "c_b") if numbered else pairs
+    rest = scratch.table(rest.join(nearest, ["c", "c_b"], "left_anti"), "rest")
+    later = later.union(verify(rest, docs, first, percent, scratch))
 
     hot = met.where("c_b is null").select("s", "c", "np", "sign")
     if not hot.isEmpty():
@@ -169,7 +174,7 @@ def similar_lines(docs: DataFrame, percent: int, numbered: bool, scratch: Scratc
         more = more.select(F.least("c", "c_b").alias("c"), F.greatest("c", "c_b").alias("c_b")).distinct().join(pairs, ["c", "c_b"], "left_anti")
         later = later.union(verify(scratch.table(more, "searched"), docs, first, percent, scratch))
     stay = scratch.table(first.join(later, "c", "left_anti").groupBy("o", "v").agg(F.collect_list("l").alias("stay")), "stay")
-    scratch.drop(first, met)
+    scratch.drop(first, met, pairs, nearest, rest)
     return stay
 
 

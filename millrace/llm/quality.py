@@ -1,7 +1,7 @@
 """Document quality by fixed rules and by how many documents of a host share each line.
 
-Everything is DataFrame functions. Texts are read once, for counts and hashes of normalised lines;
-what is shuffled afterwards are hashes and counts.
+Everything is DataFrame functions. Texts are read for counts and hashes of normalised lines, which
+alone are shuffled to find boilerplate; a second reading meets the verdicts and leaves it out.
 """
 
 from __future__ import annotations
@@ -60,6 +60,12 @@ def base_counts(docs: DataFrame) -> DataFrame:
     )
 
 
+def without(text: str, gone: str) -> Column:
+    """``text`` without the lines whose normalised hash is in the array ``gone``; all of it where that is null."""
+    stays = lambda x: ~(x.rlike(r"[^\x20\x09-\x0D]") & F.array_contains(gone, F.xxhash64(normalised(x))))
+    return F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(F.filter(F.split(text, "\n"), stays), "\n"))
+
+
 def quality(
     docs: DataFrame,
     key: str = "doc_id",
@@ -70,11 +76,12 @@ def quality(
     min_words: int = MIN_WORDS,
     left_percent: int = LEFT_PERCENT,
 ) -> DataFrame:
-    """Base counts, ``n_boilerplate_words`` and the verdict ``kept``, one row per row of ``docs``.
+    """Base counts, ``n_boilerplate_words``, the verdict ``kept`` and ``text`` without boilerplate, one row per row of ``docs``.
 
-    A null text has no words and fails the base rules; a null host is a host of its own. Documents of a line are
-    counted once however often they have it, and rows that repeat a key are one document. Lines without
-    words are ignored. Other columns of ``docs`` are not read.
+    Lines end at \\n; those that stay are as they were. Rejected rows have their texts too. A null text has no words,
+    fails the base rules and stays null; a null host is a host of its own. Documents of a line are counted once however
+    often they have it, and rows that repeat a key are one document. Lines without words are ignored and stay.
+    Other columns of ``docs`` are not read.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     docs = docs.select(F.col(key).alias("id"), F.coalesce(F.concat(F.lit("h"), F.col(host)), F.lit("")).alias("host"), F.col(text).alias("text"))
@@ -85,13 +92,15 @@ def quality(
     often = rows.groupBy("host", "h").agg(F.count_distinct(F.struct("id")).alias("line_docs")).where(F.col("line_docs") >= min_docs)
     often = often.join(hosts, "host").where(F.col("line_docs") * one_in >= F.col("host_docs")).select("host", "h")
     often = scratch.table(often, "often")
-    lost = rows.join(often, ["host", "h"]).groupBy("id", "version", "host").agg(F.sum("n").alias("lost"))
-    df = base.drop("lines").alias("b").join(lost.alias("l"), F.expr("b.id <=> l.id and b.version = l.version and b.host = l.host"), "left")
+    lost = rows.join(often, ["host", "h"]).groupBy("id", "version", "host").agg(F.sum("n").alias("lost"), F.collect_set("h").alias("gone"))
+    # Rows that repeat key, text and host have the same counts.
+    df = base.drop("lines").dropDuplicates(["id", "version", "host"]).alias("b").join(lost.alias("l"), F.expr("b.id <=> l.id and b.version = l.version and b.host = l.host"), "left")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     boilerplate = F.coalesce("lost", F.lit(0)).cast("bigint")
     left = F.col("n_words") - F.col("n_boilerplate_words")
-    df = df.select("b.*", boilerplate.alias("n_boilerplate_words"), failed.alias("base_failed"))
+    df = df.select("b.*", boilerplate.alias("n_boilerplate_words"), failed.alias("base_failed"), "gone")
     kept = ~F.col("base_failed") & (left >= min_words) & (100 * left >= left_percent * F.col("n_words"))
-    return df.select(
-        F.col("id").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_boilerplate_words", kept.alias("kept")
-    )
+    df = docs.withColumn("version", F.xxhash64("text")).alias("d").join(df.withColumn("kept", kept).alias("b"), F.expr("d.id <=> b.id and d.version = b.version and d.host = b.host"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_boilerplate_words", "kept"]
+    # Written, so that the texts are made whatever columns a caller goes on with.
+    return scratch.table(df.select(F.col("d.id").alias(key), *counts, without("text", "gone").alias(text)), "texts")

@@ -141,7 +141,7 @@ FROM t LEFT JOIN p USING (doc_id) LEFT JOIN m USING (doc_id)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(read(spark, sf_dir, "documents"))
+    return quality(read(spark, sf_dir, "documents")).drop("text")
 
 
 SQL_OP2 = rf"""

@@ -118,6 +118,16 @@ def test_boilerplate_of_a_host_empties_documents(spark):
     assert not any(got[i] for i in range(25)) and all(got[100 + i] for i in range(5)) and got[200]
 
 
+def test_texts_without_boilerplate(spark):
+    own = lambda i: " ".join(f"own{i}x{j}" for j in range(100))
+    rows = [(i, f"{own(i)}\n\n All  RIGHTS\treserved \n \nend {i}\n", "a") for i in range(25)]
+    more = [(30, "all rights reserved", "a"), (31, None, "a"), (32, "", "a"), (33, f"All rights reserved\n{own(33)}", "b"), (None, f"{own(34)}\nall rights reserved", "a"), (0, "all rights reserved\nx\n", "a")]
+    got = quality(spark.createDataFrame([*rows, *more, more[-1]], "doc_id bigint, text string, source string")).collect()
+    want = [(i, f"{own(i)}\n\n \nend {i}\n") for i in range(25)] + [(30, ""), (31, None), (32, ""), (33, more[3][1]), (None, own(34)), (0, "x\n"), (0, "x\n")]
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(want, key=repr)
+    assert all(len((r.text or "").split()) == r.n_words - r.n_boilerplate_words for r in got)
+
+
 # 3: WARC
 
 

@@ -18,33 +18,55 @@ from millrace.llm.winnow import contamination
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def verdicts_by_text(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``row``, doc_id and a hash of the text. As a struct it equals itself also where its doc_id is null."""
+    return docs.withColumn("row", F.struct("doc_id", F.xxhash64("text").alias("version")))
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labels of ``docs``, scores below its threshold."""
-    model = fit_on(docs, read(spark, sf_dir, "labels"))
-    rejected = score(docs, model).where(F.col("score") >= THRESHOLD).select("doc_id")
-    return docs.join(rejected, "doc_id", "left_anti").select(COLUMNS)
+    """Rows that the classifier, fitted on the labels of ``docs``, scores below its threshold.
+
+    Each row goes or stays by its own text, also where its doc_id is null or repeated.
+    """
+    model, rows = fit_on(docs, read(spark, sf_dir, "labels")), verdicts_by_text(docs)
+    rejected = score(rows, model, "row").where(F.col("score") >= THRESHOLD).select("row")
+    return rows.join(rejected, "row", "left_anti").select(COLUMNS)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines similar to an earlier one. What has no words left by that is gone; empty texts stay."""
+    """Texts without lines similar to an earlier one. What has no words left by that is gone; empty texts stay.
+
+    Null doc_ids stand first. Rows that repeat doc_id and text are one document here, so all of them stay or go.
+    """
     left = dedup_lines(docs).where(~F.coalesce("emptied", F.lit(False)))
     return left.withColumn("n_chars", F.length("text").cast("bigint")).select(COLUMNS)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near duplicates."""
-    kept = similar_documents(docs).where("component_id = doc_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(COLUMNS)
+    """Keeps one row of each group of near duplicates, that with the smallest doc_id; null doc_ids come last.
+
+    Rows are grouped by their texts alone. Each row without words is a group of its own.
+    """
+    if docs.groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1).count() == 0:
+        kept = similar_documents(docs).where("component_id = doc_id").select("doc_id")
+        return docs.join(kept, "doc_id", "left_semi").select(COLUMNS)
+    # Written with their numbers, which from then on are data and don't change.
+    rows = Scratch(spark, "groups").table(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    found = rows.select("row", "doc_id").join(similar_documents(rows, "row").select("row", "component_id"), "row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))
+    kept = found.groupBy("component_id").agg(first.alias("first")).select("first.row")
+    return rows.join(kept, "row", "left_semi").select(COLUMNS)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by benchmark items."""
-    found = contamination(docs, read(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
-    return docs.join(found, "doc_id", "left_anti").select(COLUMNS)
+    """Rows that are not contaminated by benchmark items, each by its own text."""
+    rows = verdicts_by_text(docs)
+    found = contamination(rows, read(spark, sf_dir, "benchmark"), "row").where("contaminated").select("row")
+    return rows.join(found, "row", "left_anti").select(COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 1024 tokens."""
+    """Pieces of all rows, each a document of its own, in sequences of 1024 tokens."""
     return pack(docs, tokenizer("byte_bpe_50k.json"), with_ids=False)
 
 

@@ -1,6 +1,10 @@
+import numpy as np
+import pyarrow as pa
+
 import corpus_pipeline as P
 from millrace.llm import queries as Q
-from millrace.llm.toxicity import fit_on, score
+from millrace.llm.toxicity import Model, fit_on, score
+from millrace.llm.words import ALNUM, words
 
 from . import brute
 
@@ -28,3 +32,31 @@ def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet(f"{D}/documents.parquet")
     for _, stage in P.STAGES[:-1]:
         assert stage(spark, docs, D).columns == P.COLUMNS
+
+
+def test_null_and_repeated_keys_stage_by_stage(spark, monkeypatch):
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    item = max((r.text for r in spark.read.parquet(f"{D}/benchmark.parquet").collect()), key=len)
+    odd = lambda *rows: spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], docs.schema)
+    left = lambda stage, frame: sorted(((r.doc_id, r.text) for r in stage(spark, frame, D).collect()), key=repr)
+    key = lambda *rows: sorted(rows, key=repr)
+
+    # No text of the smallest tables is toxic, so one word is, by a model of its own.
+    word = words(pa.array(["curse"]), ALNUM).hash
+    monkeypatch.setattr(P, "fit_on", lambda *_: Model(word, np.array([9.0]), -5.0))
+    toxic = [(None, "a curse"), (None, "clean"), (5, "a curse"), (5, "clean"), (5, "clean"), (None, None)]
+    assert left(P.without_toxic, odd(*toxic)) == key((None, "clean"), (5, "clean"), (5, "clean"), (None, None))
+
+    own = lambda x: " ".join(f"{x}{i}" for i in range(40))
+    lines = [(None, own("a")), (5, own("a")), (5, own("b") + "\n" + own("a")), (6, own("c")), (6, own("c")), (7, own("c")), (None, None)]
+    assert left(P.without_repeated_lines, odd(*lines)) == key((None, own("a")), (5, own("b")), (6, own("c")), (6, own("c")), (None, None))
+
+    groups = [(None, own("a")), (None, own("a") + " x"), (5, own("b")), (5, own("b")), (5, own("c")), (4, own("c") + " x"), (None, own("b")), (8, ""), (8, ""), (None, None)]
+    got = left(P.one_of_each_group, odd(*groups))
+    assert len(got) == 6 and {i for i, t in got if t and t.startswith("a0 ")} == {None}
+    assert [x for x in got if not (x[1] or "").startswith("a0 ")] == key((5, own("b")), (4, own("c") + " x"), (8, ""), (8, ""), (None, None))
+
+    tests = [(None, item), (None, own("a")), (5, item), (5, own("a")), (5, own("a")), (None, None)]
+    assert left(P.without_benchmark, odd(*tests)) == key((None, own("a")), (5, own("a")), (5, own("a")), (None, None))
+    packed = P.packed(spark, odd(*tests), D).where("start = 0").collect()
+    assert sorted((r.doc_id for r in packed), key=repr) == [5, 5, 5, None, None, None]

@@ -39,6 +39,33 @@ def runs_of_failures(events: DataFrame, by: str, order: list, failed: Column, le
     return e.where("_f").groupBy(by, "run").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
+def following(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """``df`` with ``name``: ``value`` of the next row in order of ``order``, a number; null in the last row.
+
+    Rows that repeat ``order`` stand in order of ``value``, nulls last. ``order`` is cut at quantiles into as many ranges as
+    there are shuffle partitions, with equal numbers in one range; of each range its first row goes to the one before.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = sorted(set(df.approxQuantile(order, [i / n for i in range(1, n)], 1 / (4 * n)))) if n > 1 else []
+
+    def part(lo: int, hi: int) -> Column:
+        """How many of ``bounds[lo:hi]``, and those before, are at most ``order``."""
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col(order) < F.lit(bounds[mid]), part(lo, mid)).otherwise(part(mid + 1, hi))
+
+    by = [F.asc_nulls_last(order), F.asc_nulls_last(value)]
+    d = df.withColumn("_range", part(0, len(bounds)))
+    w = Window.partitionBy("_range").orderBy(*by)
+    firsts = d.groupBy("_range").agg(F.min(F.struct(F.col(order).isNull(), order, F.col(value).isNull(), F.col(value).alias("_first")))["_first"].alias("_first"))
+    # One row a range, so that one task can put them in order.
+    firsts = firsts.select((F.lead("_range", -1).over(Window.orderBy("_range"))).alias("_range"), "_first").where("_range is not null")
+    d = d.withColumns({"_next": F.lead(value).over(w), "_left": F.count("*").over(w.rowsBetween(1, 1))})
+    d = d.join(F.broadcast(firsts), "_range", "left")
+    return d.withColumn(name, F.when(F.col("_left") == 0, F.col("_first")).otherwise(F.col("_next"))).select(*df.columns, name)
+
+
 def chunk_progress(items: DataFrame, job: str, position: Column, size: int, done: Column) -> DataFrame:
     """Chunks of ``size`` items of each job, how many are done, and progress in percent (99 until all are)."""
     c = items.withColumn("_c", F.floor(position / size)).groupBy(job, "_c").agg(F.min(done).alias("_d"))

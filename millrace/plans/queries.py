@@ -202,10 +202,8 @@ x AS (SELECT page_id, lower({_PART("a", 2)}) AS a, lower({_PART("b", 2)}) AS b,
 SELECT page_id, CASE WHEN b = '' THEN '' WHEN {_REG("a")} <> {_REG("b")} THEN 'domain' WHEN split_part(b, '.', 1) IN ({", ".join(f"'{s}'" for s in C.WALL_SUBDOMAINS)}) AND split_part(a, '.', 1) <> split_part(b, '.', 1) THEN 'subdomain'
 WHEN length(p) > 1 AND q = '' THEN 'home' WHEN {_any("lower(q)", C.WALL_PATHS)} THEN 'path' ELSE '' END AS reason FROM x""")
 def url_auto_transfer(spark, d):
-    # page_id is dense, so that the next page is an equi-join and not one ordered window over all rows
-    p = table(spark, d, "pages").select("page_id", "url")
-    following = p.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("final"))
-    return p.join(following, "page_id", "left").select("page_id", U.transfer_reason(F.col("url"), F.col("final")).alias("reason"))
+    p = R.following(table(spark, d, "pages").select("page_id", "url"), "page_id", "url", "final")
+    return p.select("page_id", U.transfer_reason(F.col("url"), F.col("final")).alias("reason"))
 
 
 @query(f"""SELECT host, count(*) AS n, min(page_id) AS first_page, array_to_string(list_sort(list_distinct(list(url))), ' ') AS urls

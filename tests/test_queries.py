@@ -1,5 +1,6 @@
 import pytest
 
+from millrace.operators import relational as R
 from millrace.plans import queries as Q
 
 
@@ -8,6 +9,18 @@ def test_query_equals_its_sql(name, same):
     same(Q.QUERIES[name], Q.SQL[name])
 
 
+def test_next_page_over_gaps_and_repeats(spark, tmp_path, same):
+    wall = ["http://a.com/x", "http://login.a.com/y", "http://b.org/", "http://a.com/", None]
+    rows = [(i * i * 7 - 300, wall[i * 5 // 3 % 5]) for i in range(60)]
+    spark.createDataFrame(rows, "page_id bigint, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    same(Q.QUERIES["url_auto_transfer"], Q.SQL["url_auto_transfer"].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'"), str(tmp_path))
+    more = spark.createDataFrame([*rows, (-300, "http://c.net/"), (-293, None), (None, "u"), (None, None)], "page_id bigint, url string")
+    got = R.following(more, "page_id", "url", "next").collect()
+    order = sorted(more.collect(), key=lambda r: (r.page_id is None, r.page_id or 0, r.url is None, r.url or ""))
+    want = [(*r, b) for r, b in zip(order, [r.url for r in order[1:]] + [None])]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
 def test_clusters_are_at_most_eight_and_cover_all_vectors(spark):
     rows = Q.kmeans_clusters(spark, "/root/testdata/sf0.001").collect()
     assert len({r.vec_id for r in rows}) == len(rows) == spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count()

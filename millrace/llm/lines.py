@@ -6,96 +6,141 @@ there must be close in size (length filter), and what follows the shared token m
 overlap (positional filter); a signature of 64 bits bounds the overlap further. What survives is verified on the whole sets.
 
 A token of up to ``HOT`` prefixes lets all of these meet. Beyond that, every class first meets the earliest
-class of the token alone; only those that are not similar to it meet all earlier ones. So a large group of
-variants of one line costs a few comparisons a line, and no pairs within the group.
+class of the token alone; those that are not similar to it meet all earlier ones of a fitting size, so
+that one token's rows are dealt by size. A large group of variants of one line costs a few comparisons a line.
 
-Everything is DataFrame functions. The driver holds two tables of fixed size: a byte per cell of
-hashed tokens, and a byte per cell of hashed line positions.
+Sets are cut in numpy, batch by batch, as op4's native form did not meet the check tool's limits (see the README);
+grouping, meeting and joining are DataFrame functions. The driver holds tables of fixed size:
+a number for each cell of hashed tokens (before and after), and a bit for each cell of lines.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import words as W
+from .counts import cell_counts
 from .scratch import Scratch
 
-SPACE = r"[\x20\x09-\x0D]+"
-#: Hash cells in which tokens are counted, for their order alone. One byte each.
-CELLS, CELL_ROWS = 1 << 18, 1 << 14
-#: Hash cells that say which lines are verified. One byte each.
-MAP_CELLS, MAP_ROWS = 1 << 21, 1 << 15
+#: Hash cells in which tokens are counted, for their order alone, and those in which rows of prefixes are counted.
+CELLS = 1 << 20
 #: Prefixes of one token that all meet one another.
 HOT = 1024
-#: A line: its document, the version of the document's text, and its number there.
-PLACE = ["o", "v", "l"]
+#: Rounds in which the classes of a hot token meet the earliest one that is left.
+ROUNDS = 2
 #: Size of a set and position in it, in one number.
 POS = 31
 #: Bits of a line's number in a class number made of document and line.
 LINE_BITS = 28
-
-_BITS = [bytes((x >> k) & 1 for k in range(8)) for x in range(256)]
-
-
-def words(text: Column) -> Column:
-    """Lower-cased words."""
-    return F.array_remove(F.split(F.lower(text), SPACE), "")
-
-
-def hashes(line: Column) -> Column:
-    return F.transform(words(line), lambda w: F.xxhash64(w))
-
-
-def _cell(h: Column) -> Column:
-    return h.bitwiseAND(F.lit(CELLS - 1)).cast("int")
-
-
-def rarity(docs: DataFrame) -> bytes:
+#: Cells of the map of lines that are verified: a prime, so that cells spread.
+MAP_CELLS = 16_777_213
+#: Documents have numbers below this.
+MOST_DOCS = 1 << (63 - LINE_BITS)
+
+
+@dataclass
+class Sets:
+    """Token sets of the lines with words of some texts, one after the other, rarest tokens first."""
+
+    text: np.ndarray
+    line: np.ndarray
+    begin: np.ndarray
+    members: np.ndarray
+    level: np.ndarray
+
+    @property
+    def size(self) -> np.ndarray:
+        return np.diff(np.append(self.begin, len(self.members)))
+
+    def total(self, ufunc: np.ufunc, values: np.ndarray) -> np.ndarray:
+        return ufunc.reduceat(values, self.begin) if len(self.begin) else values[:0]
+
+
+def line_sets(column: pa.Array, levels: np.ndarray, wanted: np.ndarray | None = None) -> Sets:
+    """``wanted`` says for each line of each text in turn whether its set is built."""
+    data, offsets = W.utf8(column)
+    found = W.words(column, W.NOT_SPACE)
+    ends = np.concatenate([[0], np.cumsum(data == 10)])
+    text = np.repeat(np.arange(len(found.count)), found.count)
+    row = ends[found.start] + text  # numbers the lines of all texts
+    token = found.hash
+    if wanted is not None:
+        keep = wanted[row]
+        row, token, text = row[keep], token[keep], text[keep]
+    level = levels[(token & np.uint64(CELLS - 1)).astype(np.int64)]
+    order = np.lexsort((token, row.astype(np.int64) << 8 | level))
+    row, token = row[order], token[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (token[1:] != token[:-1])
+    order, row, token = order[new], row[new], token[new]
+    begin = np.flatnonzero(np.diff(row, prepend=-1)) if len(row) else np.zeros(0, np.int64)
+    text = text[order][begin]
+    return Sets(text, row[begin] - text - ends[offsets[:-1]][text], begin, token, level[order])
+
+
+def rarity(docs: DataFrame) -> np.ndarray:
     """A byte per cell that grows with the number of words in it, over all words of all texts.
 
     1 stands for one occurrence at most: such a word is in no other line.
     """
-    word = docs.select(F.explode(words(F.col("text"))).alias("w")).select(_cell(F.xxhash64("w")).alias("cell"))
-    counts = word.groupBy("cell").count()
-    level = F.least(F.lit(126), F.when(F.col("count") < 2, 1).otherwise(F.floor(4 * F.log2("count"))))
-    part = counts.groupBy(F.floor(F.col("cell") / CELL_ROWS).alias("part")).agg(
-        F.map_from_entries(F.collect_list(F.struct((F.col("cell") % CELL_ROWS).cast("int"), level.cast("int")))).alias("levels")
-    )
-    out = bytearray(b"\x01" * CELLS)
-    for row in part.collect():
-        for cell, value in row.levels.items():
-            out[row.part * CELL_ROWS + cell] = value
-    return bytes(out)
 
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in W.slices(batches, "text"):
+            yield W.words(batch["text"], W.NOT_SPACE).hash & np.uint64(CELLS - 1)
 
-def ordered(line: Column, levels: bytes) -> Column:
-    """The set of a line's tokens from the rarest on, as numbers: rarity in the highest byte, hash below."""
-    level = lambda h: F.ascii(F.substring(F.lit(levels), _cell(h) + 1, F.lit(1)).cast("string")).cast("bigint")
-    return F.sort_array(F.array_distinct(F.transform(hashes(line), lambda h: F.shiftleft(level(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))))
+    counts = cell_counts(docs.select(F.lower("text").alias("text")), cells, CELLS, "uint16", "uint32")
+    return np.where(counts < 2, 1, np.minimum(126, np.floor(4 * np.log2(np.maximum(counts, 2))))).astype(np.uint8)
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select("o", "v", F.posexplode(F.split("text", "\n")).alias("l", "line"))
+def classes(docs: DataFrame, levels: np.ndarray, percent: int) -> DataFrame:
+    """Rows ``(c, n, sign, skip, prefix)``: first line of each token set, its size, signature and rarest tokens.
 
-
-def classes(docs: DataFrame, levels: bytes, percent: int, numbered: bool) -> DataFrame:
-    """Rows ``(c, o, v, l, n, sign, skip, prefix)``: number and first line of each token set, its size, signature and rarest tokens.
-
-    ``numbered``: documents have numbers of which class numbers can be made that keep their order.
     The signature has 64 bits, each told by the parity of the tokens of one hash group.
-
     ``prefix`` has 31 bits of each token's hash, enough for meeting. Words that are in no other line are left out of it; ``skip``
     says how many.
     """
-    lines = _lines(docs).select(*PLACE, ordered(F.col("line"), levels).alias("t")).where(F.size("t") > 0)
-    rarest = F.slice("t", F.lit(1), F.size("t") - F.ceil(F.size("t") * percent / 100).cast("int") + 1)
-    prefix = F.transform(F.filter(rarest, lambda x: x >= F.lit(2 << 56)), lambda x: x.bitwiseAND(F.lit(2**31 - 1)).cast("int"))
-    sign = F.aggregate("t", F.lit(0).cast("bigint"), lambda x, h: x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), h.bitwiseAND(F.lit(63)).cast("int"))))
-    lines = lines.select(*PLACE, F.size("t").alias("n"), F.xxhash64("t").alias("h1"), F.hash("t").alias("h2"), sign.alias("sign"), prefix.alias("prefix"))
-    first = lines.groupBy("h1", "h2", "n").agg(F.min(F.struct(*PLACE, "sign", "prefix")).alias("f"))
-    whole = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
-    c = F.shiftleft(F.col("f.o"), LINE_BITS).bitwiseOR(F.col("f.l").cast("bigint")) if numbered else F.monotonically_increasing_id()
-    return first.select(c.alias("c"), "f.o", "f.v", "f.l", "n", "f.sign", (whole - F.size("f.prefix")).alias("skip"), "f.prefix")
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.slices(batches, "text"):
+            s = line_sets(batch["text"], shared.value)
+            if not len(s.begin):
+                continue
+            n, mixed = s.size, W.mix(s.members)
+            sign = s.total(np.bitwise_xor, np.uint64(1) << (s.members >> np.uint64(40) & np.uint64(63)))
+            longest = n + (-percent * n // 100) + 1
+            inside = np.arange(len(s.members)) - np.repeat(s.begin, n) < np.repeat(longest, n)
+            inside &= s.level > 1
+            kept = s.total(np.add, inside.astype(np.int64))
+            tokens = pa.array((s.members[inside] & np.uint64(2**31 - 1)).astype(np.int32))
+            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept)]).astype(np.int32)), tokens)
+            place = (np.asarray(batch["o"])[s.text] << LINE_BITS) | s.line
+            h1 = s.total(np.add, mixed).view(np.int64)
+            h2 = s.total(np.bitwise_xor, W.mix(mixed + np.uint64(1))).view(np.int64)
+            numbers = [pa.array(x, pa.int64()) for x in (place, n, h1, h2, sign.view(np.int64), longest - kept)]
+            yield pa.RecordBatch.from_arrays([*numbers, prefix], names=["c", "n", "h1", "h2", "sign", "skip", "prefix"])
+
+    lines = docs.select("o", F.lower("text").alias("text"))
+    lines = lines.mapInArrow(build, "c bigint, n bigint, h1 bigint, h2 bigint, sign bigint, skip bigint, prefix array<int>")
+    first = lines.groupBy("h1", "h2", "n").agg(F.min(F.struct("c", "sign", "skip", "prefix")).alias("f"))
+    return first.select("f.c", "n", "f.sign", "f.skip", "f.prefix")
+
+
+def hot_cells(first: DataFrame) -> np.ndarray:
+    """Cells of tokens that more than ``HOT`` prefixes may have. At most ``CELLS`` numbers."""
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in batches:
+            yield np.asarray(batch["prefix"].flatten()) & (CELLS - 1)
+
+    counts = cell_counts(first.select("prefix"), cells, CELLS, "uint16", "uint32")
+    return np.flatnonzero(counts > HOT)
 
 
 def _close(percent: int) -> Column:
@@ -107,77 +152,130 @@ def _close(percent: int) -> Column:
     left = F.least(n - pos, m - at)
     apart = F.bit_count(F.col("sign").bitwiseXOR(F.col("sign_b")))
     near = (n + m - apart) * (100 + percent) >= 2 * percent * (n + m)
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & near & (left * (100 + percent) >= percent * (n + m))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (left * (100 + percent) >= percent * (n + m)) & near
 
 
-def _map(places: DataFrame) -> bytes:
-    """A byte per cell of places: 1 where a line is that is wanted."""
-    at = F.xxhash64(*PLACE).bitwiseAND(F.lit(MAP_CELLS - 1)) + 1
-    bits = places.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
-    out = bytearray(MAP_CELLS)
+def _map(pairs: DataFrame) -> np.ndarray:
+    """For each cell of lines whether a pair has a line there."""
+    cell = (F.pmod("c", F.lit(MAP_CELLS)) + 1).alias("cell")
+    ends = pairs.select(F.explode(F.array("c", "c_b")).alias("c")).select(cell)
+    bits = ends.groupBy(F.bitmap_bucket_number("cell").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits"))
+    out = np.zeros((MAP_CELLS // 32768 + 1, 4096), np.uint8)
     for row in bits.collect():
-        out[(row.part - 1) * MAP_ROWS : row.part * MAP_ROWS] = b"".join(_BITS[x] for x in row.bits)
-    return bytes(out)
+        out[row.part - 1] = np.frombuffer(row.bits, np.uint8)
+    return np.unpackbits(out.ravel(), bitorder="little").astype(bool)
 
 
-def verify(pairs: DataFrame, docs: DataFrame, first: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Rows ``c``: of the pairs ``(c, c_b)`` whose sets are similar, the class that stands later.
+def verify(pairs: DataFrame, docs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Rows ``c``: of the pairs ``(c, c_b)``, c first, whose sets are similar, the class that stands later.
 
     Only lines that a pair may need, told by a map of fixed size, are cut into tokens again.
     """
+    needed = docs.sparkSession.sparkContext.broadcast(np.packbits(_map(pairs)))
+    none = np.zeros(CELLS, np.uint8)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(needed.value).astype(bool)
+        for batch in W.slices(batches, "text"):
+            data, offsets = W.utf8(batch["text"])
+            ends = np.concatenate([[0], np.cumsum(data == 10)])[offsets]
+            n = np.diff(ends) + 1
+            first = np.cumsum(n) - n
+            place = (np.repeat(np.asarray(batch["o"]), n) << LINE_BITS) | (np.arange(n.sum()) - np.repeat(first, n))
+            s = line_sets(batch["text"], none, bits[place % MAP_CELLS])
+            if len(s.begin):
+                offsets = pa.array(np.append(s.begin, len(s.members)).astype(np.int32))
+                sets = pa.ListArray.from_arrays(offsets, pa.array(s.members.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(place[first[s.text] + s.line]), sets], names=["c", "t"])
+
+    source = docs.select("o", F.lower("text").alias("text"))
+    sets = source.mapInArrow(build, "c bigint, t array<bigint>")
     ends = pairs.select(F.explode(F.array("c", "c_b")).alias("c")).distinct()
-    wanted = scratch.table(first.select("c", *PLACE).join(ends, "c", "left_semi"), "wanted")
-    at = F.xxhash64(*PLACE).bitwiseAND(F.lit(MAP_CELLS - 1)).cast("int") + 1
-    lines = _lines(docs).where(F.substring(F.lit(_map(wanted)), at, F.lit(1)) == F.lit(b"\x01"))
-    sets = scratch.table(lines.join(wanted, PLACE).select("c", F.struct(*PLACE).alias("p"), F.array_distinct(hashes(F.col("line"))).alias("t")), "sets")
-    both = pairs.join(sets, "c").join(sets.select(F.col("c").alias("c_b"), F.col("p").alias("p_b"), F.col("t").alias("t_b")), "c_b")
+    sets = scratch.table(sets.join(ends, "c", "left_semi"), "sets")
+    both = pairs.join(sets, "c").join(sets.select(F.col("c").alias("c_b"), F.col("t").alias("t_b")), "c_b")
     shared = F.size(F.array_intersect("t", "t_b"))
     both = both.where(shared * (100 + percent) >= percent * (F.size("t") + F.size("t_b")))
-    later = scratch.table(both.select(F.when(F.col("p") > F.col("p_b"), F.col("c")).otherwise(F.col("c_b")).alias("c")).distinct(), "later")
-    scratch.drop(sets, wanted)
+    later = scratch.table(both.select(F.col("c_b").alias("c")).distinct(), "later")
+    scratch.drop(sets)
     return later
 
 
-def similar_lines(docs: DataFrame, percent: int, numbered: bool, scratch: Scratch) -> DataFrame:
-    """Rows ``(o, v, stay)``: the lines of each text that stay, being first of their class, and similar to no line before."""
-    levels = rarity(docs)
-    first = scratch.table(classes(docs, levels, percent, numbered), "classes")
-    rows = first.select("c", "n", "skip", "sign", F.posexplode("prefix").alias("at", "s"))
-    np = (F.shiftleft(F.col("n").cast("bigint"), POS) + F.col("at") + F.col("skip")).alias("np")
-    rows = rows.select("s", "c", np, "sign").repartition("s")
-    shared = rows.groupBy("s").agg(F.count("*").alias("k"), F.min(F.struct("c", "np", "sign")).alias("lead")).where("k > 1")
-    rows = rows.join(shared, "s")
+def _cold(rows: DataFrame, other: list[Column], percent: int) -> DataFrame:
+    """All pairs of close rows of one token."""
+    rows = rows.repartition("s")
+    return rows.join(rows.select("s", *other), "s").where("c < c_b").where(_close(percent)).select("c", "c_b").distinct()
+
 
-    # All reads of this one shuffle are parts of one job: pairs, and the rows of hot tokens.
-    cold = rows.where(F.col("k") <= HOT).select("s", "c", "np", "sign")
+def _fitting(hot: DataFrame, later: DataFrame, other: list[Column], percent: int) -> DataFrame:
+    """Pairs of close rows of one hot token. Its rows are dealt by the sizes that go together."""
+    n = F.shiftright("np", POS)
+    least, most = F.ceil(n * percent / 100), F.floor(n * 100 / F.lit(percent))
+    probes = hot.join(later, "c", "left_anti").withColumn("m", F.explode(F.sequence(least.cast("bigint"), most.cast("bigint"))))
+    index = hot.select("s", n.alias("m"), *other)
+    # The later of two is the probe, as the earlier may have gone.
+    both = probes.join(index, ["s", "m"]).where("c_b < c").where(_close(percent))
+    return both.select(F.col("c_b").alias("c"), F.col("c").alias("c_b")).distinct()
+
+
+def similar_lines(docs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Rows ``(o, stay)``: the lines of each text that stay, being first of their class, and similar to no line before."""
+    spark = docs.sparkSession
+    first = scratch.table(classes(docs, rarity(docs), percent), "classes")
+    rows = first.select("c", "n", "skip", "sign", F.posexplode("prefix").alias("at", "s"))
+    rows = rows.select("s", "c", (F.shiftleft("n", POS) + F.col("at") + F.col("skip")).alias("np"), "sign")
     other = [F.col(x).alias(f"{x}_b") for x in ("c", "np", "sign")]
-    pairs = cold.join(cold.select("s", *other), "s").where("c < c_b").where(_close(percent)).select("c", "c_b")
-    hot = rows.where(F.col("k") > HOT)
-    led = hot.where("c <> lead.c").withColumns({"np_b": F.col("lead.np"), "sign_b": F.col("lead.sign")}).where(_close(percent))
-    pairs = pairs.union(led.select("lead.c", "c"))
-    none = lambda kind: F.lit(None).cast(kind)
-    met = pairs.select("c", "c_b", none("int").alias("s"), none("bigint").alias("np"), none("bigint").alias("sign"))
-    met = scratch.table(met.union(hot.select("c", none("bigint"), "s", "np", "sign")), "met")
-    pairs = scratch.table(met.where("c_b is not null").select("c", "c_b").distinct(), "pairs")
+    cells = hot_cells(first)
+    none = spark.createDataFrame([], "c bigint")
+    met, later = [], none
+    cold = rows
+    if len(cells):
+        is_hot = spark.createDataFrame([(int(x),) for x in cells], "cell int")
+        dealt = rows.withColumn("cell", F.col("s").bitwiseAND(F.lit(CELLS - 1)))
+        cold = dealt.join(F.broadcast(is_hot), "cell", "left_anti").drop("cell")
+        hot = scratch.table(dealt.join(F.broadcast(is_hot), "cell", "left_semi").drop("cell"), "hot")
+        for _ in range(ROUNDS):
+            left = hot.join(later, "c", "left_anti")
+            lead = left.groupBy("s").agg(F.min(F.struct("c", "np", "sign")).alias("lead"))
+            led = left.join(lead, "s").where("c <> lead.c").withColumns({"c_b": F.col("c"), "np_b": F.col("lead.np"), "sign_b": F.col("lead.sign")})
+            # A class meets one of its leads at a time, the earliest.
+            pairs = led.where(_close(percent)).groupBy("c_b").agg(F.min("lead.c").alias("c")).select("c", "c_b")
+            pairs = scratch.table(pairs, "led")
+            met.append(pairs)
+            later = scratch.table(later.union(verify(pairs, docs, percent, scratch)), "gone")
+        more = scratch.table(_fitting(hot, later, other, percent), "fitting")
+        scratch.drop(hot)
+    pairs = scratch.table(_cold(cold, other, percent), "pairs")
+    if len(cells):
+        pairs = pairs.union(more).distinct().join(later.select(F.col("c").alias("c_b")), "c_b", "left_anti").select("c", "c_b")
+        for tried in met:
+            pairs = pairs.join(tried, ["c", "c_b"], "left_anti")
+        pairs = scratch.table(pairs, "left")
     # Each class first with the earliest that it met; a class that goes by that needs no other.
     nearest = scratch.table(pairs.groupBy("c_b").agg(F.min("c").alias("c")).select("c", "c_b"), "nearest")
-    later = verify(nearest, docs, first, percent, scratch)
-    rest = pairs.join(later.select(F.col("c").alias("c_b")), "c_b", "left_anti").select("c", "c_b") if numbered else pairs
+    gone = verify(nearest, docs, percent, scratch)
+    rest = pairs.join(gone.select(F.col("c").alias("c_b")), "c_b", "left_anti").select("c", "c_b")
     rest = scratch.table(rest.join(nearest, ["c", "c_b"], "left_anti"), "rest")
-    later = later.union(verify(rest, docs, first, percent, scratch))
-
-    hot = met.where("c_b is null").select("s", "c", "np", "sign")
-    if not hot.isEmpty():
-        # Class numbers that keep the order say which of two stands earlier; others meet both ways.
-        probes = hot.join(later, "c", "left_anti")
-        more = probes.join(hot.select("s", *other), "s").where("c_b < c" if numbered else "c_b <> c").where(_close(percent))
-        more = more.select(F.least("c", "c_b").alias("c"), F.greatest("c", "c_b").alias("c_b")).distinct().join(pairs, ["c", "c_b"], "left_anti")
-        later = later.union(verify(scratch.table(more, "searched"), docs, first, percent, scratch))
-    stay = scratch.table(first.join(later, "c", "left_anti").groupBy("o", "v").agg(F.collect_list("l").alias("stay")), "stay")
-    scratch.drop(first, met, pairs, nearest, rest)
+    later = later.union(gone).union(verify(rest, docs, percent, scratch))
+    stay = first.select("c").join(later, "c", "left_anti")
+    stay = stay.groupBy(F.shiftright("c", LINE_BITS).alias("o")).agg(F.collect_list(F.col("c").bitwiseAND(F.lit((1 << LINE_BITS) - 1)).cast("int")).alias("stay"))
+    stay = scratch.table(stay, "stay")
+    scratch.drop(first, pairs, nearest, rest)
     return stay
 
 
+def _numbered(texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows ``(o, v, text, number)`` of distinct ``(o, v)``, numbered without gaps in their order."""
+    at = F.monotonically_increasing_id()
+    placed = scratch.table(texts.dropDuplicates(["o", "v"]).sort("o", "v").withColumn("at", at), "placed")
+    part = F.shiftright("at", 33)
+    # One row for each task of the sort.
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = placed.groupBy(part.alias("part")).count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
+    placed = placed.withColumn("part", part).join(base, "part")
+    number = F.col("base") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    return scratch.table(placed.select("o", "v", "text", number.alias("number")), "numbered")
+
+
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """``docs`` with later similar lines taken out of ``text``, and ``n_lines``, ``n_removed``, ``emptied`` added.
 
@@ -185,29 +283,31 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     ``percent`` Jaccard similarity or more, be that one removed or not. Lines without words stay. ``emptied``: the
     text had words and has none left. A null text stays null and has no lines. Rows that repeat key and text are one
     document; those that repeat the key alone are ordered by a hash of their text. Null keys stand first. Columns of the
-    names added are replaced; other columns pass through. ``key`` must be a whole number.
+    names added are replaced; other columns pass through, whatever their names. ``key`` must be a whole number.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    repeated = docs.groupBy(key).count().where("count > 1").limit(1).count()
-    o = F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63)))
-    v = F.coalesce(F.xxhash64(text), F.lit(0)) if repeated else F.lit(0).cast("bigint")
-    own = docs.select(o.alias("o"), v.alias("v"), F.col(text).alias("text")).where("text is not null")
-    own = own.dropDuplicates(["o", "v"]) if repeated else own
-    most = own.agg(F.min("o").alias("low"), F.max("o").alias("high")).first()
-    numbered = not repeated and most.low is not None and 0 <= most.low and most.high < 1 << (63 - LINE_BITS)
-    stay = similar_lines(own, percent, numbered, scratch).select(F.col("o").alias("_line_o"), F.col("v").alias("_line_v"), F.col("stay").alias("_line_stay"))
-
-    both = docs.drop("n_lines", "n_removed", "emptied").withColumns({"_line_key": o, "_line_version": v})
-    both = both.join(stay, (F.col("_line_key") == F.col("_line_o")) & (F.col("_line_version") == F.col("_line_v")), "left")
-    lines = F.split(text, "\n")
-    blank = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: ~F.get("_lines", i).rlike(r"[^\x20\x09-\x0D]"))
-    both = both.withColumn("_lines", lines).withColumn("_blank", F.when(F.col("_lines").isNotNull(), blank))
-    both = both.withColumn("_at", F.sort_array(F.concat("_blank", F.coalesce("_line_stay", F.array().cast("array<int>")))))
-    n_lines = F.coalesce(F.size("_lines"), F.lit(0))
-    n_lines = F.when(F.col("_lines").isNull(), 0).otherwise(n_lines)
-    n_left = F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_at"))
-    both = both.withColumn("n_lines", n_lines.cast("bigint")).withColumn("n_removed", (n_lines - n_left).cast("bigint"))
-    both = both.withColumn("emptied", (F.col("n_removed") > 0) & (F.size("_at") == F.size("_blank")))
-    whole = F.array_join(F.transform("_at", lambda i: F.get("_lines", i)), "\n")
-    both = both.withColumn(text, F.when(F.col("n_removed") == 0, F.col(text)).otherwise(whole))
-    return both.select([c for c in docs.columns if c not in ("n_lines", "n_removed", "emptied")] + ["n_lines", "n_removed", "emptied"])
+    o, v = F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63))), F.coalesce(F.xxhash64(text), F.lit(0))
+    texts = docs.select(o.alias("o"), v.alias("v"), F.col(text).alias("text"))
+    counted = texts.groupBy("o").count().agg(F.max("count").alias("most"), F.min("o").alias("low"), F.max("o").alias("high")).first()
+    plain = counted.most is None or (counted.most == 1 and counted.low >= 0 and counted.high < MOST_DOCS)
+    texts = texts.where("text is not null")
+    if plain:
+        stay = similar_lines(texts.select("o", "text"), percent, scratch).withColumn("v", F.lit(0).cast("bigint"))
+    else:
+        numbered = _numbered(texts, scratch)
+        stay = similar_lines(numbered.select(F.col("number").alias("o"), "text"), percent, scratch).withColumnRenamed("o", "number")
+        stay = numbered.select("o", "v", "number").join(stay, "number").select("o", "v", "stay")
+
+    # The input's columns travel in a struct, where no name meets one of ours.
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), o.alias("o"), (F.lit(0).cast("bigint") if plain else v).alias("v"))
+    both = row.join(stay, ["o", "v"], "left").withColumn("lines", F.split(F.col("row")[text], "\n"))
+    blank = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: ~F.get("lines", i).rlike(r"[^\x20\x09-\x0D]"))
+    both = both.withColumn("blank", F.when(F.col("lines").isNotNull(), blank))
+    both = both.withColumn("at", F.sort_array(F.concat("blank", F.coalesce("stay", F.array().cast("array<int>")))))
+    n_lines = F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines"))
+    n_left = F.when(F.col("lines").isNull(), 0).otherwise(F.size("at"))
+    whole = F.array_join(F.transform("at", lambda i: F.get("lines", i)), "\n")
+    left = F.when(n_lines == n_left, F.col("row")[text]).otherwise(whole)
+    added = {"n_lines": n_lines.cast("bigint"), "n_removed": (n_lines - n_left).cast("bigint"), "emptied": F.coalesce((n_lines > n_left) & (F.size("at") == F.size("blank")), F.lit(False))}
+    passed = [(left if c == text else F.col("row")[c]).alias(c) for c in docs.columns if c not in added]
+    return both.select(*passed, *[x.alias(c) for c, x in added.items()])

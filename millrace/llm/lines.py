@@ -11,7 +11,7 @@ that one token's rows are dealt by size. A large group of variants of one line c
 
 Sets are cut in numpy, batch by batch, as op4's native form did not meet the check tool's limits (see the README);
 grouping, meeting and joining are DataFrame functions. The driver holds tables of fixed size:
-a number for each cell of hashed tokens (before and after), and a bit for each cell of lines.
+a number for each cell of hashed tokens, and a bit for each cell of lines.
 """
 
 from __future__ import annotations
@@ -28,12 +28,10 @@ from . import words as W
 from .counts import cell_counts
 from .scratch import Scratch
 
-#: Hash cells in which tokens are counted, for their order alone, and those in which rows of prefixes are counted.
+#: Hash cells in which tokens are counted, for their order alone.
 CELLS = 1 << 20
 #: Prefixes of one token that all meet one another.
-HOT = 1024
-#: Rounds in which the classes of a hot token meet the earliest one that is left.
-ROUNDS = 2
+HOT = 128
 #: Size of a set and position in it, in one number.
 POS = 31
 #: Bits of a line's number in a class number made of document and line.
@@ -132,17 +130,6 @@ def classes(docs: DataFrame, levels: np.ndarray, percent: int) -> DataFrame:
     return first.select("f.c", "n", "f.sign", "f.skip", "f.prefix")
 
 
-def hot_cells(first: DataFrame) -> np.ndarray:
-    """Cells of tokens that more than ``HOT`` prefixes may have. At most ``CELLS`` numbers."""
-
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for batch in batches:
-            yield np.asarray(batch["prefix"].flatten()) & (CELLS - 1)
-
-    counts = cell_counts(first.select("prefix"), cells, CELLS, "uint16", "uint32")
-    return np.flatnonzero(counts > HOT)
-
-
 def _close(percent: int) -> Column:
     """Length and positional filters for two sets that share a token, and the bound that their signatures give.
 
@@ -200,12 +187,6 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int, scratch: Scratch) ->
     return later
 
 
-def _cold(rows: DataFrame, other: list[Column], percent: int) -> DataFrame:
-    """All pairs of close rows of one token."""
-    rows = rows.repartition("s")
-    return rows.join(rows.select("s", *other), "s").where("c < c_b").where(_close(percent)).select("c", "c_b").distinct()
-
-
 def _fitting(hot: DataFrame, later: DataFrame, other: list[Column], percent: int) -> DataFrame:
     """Pairs of close rows of one hot token. Its rows are dealt by the sizes that go together."""
     n = F.shiftright("np", POS)
@@ -219,47 +200,34 @@ def _fitting(hot: DataFrame, later: DataFrame, other: list[Column], percent: int
 
 def similar_lines(docs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Rows ``(o, stay)``: the lines of each text that stay, being first of their class, and similar to no line before."""
-    spark = docs.sparkSession
     first = scratch.table(classes(docs, rarity(docs), percent), "classes")
     rows = first.select("c", "n", "skip", "sign", F.posexplode("prefix").alias("at", "s"))
-    rows = rows.select("s", "c", (F.shiftleft("n", POS) + F.col("at") + F.col("skip")).alias("np"), "sign")
+    rows = rows.select("s", "c", (F.shiftleft("n", POS) + F.col("at") + F.col("skip")).alias("np"), "sign").repartition("s")
+    shared = rows.groupBy("s").agg(F.count("*").alias("k"), F.min(F.struct("c", "np", "sign")).alias("lead")).where("k > 1")
+    rows = rows.join(shared, "s")
+
+    # All reads of this one shuffle are parts of one job: pairs, and the rows of hot tokens.
     other = [F.col(x).alias(f"{x}_b") for x in ("c", "np", "sign")]
-    cells = hot_cells(first)
-    none = spark.createDataFrame([], "c bigint")
-    met, later = [], none
-    cold = rows
-    if len(cells):
-        is_hot = spark.createDataFrame([(int(x),) for x in cells], "cell int")
-        dealt = rows.withColumn("cell", F.col("s").bitwiseAND(F.lit(CELLS - 1)))
-        cold = dealt.join(F.broadcast(is_hot), "cell", "left_anti").drop("cell")
-        hot = scratch.table(dealt.join(F.broadcast(is_hot), "cell", "left_semi").drop("cell"), "hot")
-        for _ in range(ROUNDS):
-            left = hot.join(later, "c", "left_anti")
-            lead = left.groupBy("s").agg(F.min(F.struct("c", "np", "sign")).alias("lead"))
-            led = left.join(lead, "s").where("c <> lead.c").withColumns({"c_b": F.col("c"), "np_b": F.col("lead.np"), "sign_b": F.col("lead.sign")})
-            # A class meets one of its leads at a time, the earliest.
-            pairs = led.where(_close(percent)).groupBy("c_b").agg(F.min("lead.c").alias("c")).select("c", "c_b")
-            pairs = scratch.table(pairs, "led")
-            met.append(pairs)
-            later = scratch.table(later.union(verify(pairs, docs, percent, scratch)), "gone")
-        more = scratch.table(_fitting(hot, later, other, percent), "fitting")
-        scratch.drop(hot)
-    pairs = scratch.table(_cold(cold, other, percent), "pairs")
-    if len(cells):
-        pairs = pairs.union(more).distinct().join(later.select(F.col("c").alias("c_b")), "c_b", "left_anti").select("c", "c_b")
-        for tried in met:
-            pairs = pairs.join(tried, ["c", "c_b"], "left_anti")
-        pairs = scratch.table(pairs, "left")
+    cold = rows.where(F.col("k") <= HOT).select("s", "c", "np", "sign")
+    pairs = cold.join(cold.select("s", *other), "s").where("c < c_b").where(_close(percent)).select("c", "c_b")
+    hot = rows.where(F.col("k") > HOT)
+    led = hot.where("c <> lead.c").withColumns({"np_b": F.col("lead.np"), "sign_b": F.col("lead.sign")}).where(_close(percent))
+    pairs = pairs.union(led.select("lead.c", "c")).distinct()
+    none = lambda kind: F.lit(None).cast(kind)
+    met = pairs.select("c", "c_b", none("int").alias("s"), none("bigint").alias("np"), none("bigint").alias("sign"))
+    met = scratch.table(met.union(hot.select("c", none("bigint"), "s", "np", "sign")), "met")
+    pairs = met.where("c_b is not null").select("c", "c_b")
     # Each class first with the earliest that it met; a class that goes by that needs no other.
     nearest = scratch.table(pairs.groupBy("c_b").agg(F.min("c").alias("c")).select("c", "c_b"), "nearest")
     gone = verify(nearest, docs, percent, scratch)
     rest = pairs.join(gone.select(F.col("c").alias("c_b")), "c_b", "left_anti").select("c", "c_b")
-    rest = scratch.table(rest.join(nearest, ["c", "c_b"], "left_anti"), "rest")
-    later = later.union(gone).union(verify(rest, docs, percent, scratch))
+    more = _fitting(met.where("c_b is null").select("s", "c", "np", "sign"), gone, other, percent)
+    rest = scratch.table(rest.union(more).distinct().join(nearest, ["c", "c_b"], "left_anti"), "rest")
+    later = gone.union(verify(rest, docs, percent, scratch))
     stay = first.select("c").join(later, "c", "left_anti")
     stay = stay.groupBy(F.shiftright("c", LINE_BITS).alias("o")).agg(F.collect_list(F.col("c").bitwiseAND(F.lit((1 << LINE_BITS) - 1)).cast("int")).alias("stay"))
     stay = scratch.table(stay, "stay")
-    scratch.drop(first, pairs, nearest, rest)
+    scratch.drop(first, met, nearest, rest)
     return stay
 
 

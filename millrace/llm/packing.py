@@ -3,8 +3,8 @@
 Documents longer than a sequence give whole sequences and a rest. The histogram of the rests, at
 most ``size - 1`` lengths, is packed by a linear program over patterns. New patterns come from a
 knapsack dynamic program at the current prices. Rounded down, the patterns are dealt to the
-documents by their rank among those of equal length. What rounding leaves, and what only wasteful
-patterns could hold, is laid end to end and cut where sequences end.
+documents by their rank among those of equal length. What rounding leaves, and what the program put into no
+pattern, is laid end to end and cut where sequences end.
 
 The driver sees the histogram and the patterns, whose size does not depend on the corpus. Ranks are
 counted per length and per hash part of the documents, so that no length meets in one task.
@@ -27,83 +27,55 @@ from .tokens import encoder, width
 
 #: Rows of one hash part in which documents are ranked.
 PART_ROWS = 20_000
-#: Column generation ends this close to no padding at all, or after so many columns.
-GAP, COLUMNS = 0.001, 400
-#: Patterns taken in at the prices of one knapsack.
-AT_ONCE = 40
+#: Column generation ends this close to no padding at all, or after so many columns. What the LP has not put
+#: into patterns by then is cut at the ends of sequences, so no id is lost and no padding is added.
+GAP, COLUMNS = 0.001, 2000
+#: Knapsacks solved at one set of prices, each with a bonus for long pieces of up to ``BONUS`` of a sequence's price, and patterns tried of these.
+KNAPSACKS, BONUS, TRIED = 8, 0.5, 128
 #: What cutting a piece costs, as a share of its length.
 CUT_PRICE = 0.05
-#: Patterns that fill less are not used.
-LEAST_FILL = 0.99
-
-
-def padded(total: np.ndarray, size: int) -> np.ndarray:
-    """Length of a sequence with its padding: a power of two needs none."""
-    total = np.asarray(total)
-    return np.where((total & (total - 1)) == 0, total, size)
-
 
 def _knapsack(lengths: np.ndarray, prices: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Best total price of pieces that sum to each length exactly, and the last piece used."""
-    best, last = np.full(size + 1, -np.inf), np.full(size + 1, -1)
-    best[0] = 0
+    """For each row of ``prices``: best total price of pieces that sum to each length exactly, and the last piece used."""
+    rows = np.arange(len(prices))
+    best, last = np.full((len(prices), size + 1), -np.inf), np.full((len(prices), size + 1), -1)
+    best[:, 0] = 0
     upto = np.searchsorted(lengths, np.arange(size + 1), "right")
     for s in range(lengths[0], size + 1):
-        value = best[s - lengths[: upto[s]]] + prices[: upto[s]]
-        i = value.argmax()
-        best[s], last[s] = value[i], i
+        value = best[:, s - lengths[: upto[s]]] + prices[:, : upto[s]]
+        i = value.argmax(1)
+        best[:, s], last[:, s] = value[rows, i], i
     return best, last
 
 
-def first_patterns(demand: np.ndarray, size: int) -> list[np.ndarray]:
-    """Patterns without padding to begin with: the longest piece left, then pieces that fill the gap exactly."""
-    left, out = demand.copy(), []
-    for length in range(size - 1, 0, -1):
-        while left[length]:
-            new, gap = np.zeros(size, np.int64), size - length
-            new[length] = 1
-            while gap:
-                there = (left - new)[: gap + 1] > 0
-                there[0] = False
-                pair = np.flatnonzero(there[1:gap] & there[gap - 1 : 0 : -1]) + 1
-                fits = [gap] if there[gap] else pair if len(pair) else np.flatnonzero(there)
-                if not len(fits):
-                    break
-                new[fits[-1]] += 1
-                gap -= fits[-1]
-            kinds = np.flatnonzero(new)
-            if gap or (left[kinds] < new[kinds]).any():
-                break
-            left -= new * (left[kinds] // new[kinds]).min()
-            out.append(new)
-    return out
-
-
-def patterns(demand: np.ndarray, size: int) -> list[tuple[int, np.ndarray]]:
+def patterns(demand: np.ndarray, size: int, report: dict | None = None) -> list[tuple[int, np.ndarray]]:
     """Patterns and how often each is used, for ``demand[length]`` pieces of each length below ``size``.
 
-    The linear program pays a pattern's padded length for every use, and for a piece in no pattern its
-    length and ``CUT_PRICE`` of it, as it is laid end to end with others and probably cut. It begins with the
-    patterns of ``first_patterns``; the simplex method, with an explicit inverse, takes in the patterns that the
-    knapsack finds at the current prices. Returns ``(copies, counts by length)``; together they
-    never use more pieces than there are.
+    Column generation for the cutting-stock LP. It begins with the trivial columns of one piece each, which
+    stand for pieces in no pattern and cost their length and ``CUT_PRICE`` of it, as these are laid end to end and probably cut.
+    Every other column comes from the knapsack: at the current prices of the pieces, the best pattern
+    through each length. Of the many that are equally good at first, a random bonus prefers those of few long pieces,
+    which leaves the short ones to fill gaps; whether a column enters is decided by the prices alone.
+    The simplex method has an explicit inverse. Returns ``(copies, counts by length)``; together they
+    never use more pieces than there are. ``report`` is given the number of priced columns and the LP's cost as a multiple of its
+    lower bound, sequences without any padding.
     """
     lengths = np.flatnonzero(demand)
     if not len(lengths):
         return []
-    need, m = demand[lengths].astype(float), len(lengths)
-    cost_of = padded(np.arange(size + 1), size) / size
-    cost_of[0] = np.inf
+    need, m, random = demand[lengths].astype(float), len(lengths), np.random.default_rng(1)
     loose = lengths / size * (1 + CUT_PRICE)
     columns, cost, inverse, x, prices = np.eye(m), loose.copy(), np.eye(m), need.copy(), loose.copy()
-    floor, used = need @ lengths / size, 0
+    floor, used, bonus = need @ lengths / size, 0, BONUS
 
     def enter(new: np.ndarray, price: float) -> bool:
         nonlocal prices, x, used
         gain = prices @ new - price
+        if gain <= 1e-9:
+            return False
         step = inverse @ new
         ok = np.flatnonzero(step > 1e-9)
-        if gain <= 1e-9 or not len(ok):
+        if not len(ok):
             return False
         out = ok[np.argmin(x[ok] / step[ok])]
         row = inverse[out] / step[out]
@@ -117,26 +89,29 @@ def patterns(demand: np.ndarray, size: int) -> list[tuple[int, np.ndarray]]:
         columns[:, out], cost[out], used = new, price, used + 1
         return True
 
-    for new in first_patterns(demand, size):
-        enter(new[lengths].astype(float), float(cost_of[size]))
-    used = 0
-    while used < COLUMNS and cost @ x > floor * (1 + GAP):
-        best, last = _knapsack(lengths, prices, size)
+    while used < COLUMNS and cost @ x > floor * (1 + GAP) and bonus > 1e-4:
+        best, last = _knapsack(lengths, prices + (lengths / size) ** 2 * bonus * random.random((KNAPSACKS, m)), size)
         entered = False
-        for s in np.argsort(cost_of - best, kind="stable")[:AT_ONCE]:
-            if best[s] - cost_of[s] <= 1e-9:
-                break
-            new, at = np.zeros(m), s
+        alone = (columns.sum(0) == 1) & (np.abs(cost - loose @ columns) < 1e-12)
+        left = np.zeros(m)
+        left[columns.argmax(0)[alone]] = x[alone]
+        for k, i in enumerate(np.argsort(-(left + 1e-3) * lengths, kind="stable")[:TRIED]):
+            row, at = k % KNAPSACKS, size - lengths[i]
+            if best[row, at] < 0:
+                continue
+            new = np.zeros(m)
+            new[i] = 1
             while at:
-                new[last[at]] += 1
-                at -= lengths[last[at]]
-            entered |= enter(new, float(cost_of[s]))
-        for i in np.flatnonzero(prices > loose + 1e-9)[:AT_ONCE]:
-            entered |= enter(np.eye(1, m, i)[0], float(loose[i]))
-        if not entered:
-            break
+                new[last[row, at]] += 1
+                at -= lengths[last[row, at]]
+            entered |= enter(new, 1.0)
+        for i in np.flatnonzero(prices > loose + 1e-9):
+            enter(np.eye(1, m, i)[0], float(loose[i]))
+        bonus = bonus if entered else bonus / 4
+    if report is not None:
+        report |= {"priced": used, "cost": float(cost @ x / floor)}
     columns = np.rint(columns).astype(np.int64)
-    pattern = (lengths @ columns >= LEAST_FILL * padded(lengths @ columns, size)) & (np.abs(cost - loose @ columns) > 1e-12)
+    pattern = np.abs(cost - loose @ columns) > 1e-12
     copies = np.where(pattern, np.floor(x + 1e-6).astype(np.int64), 0)
     left = demand[lengths] - columns @ copies
     for j in np.flatnonzero(copies):  # never more than there is, whatever the arithmetic
@@ -159,10 +134,10 @@ class Plan:
     """Where the piece of a given length and rank goes. Built from the histogram alone."""
 
     def __init__(self, demand: np.ndarray, n_whole: int, size: int) -> None:
-        self.size, used = size, np.zeros(size, np.int64)
+        self.size, used, self.report = size, np.zeros(size, np.int64), {}
         entries: list[list[tuple[int, int, int, int]]] = [[] for _ in range(size)]
         sequence = 0
-        for copies, counts in patterns(demand, size):
+        for copies, counts in patterns(demand, size, self.report):
             offset = 0
             for length in np.flatnonzero(counts):
                 a = int(counts[length])

@@ -1,7 +1,7 @@
 """Token ids of whole texts, with each distinct piece of text encoded once per worker.
 
 Texts are cut where the tokenizer's own pre-tokenisation always cuts: at white space and between
-ASCII letters and ASCII punctuation. Pieces are told apart by 64-bit hashes in numpy; the
+ASCII letters and ASCII punctuation; texts with the literal of a special token are not cut. Pieces are told apart by 64-bit hashes in numpy; the
 tokenizers library encodes the pieces not met before. Results equal encoding the whole text.
 """
 
@@ -54,7 +54,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.spaces = Tokenizer.from_file(path), spaces
-        self.tokenizer.encode_special_tokens = True
+        # Texts with the literal of an added token are encoded whole, as the library looks for these first.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._forget()
 
     def _forget(self) -> None:
@@ -64,9 +65,8 @@ class Encoder:
 
     def _pieces(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Bytes, begins and ends of the pieces, and the first piece of each text."""
-        data, offsets = W.utf8(column)
-        if not self.spaces:
-            data = W.LOWER[data]
+        own, offsets = W.utf8(column)
+        data = own if self.spaces else W.LOWER[own]
         word = W.NOT_SPACE[data]
         first = np.zeros(len(data), bool)
         first[offsets[:-1][offsets[:-1] < len(data)]] = True
@@ -79,9 +79,13 @@ class Encoder:
         letter, mark = _LETTER[data], _MARK[data]
         start[1:] |= (letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])
         whole = np.asarray(pc.fill_null(pc.match_substring_regex(column, UNUSUAL), False))
+        for literal in self.added:
+            whole = whole | np.asarray(pc.fill_null(pc.match_substring(column, literal, ignore_case=True), False))
         for i in np.flatnonzero(whole):
             start[offsets[i] : offsets[i + 1]] = False
             start[offsets[i]] = True
+            if not self.spaces:
+                data[offsets[i] : offsets[i + 1]] = own[offsets[i] : offsets[i + 1]]
         begin = np.flatnonzero(start)
         end = np.append(begin[1:], len(data))
         if not self.spaces:

@@ -108,5 +108,4 @@ def encoded(texts, path, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return [e.ids + [end] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]

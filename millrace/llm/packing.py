@@ -35,6 +35,7 @@ KNAPSACKS, BONUS, TRIED = 8, 0.5, 128
 #: What cutting a piece costs, as a share of its length.
 CUT_PRICE = 0.05
 
+
 def _knapsack(lengths: np.ndarray, prices: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """For each row of ``prices``: best total price of pieces that sum to each length exactly, and the last piece used."""
     rows = np.arange(len(prices))

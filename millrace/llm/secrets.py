@@ -1,8 +1,9 @@
 """Secret scanning over a ledger of content-addressed blobs, in DataFrame functions.
 
 Each version of a file is a blob, addressed by the SHA-256 of its text. The ledger has a row for
-every scan of a blob: which rule versions it applied and what they found. Only pairs of blob and
-rule version that no row covers are scanned; findings are then joined to every path of the blob.
+every scan of a blob: which rule versions it applied and what each found. Only pairs of blob and
+rule version that no row covers are scanned. Findings of the rule versions in force, and of no others,
+are then joined to every path of the blob; paths of one blob are as many as they are, and findings few.
 """
 
 from __future__ import annotations
@@ -45,7 +46,9 @@ RULES = [
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 1),
 ]
 BASE = 3
-SPANS = "array<struct<start:int,rule:int,end:int>>"
+#: In the ledger a span has the name of its rule version; in the findings its place in today's list.
+SPANS, FOUND = "array<struct<start:int,rule:string,end:int>>", "array<struct<start:int,rule:int,end:int>>"
+LEDGER = f"blob binary, rules array<string>, found {SPANS}"
 
 
 def _maximal(rule: Rule) -> str:
@@ -53,7 +56,7 @@ def _maximal(rule: Rule) -> str:
     return rule.pattern[:-1] + f"{{{rule.least},}}" if rule.kind == "hex" else rule.pattern
 
 
-def spans(text: Column, rule: Rule, number: int) -> Column:
+def spans(text: Column, rule: Rule) -> Column:
     """Spans of the leftmost non-overlapping matches, in code points.
 
     Matches and the pieces between them alternate, so their lengths add up to the positions.
@@ -68,7 +71,7 @@ def spans(text: Column, rule: Rule, number: int) -> Column:
                 match = F.get(found, i)
                 end = start + F.length(match)
                 counted = match if rule.group == 0 else F.regexp_extract(match, pattern, rule.group)
-                span = F.array(F.struct(start.alias("start"), F.lit(number).alias("rule"), end.alias("end")))
+                span = F.array(F.struct(start.alias("start"), F.lit(rule.name).alias("rule"), end.alias("end")))
                 kept = F.when(F.length(counted) >= rule.least, F.concat(state["spans"], span)).otherwise(state["spans"])
                 return F.struct(end.alias("at"), kept.alias("spans"))
 
@@ -85,7 +88,7 @@ def spans(text: Column, rule: Rule, number: int) -> Column:
 def scan(versions: DataFrame, ledger: DataFrame | None, rules: list[Rule], scratch: Scratch) -> DataFrame:
     """New ledger rows ``(blob, rules, found)`` for what ``ledger`` does not cover.
 
-    ``versions`` has ``(path, text)``. One path of each blob is scanned. ``found`` is sorted by start, then rule.
+    ``versions`` has ``(path, text)``. One path of each blob is scanned. ``found`` says for each span which rule version found it.
     """
     named = F.array(*[F.lit(r.name) for r in rules])
     seen = versions.select("path", F.unhex(F.sha2("text", 256)).alias("blob"))
@@ -99,25 +102,50 @@ def scan(versions: DataFrame, ledger: DataFrame | None, rules: list[Rule], scrat
     # In the join null paths meet null paths; the blob is compared too, as paths may have several texts.
     text = versions.select(F.col("path").alias("p"), "text")
     rows = text.join(todo, F.col("p").eqNullSafe(F.col("path"))).where(F.unhex(F.sha2("text", 256)) == F.col("blob"))
-    found = [F.when(F.array_contains("rules", r.name), spans(F.col("text"), r, i)).otherwise(F.array().cast(SPANS)) for i, r in enumerate(rules)]
-    rows = rows.select("blob", "rules", F.array_sort(F.concat(*found)).alias("found"))
+    found = [F.when(F.array_contains("rules", r.name), spans(F.col("text"), r)).otherwise(F.array().cast(SPANS)) for r in rules]
+    rows = rows.select("blob", "rules", F.concat(*found).alias("found"))
     return scratch.table(rows.dropDuplicates(["blob"]), "ledger")
 
 
+def in_force(ledger: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Rows ``(blob, found)`` of blobs in which ``rules`` found something, sorted by start, then by the order of the rules.
+
+    What other rules or other versions of them found is left out, and so is what a blob's rows repeat.
+    """
+    named = F.array(*[F.lit(r.name) for r in rules])
+    found = ledger.where(F.size("found") > 0).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("found"))).alias("found"))
+    own = F.filter("found", lambda s: F.array_contains(named, s["rule"]))
+    own = F.transform(own, lambda s: F.struct(s["start"], (F.array_position(named, s["rule"]) - 1).cast("int").alias("rule"), s["end"]))
+    return found.select("blob", F.sort_array(own).cast(FOUND).alias("found")).where(F.size("found") > 0)
+
+
 def findings(docs: DataFrame, key: str = "doc_id", text: str = "text", ledger: DataFrame | None = None, rules: list[Rule] | None = None) -> tuple[DataFrame, DataFrame]:
     """Findings of every row of ``docs`` and the new ledger rows.
 
     The first table has ``(key, found)``, with ``found`` an array of ``(start, rule, end)``, empty where nothing
-    is found. A null text is an empty one. Rows that repeat a key or text each get their row. Other columns are not read.
-    Matches of overlapping rules are all kept.
+    is found; ``rule`` is the place in ``rules``. A null text is an empty one. Rows that repeat a key or text each get their row.
+    Other columns are not read. Matches of overlapping rules are all kept. Ledger rows of rules that are not in ``rules`` in
+    the same version are not reported; rules may come in any order.
     """
     rules, scratch = rules or RULES, Scratch(docs.sparkSession, "secrets")
     versions = docs.select(F.col(key).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     new = scan(versions, ledger, rules, scratch)
     known = new if ledger is None else ledger.select(new.columns).unionByName(new)
-    hits = known.where(F.size("found") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_set("found"))).alias("found"))
+    # Written, so that in the join only the paths are dealt anew where one blob has very many.
+    hits = scratch.table(in_force(known, rules), "hits")
     paths = versions.select("path", F.unhex(F.sha2("text", 256)).alias("blob")).join(hits, "blob", "left")
-    return paths.select(F.col("path").alias(key), F.coalesce("found", F.array().cast(SPANS)).alias("found")), new
+    return paths.select(F.col("path").alias(key), F.coalesce("found", F.array().cast(FOUND)).alias("found")), new
+
+
+def commit(docs: DataFrame, folder: str, first: bool = False, key: str = "doc_id", text: str = "text", rules: list[Rule] | None = None) -> DataFrame:
+    """Findings of every row of ``docs`` by the ledger in ``folder``, to which the scans of what was new are added.
+
+    ``first``: there is no ledger yet. The folder must be one that the cluster shares and keeps.
+    """
+    ledger = None if first else docs.sparkSession.read.schema(LEDGER).parquet(folder)
+    found, new = findings(docs, key, text, ledger, rules)
+    new.write.mode("append").parquet(folder)
+    return found
 
 
 def digest(found: DataFrame, key: str = "doc_id", rules: list[Rule] | None = None) -> DataFrame:

@@ -48,7 +48,8 @@ DEFAULT_PRICE, EMBED_PRICE = (0.30, 2.50), 0.025
 # Sizes and thresholds.
 TOP_KEYWORDS, PER_ARTICLE, VOCABULARY, MAX_DF = 50, 10, 500, 0.95
 ASSOC_VOCABULARY, ASSOC_SUPPORT, ASSOC_CONFIDENCE, ASSOC_RULES, ASSOC_SETS = 30, 0.10, 0.5, 15, 20
-CHUNK, OVERLAP, TOP_K = 600, 80, 5
+CHUNK, OVERLAP, LEAST_CHUNK, TOP_K = 600, 80, 20, 5
+LATEST_EVENTS = 500
 
 # Phrases that lead on to paid content, and hosts whose texts end without one, with the least length of a whole text.
 PAYWALL = [
@@ -66,3 +67,7 @@ LISTING_BLOCKS = ["延伸閱讀", "相關文章", "推薦閱讀", "熱門文章"
 
 # Parts of class names and ids, and what they add to a block's weight of 1.
 WEIGHTS = [(["main", "content", "center", "article"], 0.3), (["side", "sidebar", "widget", "aside"], -0.5), (["header", "footer", "nav"], -0.4)]
+
+# Limits of colour families. Dark below, pale below, white above, red around 0 degrees, brown below; then hues up to a degree.
+COLOR_LIMITS = (0.22, 0.14, 0.82, 15, 0.75)
+HUES = [(45, "橙"), (70, "黃"), (160, "綠"), (200, "青"), (255, "藍"), (290, "紫")]

@@ -10,6 +10,16 @@ from pyspark.sql import functions as F
 from . import constants as C
 
 
+#: White space at which texts are stripped, and line ends, beyond ASCII too.
+SPACE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+LINE_END = r"\r\n|[\n-\r\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
+
+
+def strip(text: Column) -> Column:
+    """A text without the white space around it."""
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+
+
 def has_any(text: Column, marks: list[str]) -> Column:
     """Whether a text holds one of the marks; false for null."""
     return F.coalesce(reduce(lambda a, b: a | b, [text.contains(m) for m in marks]), F.lit(False))
@@ -28,7 +38,7 @@ def with_bigrams(tokens: Column) -> Column:
 
 def clean_lines(text: Column, least: int = 4) -> Column:
     """Trimmed lines of ``least`` characters or more, with a blank line between them; null gives an empty text."""
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n"), lambda x: F.trim(x))
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), LINE_END), strip)
     return F.array_join(F.filter(lines, lambda x: F.length(x) >= least), "\n\n")
 
 
@@ -39,9 +49,9 @@ def trim_boilerplate(text: Column, extra: list[str] = (), keep: int = 150) -> Co
 
     def step(s: Column, line: Column) -> Column:
         over = s["over"] | ((s["seen"] >= keep) & has_any(line, marks))
-        return F.struct((s["seen"] + F.length(F.trim(line))).alias("seen"), over.alias("over"), F.when(over, s["kept"]).otherwise(F.concat(s["kept"], F.array(line))).alias("kept"))
+        return F.struct((s["seen"] + F.length(strip(line))).alias("seen"), over.alias("over"), F.when(over, s["kept"]).otherwise(F.concat(s["kept"], F.array(line))).alias("kept"))
 
-    return F.trim(F.array_join(F.aggregate(F.split(text, "\n"), start, step, lambda s: s["kept"]), "\n"))
+    return strip(F.array_join(F.aggregate(F.split(text, "\n"), start, step, lambda s: s["kept"]), "\n"))
 
 
 def cjk_ratio(text: Column) -> Column:
@@ -71,15 +81,16 @@ def csv_safe(cell: Column) -> Column:
 
 def json_object(raw: Column) -> Column:
     """What stands from the first brace to the last, without a code fence; the text itself if there is none."""
-    s = F.trim(F.coalesce(raw, F.lit("")))
-    s = F.trim(F.regexp_replace(F.regexp_replace(s, r"^```(?:json)?\s*", ""), r"\s*```$", ""))
+    s = strip(F.coalesce(raw, F.lit("")))
+    s = strip(F.regexp_replace(F.regexp_replace(s, r"^```(?:json)?\s*", ""), r"\s*```$", ""))
     found = F.regexp_extract(s, r"(?s)\{.*\}", 0)
     return F.when(found != "", found).otherwise(s)
 
 
 def demote_headings(markdown: Column) -> Column:
     """Headings of level 1 to 5 become one lower."""
-    return F.regexp_replace(markdown, r"(?m)^(#{1,5})(\s)", "#$1$2")
+    deeper = F.transform(F.split(markdown, "\n"), lambda x: F.when(x.rlike("^#{1,5}\\s"), F.concat(F.lit("#"), x)).otherwise(x))
+    return F.array_join(deeper, "\n")
 
 
 def slug(name: Column) -> Column:
@@ -97,9 +108,10 @@ def color_family(code: Column) -> Column:
         return F.struct(v.alias("v"), F.when(v > 0, c / v).otherwise(F.lit(0.0)).alias("s"), (turn * 60).alias("deg"))
 
     def family(x: Column) -> Column:
-        name = F.when(x["v"] < 0.22, "黑").when((x["s"] < 0.14) & (x["v"] > 0.82), "白").when(x["s"] < 0.14, "灰")
-        name = name.when((x["deg"] < 15) | (x["deg"] >= 345), "紅").when((x["deg"] < 45) & (x["v"] < 0.75), "金或暖棕")
-        for limit, kind in ((45, "橙"), (70, "黃"), (160, "綠"), (200, "青"), (255, "藍"), (290, "紫")):
+        dark, pale, bright, edge, brown = C.COLOR_LIMITS
+        name = F.when(x["v"] < dark, "黑").when((x["s"] < pale) & (x["v"] > bright), "白").when(x["s"] < pale, "灰")
+        name = name.when((x["deg"] < edge) | (x["deg"] >= 360 - edge), "紅").when((x["deg"] < 45) & (x["v"] < brown), "金或暖棕")
+        for limit, kind in C.HUES:
             name = name.when(x["deg"] < limit, kind)
         return name.otherwise("粉或洋紅")
 
@@ -121,7 +133,7 @@ def http_error(content: Column, title: Column) -> Column:
 
 
 def block_page(content: Column, title: Column) -> Column:
-    return has_any(_blob(content, title), C.BLOCK_PAGES) & (F.length(F.trim(F.coalesce(content, F.lit("")))) < 1200)
+    return has_any(_blob(content, title), C.BLOCK_PAGES) & (F.length(strip(F.coalesce(content, F.lit("")))) < 1200)
 
 
 def cms(html: Column) -> Column:

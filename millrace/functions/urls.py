@@ -6,13 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import constants as C
-from .text import has_any
+from .text import has_any, strip
 
 _PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?//(?:[^/?#@]*@)?([^/?#:]*)(?::([0-9]*))?([^?#]*)(?:\?([^#]*))?"
 
 
 def part(url: Column, i: int) -> Column:
-    return F.regexp_extract(F.trim(F.coalesce(url, F.lit(""))), _PARTS, i)
+    return F.regexp_extract(strip(F.coalesce(url, F.lit(""))), _PARTS, i)
 
 
 def host(url: Column) -> Column:
@@ -37,7 +37,7 @@ def canonical(url: Column) -> Column:
     pairs = F.filter(F.split(part(url, 5), "&"), lambda x: (x != "") & ~F.lower(F.substring_index(x, "=", 1)).isin(C.TRACKING))
     query = F.array_join(F.array_sort(F.transform(pairs, lambda x: F.when(x.contains("="), x).otherwise(F.concat(x, F.lit("="))))), "&")
     whole = F.concat(scheme, F.lit("://"), netloc, p, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
-    return F.when(host(url) == "", F.lower(F.trim(F.coalesce(url, F.lit(""))))).otherwise(whole)
+    return F.when(host(url) == "", F.lower(strip(F.coalesce(url, F.lit(""))))).otherwise(whole)
 
 
 def source_type(url: Column) -> Column:

@@ -9,22 +9,39 @@ from ..functions import constants as C
 from ..functions.text import with_bigrams, words
 
 
-def term_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", *more: str) -> DataFrame:
-    """Rows ``(key, term, tf)``, and the columns ``more`` of ``docs``; words and pairs of neighbours."""
-    toks = docs.select(key, *more, words(F.col(text)).alias("_t"))
-    return toks.select(key, *more, F.explode(with_bigrams(F.col("_t"))).alias("term")).groupBy(key, *more, "term").agg(F.count("*").alias("tf"))
+def _terms(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows ``(key, terms)``: words and pairs of neighbours of each document."""
+    return docs.select(F.col(key), words(F.col(text)).alias("t")).select(key, with_bigrams(F.col("t")).alias("terms"))
+
+
+def term_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows ``(key, term, tf)``; words and pairs of neighbours."""
+    return _terms(docs, key, text).select(key, F.explode("terms").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+
+
+def vocabulary(terms: DataFrame, n: int, size: int) -> DataFrame:
+    """Rows ``(term, df)`` of the ``size`` terms that occur most often, but in at most ``MAX_DF`` of the ``n`` documents.
+
+    A document's terms are sorted in its row, where the first of each run tells it apart, so counting shuffles no rows by document.
+    """
+    ordered = terms.select(F.sort_array("terms").alias("t")).where(F.size("t") > 0)
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("t", F.lit(1), F.size("t") - 1))
+    each = ordered.select(F.explode(F.arrays_zip(F.col("t").alias("term"), before.alias("before"))).alias("x"))
+    first = F.when(F.col("x.before").eqNullSafe(F.col("x.term")), 0).otherwise(1)
+    found = each.groupBy(F.col("x.term").alias("term")).agg(F.sum(first).alias("df"), F.count("*").alias("n"))
+    found = found.where(F.col("df") <= C.MAX_DF * n if n > 1 else F.lit(True))
+    return found.orderBy(F.desc("n"), "term").limit(size).select("term", "df")
 
 
 def weights(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, int]:
     """Rows ``(key, term, weight)`` of the vocabulary's terms, each document of length 1; and the number of documents.
 
-    The vocabulary, of fixed size, is broadcast.
+    The vocabulary has ``VOCABULARY`` rows at most and is broadcast; other terms leave before anything is shuffled.
     """
-    n = docs.count()
-    tf = term_counts(docs, key, text)
-    vocabulary = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n")).where(F.col("df") <= C.MAX_DF * n if n > 1 else F.lit(True))
-    vocabulary = vocabulary.orderBy(F.desc("n"), "term").limit(C.VOCABULARY).select("term", "df")
-    w = tf.join(F.broadcast(vocabulary), "term").withColumn("w", F.col("tf") * (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1))
+    n, terms = docs.count(), _terms(docs, key, text)
+    known = F.broadcast(vocabulary(terms, n, C.VOCABULARY))
+    tf = terms.select(key, F.explode("terms").alias("term")).join(known, "term").groupBy(key, "term", "df").agg(F.count("*").alias("tf"))
+    w = tf.withColumn("w", F.col("tf") * (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return w.select(key, "term", (F.col("w") / norm).alias("weight")), n
 
@@ -43,25 +60,32 @@ def article_keywords(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     return w.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= C.PER_ARTICLE)
 
 
-def baskets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, int]:
-    """For each document, which of the corpus's most frequent terms it has, sorted; and the number of non-empty baskets."""
-    tf = term_counts(docs, key, text)
-    n = docs.count()
-    top = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n")).where(F.col("df") <= C.MAX_DF * n)
-    top = top.orderBy(F.desc("n"), "term").limit(C.ASSOC_VOCABULARY).select("term")
-    out = tf.join(F.broadcast(top), "term").groupBy(key).agg(F.array_sort(F.collect_set("term")).alias("basket"))
-    return out, out.count()
+def baskets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows ``(key, basket)``: which of the corpus's most frequent terms a document has, sorted. Documents without any have no row."""
+    n, terms = docs.count(), _terms(docs, key, text)
+    known = F.broadcast(vocabulary(terms, n, C.ASSOC_VOCABULARY).select("term"))
+    found = terms.select(key, F.explode(F.array_distinct("terms")).alias("term")).join(known, "term")
+    return found.groupBy(key).agg(F.array_sort(F.collect_set("term")).alias("basket"))
 
 
 def frequent_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows ``(a, b, n, n_a, n_b, total)`` of pairs of terms that stand together in enough documents."""
-    held, total = baskets(docs, key, text)
-    one = held.select(F.explode("basket").alias("t")).groupBy("t").agg(F.count("*").alias("k"))
-    pair = held.select(F.posexplode("basket").alias("i", "a"), "basket").select("a", F.explode(F.expr("slice(basket, i + 2, size(basket))")).alias("b"))
-    pair = pair.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= max(3, int(C.ASSOC_SUPPORT * total)))
+    """Rows ``(a, b, n, n_a, n_b, total)`` of pairs of terms that stand together in enough documents.
+
+    Baskets, terms and pairs are counted at once; the counts, some hundreds, are read back by the broadcast sides.
+    """
+    none = F.lit(None).cast("string")
+    one = F.transform("basket", lambda x: F.struct(x.alias("a"), none.alias("b")))
+    rest = lambda x, i: F.transform(F.slice("basket", i + 2, F.size("basket")), lambda y: F.struct(x.alias("a"), y.alias("b")))
+    pair = F.flatten(F.transform("basket", rest))
+    whole = F.array(F.struct(none.alias("a"), none.alias("b")))
+    counts = baskets(docs, key, text).select(F.explode(F.concat(whole, one, pair)).alias("x")).groupBy("x.a", "x.b").agg(F.count("*").alias("n"))
+    total = counts.where("a is null").select(F.col("n").alias("total"))
+    out = counts.where("b is not null").crossJoin(F.broadcast(total))
+    out = out.where((F.col("total") >= 4) & (F.col("n") >= F.greatest(F.lit(3), F.floor(C.ASSOC_SUPPORT * F.col("total")))))
     for side in "ab":
-        pair = pair.join(F.broadcast(one.select(F.col("t").alias(side), F.col("k").alias(f"n_{side}"))), side)
-    return pair.withColumn("total", F.lit(total).cast("bigint")).where(F.lit(total >= 4))
+        single = counts.where("a is not null and b is null").select(F.col("a").alias(side), F.col("n").alias(f"n_{side}"))
+        out = out.join(F.broadcast(single), side)
+    return out
 
 
 def itemsets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -83,7 +107,7 @@ def filter_candidates(docs: DataFrame, kind: str, baseline: str, key: str = "doc
     """Words that stand in most documents of one kind and in few of the baseline's: the chrome of that kind of site."""
     size = docs.groupBy(kind).agg(F.count("*").alias("doc_n"))
     toks = docs.select(key, kind, F.explode(words(F.col(text))).alias("term")).groupBy(key, kind, "term").agg(F.count("*").alias("tf"))
-    t = toks.groupBy(kind, "term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).join(F.broadcast(size), kind)
+    t = toks.groupBy(kind, "term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).join(size, kind)
     t = t.select(kind, "term", "df", "doc_n", (F.col("df") / F.col("doc_n")).alias("rate"), (F.col("tf") / F.col("df")).alias("reps"))
     base = t.where(F.col(kind) == baseline).select("term", F.col("rate").alias("base"))
     first = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("rate"), kind))

@@ -35,6 +35,11 @@ def query(sql: str | None = None):
     return add
 
 
+#: SQL for a text without the white space around it.
+def _strip(text: str) -> str:
+    return f"regexp_replace({text}, '^{T.SPACE}+|{T.SPACE}+$', '', 'g')"
+
+
 def _any(text: str, marks: list[str]) -> str:
     return "(" + " OR ".join(f"contains({text}, '{m.replace(chr(39), chr(39) * 2)}')" for m in marks) + ")"
 
@@ -132,7 +137,7 @@ def embedding_l2_normalize(spark, d):
 
 @query()
 def kmeans_clusters(spark, d):
-    return V.clusters(table(spark, d, "embeddings"), seeds=3)
+    return V.clusters(table(spark, d, "embeddings"))
 
 
 @query()
@@ -151,9 +156,9 @@ def embedding_cache_misses(spark, d):
 # Urls and pages
 
 _P = [r"'^(?:([A-Za-z][A-Za-z0-9+.-]*):)?//(?:[^/?#@]*@)?([^/?#:]*)(?::([0-9]*))?([^?#]*)(?:\?([^#]*))?'"][0]
-_PART = lambda url, i: f"regexp_extract(trim(coalesce({url}, '')), {_P}, {i})"
+_PART = lambda url, i: f"regexp_extract({_strip(f"coalesce({url}, '')")}, {_P}, {i})"
 _KEY = f"""
-SELECT page_id, u, CASE WHEN host = '' THEN lower(trim(coalesce(u, ''))) ELSE scheme || '://' || host ||
+SELECT page_id, u, CASE WHEN host = '' THEN lower({_strip("coalesce(u, '')")}) ELSE scheme || '://' || host ||
   CASE WHEN port = '' OR (scheme = 'http' AND port = '80') OR (scheme = 'https' AND port = '443') THEN '' ELSE ':' || port END ||
   CASE WHEN path = '' THEN '/' WHEN length(path) > 1 THEN regexp_replace(path, '/+$', '') ELSE path END ||
   CASE WHEN len(q) = 0 THEN '' ELSE '?' || array_to_string(list_sort(list_transform(q, lambda x: CASE WHEN contains(x, '=') THEN x ELSE x || '=' END)), '&') END END AS url_key
@@ -175,12 +180,12 @@ def _urls(spark: SparkSession, d: str) -> DataFrame:
 _URLS = f"(SELECT page_id, url AS u FROM pages UNION ALL SELECT * FROM {_values([(-1 - i, u) for i, u in enumerate(SAMPLES)], 'page_id, u')})"
 
 
-@query(f"SELECT page_id, url_key FROM ({_KEY.format(_URLS)})")
+@query(f"SELECT page_id, url_key FROM ({_KEY.replace("{0}", _URLS)})")
 def url_canonical_key(spark, d):
     return _urls(spark, d).select("page_id", U.canonical(F.col("u")).alias("url_key"))
 
 
-@query(f"SELECT url_key, min(page_id) AS page_id, count(*) AS n FROM ({_KEY.format(_URLS)}) GROUP BY url_key")
+@query(f"SELECT url_key, min(page_id) AS page_id, count(*) AS n FROM ({_KEY.replace("{0}", _URLS)}) GROUP BY url_key")
 def url_dedup_first(spark, d):
     return _urls(spark, d).groupBy(U.canonical(F.col("u")).alias("url_key")).agg(F.min("page_id").alias("page_id"), F.count("*").alias("n"))
 
@@ -220,7 +225,7 @@ TEXTS = [
 
 
 @query(f"""SELECT i, length(c) < 1500 AND {_any("c", C.BROWSER_ERRORS)} AS browser_error, {_any("lower(t || chr(10) || c)", C.HTTP_ERRORS)} AS http_error,
-{_any("lower(t || chr(10) || c)", C.BLOCK_PAGES)} AND length(trim(c)) < 1200 AS block_page
+{_any("lower(t || chr(10) || c)", C.BLOCK_PAGES)} AND length({_strip('c')}) < 1200 AS block_page
 FROM (SELECT i, coalesce(c, '') AS c, coalesce(t, '') AS t FROM (SELECT * FROM {_values([(-1 - i, c, t) for i, (c, t) in enumerate(TEXTS)], "i, c, t")} UNION ALL SELECT page_id, html, url FROM pages))""")
 def page_error_class(spark, d):
     more = spark.createDataFrame([(-1 - i, c, t) for i, (c, t) in enumerate(TEXTS)], "i bigint, c string, t string")
@@ -306,7 +311,7 @@ def denoise_accept(spark, d):
 # Texts
 
 
-@query(r"SELECT doc_id, array_to_string(list_filter(list_transform(string_split_regex(coalesce(text, ''), '\r\n|\r|\n'), lambda x: trim(x)), lambda x: length(x) >= 4), chr(10) || chr(10)) AS clean FROM documents")
+@query(f"SELECT doc_id, array_to_string(list_filter(list_transform(string_split_regex(coalesce(text, ''), '{T.LINE_END}'), lambda x: {_strip('x')}), lambda x: length(x) >= 4), chr(10) || chr(10)) AS clean FROM documents")
 def clean_text(spark, d):
     return table(spark, d, "documents").select("doc_id", T.clean_lines(F.col("text")).alias("clean"))
 
@@ -315,9 +320,9 @@ _EXTRA = ["Apache License", "cookie", "subscribe"]
 
 
 @query(rf"""WITH l AS (SELECT doc_id, i, string_split(text, chr(10))[i] AS line FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
-s AS (SELECT doc_id, i, line, coalesce(sum(length(trim(line))) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 150 AND {_any("line", C.BOILERPLATE + _EXTRA)} AS cut FROM l),
+s AS (SELECT doc_id, i, line, coalesce(sum(length({_strip('line')})) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 150 AND {_any("line", C.BOILERPLATE + _EXTRA)} AS cut FROM l),
 c AS (SELECT doc_id, coalesce(min(i) FILTER (cut), 1000000000) AS cut FROM s GROUP BY doc_id)
-SELECT doc_id, trim(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (i < c.cut), '')) AS trimmed FROM s JOIN c USING (doc_id) GROUP BY doc_id""")
+SELECT doc_id, {_strip("coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (i < c.cut), '')")} AS trimmed FROM s JOIN c USING (doc_id) GROUP BY doc_id""")
 def trim_boilerplate(spark, d):
     return table(spark, d, "documents").select("doc_id", T.trim_boilerplate(F.col("text"), _EXTRA).alias("trimmed"))
 
@@ -341,9 +346,14 @@ def prompts_and_cells(spark, d):
 _ANSWERS = ['```json\n{"a": 1}\n```', 'so: {"a": {"b": 2}} done', "```\nnot json here\n```", None, "", "{}"]
 
 
-@query(rf"""SELECT i, CASE WHEN regexp_extract(s, '(?s)\{{.*\}}') <> '' THEN regexp_extract(s, '(?s)\{{.*\}}') ELSE s END AS json FROM (SELECT i, trim(regexp_replace(regexp_replace(trim(coalesce(raw, '')), '^```(?:json)?\s*', ''), '\s*```$', '')) AS s FROM {_values([(i, a) for i, a in enumerate(_ANSWERS)], "i, raw")})""")
+_RAW = f"(SELECT -1 - i AS i, 0 AS turn, raw FROM {_values(list(enumerate(_ANSWERS)), 'i, raw')} UNION ALL SELECT conv_id, turn, text FROM conversations)"
+_BODY = f"regexp_replace(regexp_replace({_strip("coalesce(raw, '')")}, '^```(?:json)?\\s*', ''), '\\s*```$', '')"
+
+
+@query(rf"""SELECT i, turn, CASE WHEN regexp_extract(s, '(?s)\{{.*\}}') <> '' THEN regexp_extract(s, '(?s)\{{.*\}}') ELSE s END AS json FROM (SELECT i, turn, {_strip(_BODY)} AS s FROM {_RAW})""")
 def json_clean(spark, d):
-    return spark.createDataFrame(list(enumerate(_ANSWERS)), "i int, raw string").select("i", T.json_object(F.col("raw")).alias("json"))
+    more = spark.createDataFrame([(-1 - i, 0, a) for i, a in enumerate(_ANSWERS)], "i bigint, turn bigint, raw string")
+    return more.union(table(spark, d, "conversations").select("conv_id", "turn", "text")).select("i", "turn", T.json_object(F.col("raw")).alias("json"))
 
 
 _COLORS = ["#000000", "#ffffff", "#808080", "#ff0000", "#ff8800", "#a06010", "#ffee00", "#00ff00", "#00ffff", "#0000ff", "#8800ff", "#ff00aa", "#FF0010", "oops", ""]
@@ -382,12 +392,14 @@ def source_counts(spark, d):
     return R.distribution(table(spark, d, "documents"), "source")
 
 
-@query("""SELECT user_id, count(*) AS events, sum(k)::BIGINT AS total, array_to_string(list_sort(list_distinct(list(event_type))), ',') AS actions FROM
-(SELECT user_id, event_type, (props->>'k')::BIGINT AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS i FROM events) WHERE i <= 50 GROUP BY user_id""")
+@query(f"""WITH e AS (SELECT user_id, event_type, (props->>'k')::BIGINT AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS i FROM events),
+a AS (SELECT user_id, event_type, count(*) AS n, sum(k)::BIGINT AS k FROM e WHERE i <= {C.LATEST_EVENTS} GROUP BY ALL)
+SELECT user_id, sum(n)::BIGINT AS events, sum(k)::BIGINT AS total, string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS actions FROM a GROUP BY user_id""")
 def usage_by_user(spark, d):
-    e = R.latest(table(spark, d, "events"), "user_id", [F.desc("ts"), F.desc("event_id")], 50)
-    k = F.get_json_object("props", "$.k").cast("bigint")
-    return e.groupBy("user_id").agg(F.count("*").alias("events"), F.sum(k).alias("total"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("actions"))
+    e = R.latest(table(spark, d, "events"), "user_id", [F.desc("ts"), F.desc("event_id")], C.LATEST_EVENTS)
+    e = e.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.sum(F.get_json_object("props", "$.k").cast("bigint")).alias("k"))
+    actions = F.transform(F.sort_array(F.collect_list(F.struct("event_type", "n"))), lambda x: F.concat_ws("=", x["event_type"], x["n"].cast("string")))
+    return e.groupBy("user_id").agg(F.sum("n").alias("events"), F.sum("k").alias("total"), F.array_join(actions, ",").alias("actions"))
 
 
 @query("""SELECT coalesce(event_type, 'all') AS category, coalesce(CAST(ts AS DATE)::VARCHAR, 'all') AS day, count(*) AS calls, sum((props->>'k')::BIGINT)::BIGINT AS tokens

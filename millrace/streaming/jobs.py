@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_folder
+
 ORDER = ["ts", "event_id"]
 
 
@@ -26,8 +27,7 @@ def run_job_state(spark: SparkSession, path: str, job: str, status: str, final:
 
     Each trigger writes the whole state under its own number, in the shared folder; the last one counts.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='millrace-')}"
-    base = f"{base.rstrip('/')}/job-state-{uuid.uuid4().hex[:12]}"
+    base = f"{shared_folder(spark)}/job-state-{uuid.uuid4().hex[:12]}"
     schema = spark.read.parquet(path).schema
     events = spark.readStream.schema(schema).parquet(path if not path.endswith(".parquet") else path.rpartition("/")[0] + "/events.parquet*")
     written: list[int] = []

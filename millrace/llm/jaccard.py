@@ -21,19 +21,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .counts import cell_counts
 from .links import components
 from .rtree import RTree, needed
 from .scratch import Scratch
 
-#: Cells of the table of shingle counts that orders shingles by rarity, and how it is cut for adding up.
-CELLS, PARTS, SALTS = 1 << 23, 64, 32
-#: Shingles counted at a time.
-COUNTED = 1 << 21
+#: Cells of the table of shingle counts that orders shingles by rarity.
+CELLS = 1 << 23
 #: Coordinates of a point.
 GROUPS = 128
 #: Rounds of comparing each document with the smallest one that it shares a prefix shingle with.
 ROUNDS = 2
-#: Rows of one shingle that one search holds; a shingle with more is dealt over several.
+#: Rows of one shingle that one search has in its tree, and as many that it searches for; a shingle with more is dealt over several.
 INDEX_ROWS = 4096
 #: Rows of one search task.
 TASK_ROWS = 100_000
@@ -48,49 +47,17 @@ def _sets(batch: pa.RecordBatch, text: str, k: int) -> Iterator[np.ndarray]:
 
 
 def shingle_counts(docs: DataFrame, text: str, k: int) -> np.ndarray:
-    """Counts of all shingles of all documents in ``CELLS`` hashed cells.
+    """Counts of all shingles of all documents in ``CELLS`` hashed cells, up to 65,535.
 
-    Each task counts its own texts, up to 255 a cell; the tables are added up in two steps, so that no task
-    adds more than one in ``SALTS`` of them. The result has a fixed size of 16 MB. Counts only order the shingles:
-    results do not depend on them.
+    The result has a fixed size of 16 MB. Counts only order the shingles: results do not depend on them.
     """
-    width = CELLS // PARTS
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, salt = np.zeros(CELLS, np.uint8), [], 0
-
-        def put() -> None:
-            cell, n = np.unique(np.concatenate(held), return_counts=True)
-            total[cell] = np.minimum(total[cell] + n, 255)
-            held.clear()
 
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in W.slices(batches, text):
             runs, _ = W.shingles(W.words(batch[text], W.NOT_SPACE), k)
-            salt = (salt + int(runs[:1].sum())) % SALTS
-            held.append((runs & np.uint64(CELLS - 1)).astype(np.uint32))
-            if sum(map(len, held)) >= COUNTED:
-                put()
-        if held:
-            put()
-            yield pa.RecordBatch.from_pydict(
-                {"part": np.arange(PARTS, dtype=np.int32), "salt": np.full(PARTS, salt, np.int32), "cells": [c.tobytes() for c in total.reshape(PARTS, width)], "wide": np.zeros(PARTS, bool)}
-            )
-
-    def add(key: tuple, table: pa.Table) -> pa.Table:
-        total = np.zeros(width, np.uint32)
-        for cells, wide in zip(table["cells"], table["wide"]):
-            total += np.frombuffer(cells.as_py(), np.uint16 if wide.as_py() else np.uint8)
-        total = np.minimum(total, 65535).astype(np.uint16)
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "salt": pa.array([0], pa.int32()), "cells": [total.tobytes()], "wide": [True]})
+            yield runs & np.uint64(CELLS - 1)
 
-    schema = "part int, salt int, cells binary, wide boolean"
-    tables = docs.select(text).mapInArrow(count, schema)
-    for keys in (("part", "salt"), ("part",)):
-        tables = tables.groupBy(*keys).applyInArrow(add, schema)
-    out = np.zeros((PARTS, width), np.uint16)
-    for row in tables.select("part", "cells").collect():
-        out[row.part] = np.frombuffer(row.cells, np.uint16)
-    return out.ravel()
+    return cell_counts(docs.select(text), cells, CELLS, "uint8", "uint16").astype(np.uint16)
 
 
 def signatures(docs: DataFrame, key: str, text: str, k: int, percent: int, counts: np.ndarray) -> DataFrame:
@@ -268,13 +235,18 @@ def _similar(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFra
     # Shingles whose rows are not all connected: search what is apart from the leader among all of them.
     found = scratch.table(labelled(label).select("s", "id", "pos", "c", "apart", "rows"), "labelled")
     open_ = found.where("apart").groupBy("s").agg(F.count("*").alias("n_apart"))
-    found = found.join(open_, "s").join(points, "id").withColumn("salts", F.ceil(F.col("rows") / INDEX_ROWS).cast("int"))
-    found = scratch.table(found.select("s", "id", "pos", "c", "n", "point", "apart", "salts"), "open")
-    tasks = max(1, found.count() // TASK_ROWS)
-    task = F.pmod(F.xxhash64("s", "salt"), F.lit(tasks)).alias("task")
-    columns = [task, "s", "id", "pos", "c", "n", "point"]
-    index = found.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).select(columns)
-    probes = found.where("apart").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(columns)
+    # Both the rows of a hot shingle and what is searched for among them are dealt over salts, and meet in a grid.
+    salts = lambda n: F.ceil(F.col(n) / INDEX_ROWS).cast("int")
+    found = found.join(open_, "s").join(points, "id").withColumns({"tall": salts("rows"), "wide": salts("n_apart")})
+    found = scratch.table(found.select("s", "id", "pos", "c", "n", "point", "apart", "tall", "wide"), "open")
+    copies = found.agg(F.sum(F.col("wide") + F.when(F.col("apart"), F.col("tall")).otherwise(0))).first()[0] or 0
+    tasks = max(1, copies // TASK_ROWS)
+    cell = F.xxhash64("s", "i", "j")
+    columns = [F.pmod(cell, F.lit(tasks)).alias("task"), cell.alias("s"), "id", "pos", "c", "n", "point"]
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    index = found.withColumn("i", dealt("tall")).withColumn("j", every("wide")).select(columns)
+    probes = found.where("apart").withColumn("j", dealt("wide")).withColumn("i", every("tall")).select(columns)
     pairs = probes.groupBy("task").cogroup(index.groupBy("task")).applyInArrow(_search(percent), "a bigint, b bigint").distinct()
     pairs = scratch.table(pairs.join(tried, ["a", "b"], "left_anti"), "searched")
     links = links.union(verify(pairs, docs, "id", "text", k, percent, scratch))

@@ -7,127 +7,104 @@ overlap (positional filter); a signature of 64 bits bounds the overlap further.
 
 A token of up to ``HOT`` prefixes lets all of these meet. Beyond that, every class first meets the earliest
 class of the token alone; those that are not similar to it meet all earlier ones of a fitting size, so
-that one token's rows are dealt by size. A large group of variants of one line costs a few comparisons a line.
+that one token's rows are dealt by bands of sizes. A large group of variants of one line costs a few comparisons a line.
 
-Sets are cut in numpy, batch by batch, as op4's native form did not meet the check tool's limits (see the README);
-grouping, meeting and joining are DataFrame functions. The driver holds tables of fixed size:
-a number for each cell of hashed tokens, and a bit for each cell of lines.
+Everything is DataFrame functions. Two tables of fixed size go through the driver, a byte for each cell of hashed
+tokens and a byte for each cell of hashed lines. Both are written as tables of one row and read by scalar subqueries,
+so that plans do not carry them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import words as W
-from .counts import cell_counts
 from .scratch import Scratch
 
-#: Hash cells in which tokens are counted, for their order alone.
-CELLS = 1 << 20
+#: Hash cells in which tokens are counted, for their order alone. One byte each.
+CELLS, CELL_ROWS = 1 << 18, 1 << 14
 #: Prefixes of one token that all meet one another.
-HOT = 128
+HOT = 512
 #: Size of a set and position in it, in one number.
 POS = 31
 #: Bits of a line's number in a class number made of document and line.
 LINE_BITS = 28
-#: Cells of the map of lines that are verified: a prime, so that cells spread.
-MAP_CELLS = 16_777_213
+#: Hash cells that say which lines are verified. One byte each.
+MAP_CELLS, MAP_ROWS = 1 << 21, 1 << 15
+#: Sizes of similar sets lie in the same band or in neighbouring ones, if bands grow by a little more than sizes may.
+BAND = 1.05
 #: Documents have numbers below this.
 MOST_DOCS = 1 << (63 - LINE_BITS)
 
 
-@dataclass
-class Sets:
-    """Token sets of the lines with words of some texts, one after the other, rarest tokens first."""
-
-    text: np.ndarray
-    line: np.ndarray
-    begin: np.ndarray
-    members: np.ndarray
-    level: np.ndarray
-
-    @property
-    def size(self) -> np.ndarray:
-        return np.diff(np.append(self.begin, len(self.members)))
-
-    def total(self, ufunc: np.ufunc, values: np.ndarray) -> np.ndarray:
-        return ufunc.reduceat(values, self.begin) if len(self.begin) else values[:0]
-
-
-def line_sets(column: pa.Array, levels: np.ndarray, wanted: np.ndarray | None = None) -> Sets:
-    """``wanted`` says for each line of each text in turn whether its set is built."""
-    data, offsets = W.utf8(column)
-    found = W.words(column, W.NOT_SPACE)
-    ends = np.concatenate([[0], np.cumsum(data == 10)])
-    text = np.repeat(np.arange(len(found.count)), found.count)
-    row = ends[found.start] + text  # numbers the lines of all texts
-    token = found.hash
-    if wanted is not None:
-        keep = wanted[row]
-        row, token, text = row[keep], token[keep], text[keep]
-    level = levels[(token & np.uint64(CELLS - 1)).astype(np.int64)]
-    order = np.lexsort((token, row.astype(np.int64) << 8 | level))
-    row, token = row[order], token[order]
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (token[1:] != token[:-1])
-    order, row, token = order[new], row[new], token[new]
-    begin = np.flatnonzero(np.diff(row, prepend=-1)) if len(row) else np.zeros(0, np.int64)
-    text = text[order][begin]
-    return Sets(text, row[begin] - text - ends[offsets[:-1]][text], begin, token, level[order])
-
-
-def rarity(docs: DataFrame) -> np.ndarray:
-    """A byte per cell that grows with the number of words in it, over all words of all texts.
+_BITS = [bytes((x >> k) & 1 for k in range(8)) for x in range(256)]
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """Rows ``(c, line)``: number and lower-cased text of each line."""
+    lines = docs.select("o", F.posexplode(F.split(F.lower("text"), "\n")).alias("l", "line"))
+    return lines.select(F.shiftleft("o", LINE_BITS).bitwiseOR(F.col("l").cast("bigint")).alias("c"), "line")
+
+
+def _words(line: Column) -> Column:
+    """Words of a line. Only lines with white space other than U+0020 are searched by a pattern."""
+    other = reduce(lambda a, b: a | b, [F.contains(line, F.lit(x)) for x in "\t\v\f\r"])
+    plain = F.when(other, F.regexp_replace(line, "[\t\x0b\f\r]", " ")).otherwise(line)
+    return F.array_remove(F.split(plain, " "), "")
 
-    1 stands for one occurrence at most: such a word is in no other line.
-    """
 
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for batch in W.slices(batches, "text"):
-            yield W.words(batch["text"], W.NOT_SPACE).hash & np.uint64(CELLS - 1)
+def _hashes(line: Column) -> Column:
+    return F.transform(_words(line), lambda w: F.xxhash64(w))
 
-    counts = cell_counts(docs.select(F.lower("text").alias("text")), cells, CELLS, "uint16", "uint32")
-    return np.where(counts < 2, 1, np.minimum(126, np.floor(4 * np.log2(np.maximum(counts, 2))))).astype(np.uint8)
 
+def _one_row(value: bytes, scratch: Scratch, name: str) -> Column:
+    """A scalar subquery that gives ``value``."""
+    return scratch.table(scratch.spark.createDataFrame([(value,)], "value binary"), name).scalar()
 
-def classes(docs: DataFrame, levels: np.ndarray, percent: int) -> DataFrame:
+
+def rarity(docs: DataFrame) -> bytes:
+    """A byte per cell that grows with the number of words in it, over all words of all texts.
+
+    1 stands for one occurrence at most: such a word is in no other line. Cell 0 counts as cell 1, as positions begin there.
+    """
+    word = _lines(docs).select(F.explode(_words(F.col("line"))).alias("w"))
+    cell = F.greatest(F.xxhash64("w").bitwiseAND(F.lit(CELLS - 1)).cast("int"), F.lit(1)) - 1
+    counts = word.select(cell.alias("cell")).groupBy("cell").count()
+    level = F.least(F.lit(126), F.when(F.col("count") < 2, 1).otherwise(F.floor(4 * F.log2("count"))))
+    part = counts.groupBy(F.floor(F.col("cell") / CELL_ROWS).alias("part")).agg(
+        F.map_from_entries(F.collect_list(F.struct((F.col("cell") % CELL_ROWS).cast("int"), level.cast("int")))).alias("levels")
+    )
+    out = bytearray(b"\x01" * CELLS)
+    for row in part.collect():
+        for cell, value in row.levels.items():
+            out[row.part * CELL_ROWS + cell] = value
+    return bytes(out)
+
+
+def classes(docs: DataFrame, levels: Column, percent: int) -> DataFrame:
     """Rows ``(c, n, sign, skip, prefix)``: first line of each token set, its size, signature and rarest tokens.
 
-    The signature has 64 bits, each told by the parity of the tokens of one hash group.
-    ``prefix`` has 31 bits of each token's hash, enough for meeting. Words that are in no other line are left out of it; ``skip``
-    says how many.
+    A token is a number, its rarity in the highest byte and its hash below. The signature has 64 bits, each told by the parity of
+    the tokens of one hash group. ``prefix`` has 31 bits of each token's hash, enough for meeting. Words that are in no other line
+    are left out of it; ``skip`` says how many.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.slices(batches, "text"):
-            s = line_sets(batch["text"], shared.value)
-            if not len(s.begin):
-                continue
-            n, mixed = s.size, W.mix(s.members)
-            sign = s.total(np.bitwise_xor, np.uint64(1) << (s.members >> np.uint64(40) & np.uint64(63)))
-            longest = n + (-percent * n // 100) + 1
-            inside = np.arange(len(s.members)) - np.repeat(s.begin, n) < np.repeat(longest, n)
-            inside &= s.level > 1
-            kept = s.total(np.add, inside.astype(np.int64))
-            tokens = pa.array((s.members[inside] & np.uint64(2**31 - 1)).astype(np.int32))
-            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept)]).astype(np.int32)), tokens)
-            place = (np.asarray(batch["o"])[s.text] << LINE_BITS) | s.line
-            h1 = s.total(np.add, mixed).view(np.int64)
-            h2 = s.total(np.bitwise_xor, W.mix(mixed + np.uint64(1))).view(np.int64)
-            numbers = [pa.array(x, pa.int64()) for x in (place, n, h1, h2, sign.view(np.int64), longest - kept)]
-            yield pa.RecordBatch.from_arrays([*numbers, prefix], names=["c", "n", "h1", "h2", "sign", "skip", "prefix"])
-
-    lines = docs.select("o", F.lower("text").alias("text"))
-    lines = lines.mapInArrow(build, "c bigint, n bigint, h1 bigint, h2 bigint, sign bigint, skip bigint, prefix array<int>")
-    first = lines.groupBy("h1", "h2", "n").agg(F.min(F.struct("c", "sign", "skip", "prefix")).alias("f"))
-    return first.select("f.c", "n", "f.sign", "f.skip", "f.prefix")
+
+    def token(h: Column) -> Column:
+        level = F.ascii(F.substring(F.col("levels"), h.bitwiseAND(F.lit(CELLS - 1)).cast("int"), F.lit(1)).cast("string"))
+        return F.shiftleft(level.cast("bigint"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+
+    lines = _lines(docs).select("c", F.array_distinct(_hashes(F.col("line"))).alias("h"), levels.alias("levels"))
+    lines = lines.select("c", F.sort_array(F.transform("h", token)).alias("t")).where(F.size("t") > 0)
+    longest = F.size("t") - F.ceil(F.size("t") * percent / 100).cast("int") + 1
+    prefix = F.filter(F.slice("t", F.lit(1), longest), lambda x: x >= F.lit(2 << 56))
+    one = F.lit(1).cast("bigint")
+    sign = F.aggregate("t", F.lit(0).cast("bigint"), lambda x, h: x.bitwiseXOR(F.call_function("shiftleft", one, h.bitwiseAND(F.lit(63)).cast("int"))))
+    lines = lines.select("c", F.size("t").cast("bigint").alias("n"), F.xxhash64("t").alias("h1"), F.hash("t").alias("h2"), sign.alias("sign"), longest.alias("longest"), prefix.alias("prefix"))
+    first = lines.groupBy("h1", "h2", "n").agg(F.min(F.struct("c", "sign", "longest", "prefix")).alias("f"))
+    tokens = F.transform("f.prefix", lambda x: x.bitwiseAND(F.lit(2**31 - 1)).cast("int"))
+    return first.select("f.c", "n", "f.sign", (F.col("f.longest") - F.size("f.prefix")).alias("skip"), tokens.alias("prefix"))
 
 
 def _close(percent: int) -> Column:
@@ -142,15 +119,14 @@ def _close(percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (left * (100 + percent) >= percent * (n + m)) & near
 
 
-def _map(pairs: DataFrame) -> np.ndarray:
-    """For each cell of lines whether a pair has a line there."""
-    cell = (F.pmod("c", F.lit(MAP_CELLS)) + 1).alias("cell")
-    ends = pairs.select(F.explode(F.array("c", "c_b")).alias("c")).select(cell)
-    bits = ends.groupBy(F.bitmap_bucket_number("cell").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits"))
-    out = np.zeros((MAP_CELLS // 32768 + 1, 4096), np.uint8)
+def _map(ends: DataFrame) -> bytes:
+    """A byte per cell of lines: 1 where a line is that is wanted."""
+    at = F.xxhash64("c").bitwiseAND(F.lit(MAP_CELLS - 1)) + 1
+    bits = ends.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    out = bytearray(MAP_CELLS)
     for row in bits.collect():
-        out[row.part - 1] = np.frombuffer(row.bits, np.uint8)
-    return np.unpackbits(out.ravel(), bitorder="little").astype(bool)
+        out[(row.part - 1) * MAP_ROWS : row.part * MAP_ROWS] = b"".join(_BITS[x] for x in row.bits)
+    return bytes(out)
 
 
 def verify(pairs: DataFrame, docs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -158,49 +134,32 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int, scratch: Scratch) ->
 
     Only lines that a pair may need, told by a map of fixed size, are cut into tokens again.
     """
-    needed = docs.sparkSession.sparkContext.broadcast(np.packbits(_map(pairs)))
-    none = np.zeros(CELLS, np.uint8)
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(needed.value).astype(bool)
-        for batch in W.slices(batches, "text"):
-            data, offsets = W.utf8(batch["text"])
-            ends = np.concatenate([[0], np.cumsum(data == 10)])[offsets]
-            n = np.diff(ends) + 1
-            first = np.cumsum(n) - n
-            place = (np.repeat(np.asarray(batch["o"]), n) << LINE_BITS) | (np.arange(n.sum()) - np.repeat(first, n))
-            s = line_sets(batch["text"], none, bits[place % MAP_CELLS])
-            if len(s.begin):
-                offsets = pa.array(np.append(s.begin, len(s.members)).astype(np.int32))
-                sets = pa.ListArray.from_arrays(offsets, pa.array(s.members.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(place[first[s.text] + s.line]), sets], names=["c", "t"])
-
-    source = docs.select("o", F.lower("text").alias("text"))
-    sets = source.mapInArrow(build, "c bigint, t array<bigint>")
-    ends = pairs.select(F.explode(F.array("c", "c_b")).alias("c")).distinct()
-    sets = scratch.table(sets.join(ends, "c", "left_semi"), "sets")
+    ends = scratch.table(pairs.select(F.explode(F.array("c", "c_b")).alias("c")).distinct(), "ends")
+    at = F.xxhash64("c").bitwiseAND(F.lit(MAP_CELLS - 1)).cast("int") + 1
+    lines = _lines(docs).where(F.substring(_one_row(_map(ends), scratch, "map"), at, F.lit(1)) == F.lit(b"\x01"))
+    sets = lines.join(ends, "c", "left_semi").select("c", F.array_distinct(_hashes(F.col("line"))).alias("t"))
+    sets = scratch.table(sets, "sets")
     both = pairs.join(sets, "c").join(sets.select(F.col("c").alias("c_b"), F.col("t").alias("t_b")), "c_b")
     shared = F.size(F.array_intersect("t", "t_b"))
     both = both.where(shared * (100 + percent) >= percent * (F.size("t") + F.size("t_b")))
     later = scratch.table(both.select(F.col("c_b").alias("c")).distinct(), "later")
-    scratch.drop(sets)
+    scratch.drop(sets, ends)
     return later
 
 
 def _fitting(hot: DataFrame, later: DataFrame, other: list[Column], percent: int) -> DataFrame:
-    """Pairs of close rows of one hot token. Its rows are dealt by the sizes that go together."""
-    n = F.shiftright("np", POS)
-    least, most = F.ceil(n * percent / 100), F.floor(n * 100 / F.lit(percent))
-    probes = hot.join(later, "c", "left_anti").withColumn("m", F.explode(F.sequence(least.cast("bigint"), most.cast("bigint"))))
-    index = hot.select("s", n.alias("m"), *other)
+    """Pairs of close rows of one hot token. Its rows are dealt by bands of sizes that go together."""
+    band = F.floor(F.log(F.shiftright("np", POS).cast("double")) / F.log(F.lit(BAND * 100 / percent)))
+    probes = hot.join(later, "c", "left_anti").withColumn("band", F.explode(F.array(band - 1, band, band + 1)))
     # The later of two is the probe, as the earlier may have gone.
-    both = probes.join(index, ["s", "m"]).where("c_b < c").where(_close(percent))
+    both = probes.join(hot.select("s", band.alias("band"), *other), ["s", "band"]).where("c_b < c").where(_close(percent))
     return both.select(F.col("c_b").alias("c"), F.col("c").alias("c_b")).distinct()
 
 
 def similar_lines(docs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Rows ``(o, stay)``: the lines of each text that stay, being first of their class, and similar to no line before."""
-    first = scratch.table(classes(docs, rarity(docs), percent), "classes")
+    levels = _one_row(rarity(docs), scratch, "levels")
+    first = scratch.table(classes(docs, levels, percent), "classes")
     rows = first.select("c", "n", "skip", "sign", F.posexplode("prefix").alias("at", "s"))
     rows = rows.select("s", "c", (F.shiftleft("n", POS) + F.col("at") + F.col("skip")).alias("np"), "sign").repartition("s")
     shared = rows.groupBy("s").agg(F.count("*").alias("k"), F.min(F.struct("c", "np", "sign")).alias("lead")).where("k > 1")

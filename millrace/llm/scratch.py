@@ -6,21 +6,12 @@ survives lost executors, as the files are not kept on the machine that made them
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by the cluster; a folder of our own only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(spark, "_millrace_scratch", None)
-        if base is None:
-            base = spark._millrace_scratch = "file://" + tempfile.mkdtemp(prefix="millrace-")
-    return base.rstrip("/")
+from ..sources.tables import shared_folder
 
 
 class Scratch:
@@ -32,7 +23,7 @@ class Scratch:
         root = str(Path(__file__).resolve().parents[2])
         if root not in (known := spark.sparkContext.environment.get("PYTHONPATH", "")).split(":"):
             spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{known}".rstrip(":")
-        self.base = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+        self.base = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         self.made = 0
 
     def path(self, name: str) -> str:

@@ -21,8 +21,8 @@ from .scratch import Scratch
 
 #: Labelled rows that a fit takes at most, dealt by a hash of their keys. The bound holds in the mean.
 SAMPLE = 20_000
-#: Words that tell most about the label, at most so many.
-FEATURES = 512
+#: Weights of a model, at most. If more words than that tell about the label, several share a weight; none is left out.
+WEIGHTS = 1024
 #: A word's log-likelihood ratio against the label must reach this (chance: one in 10,000 words or fewer).
 LEAST_RATIO = 16.0
 #: Weight of the squared coefficients, and of squared changes of the logit under a swap.
@@ -136,7 +136,8 @@ def sampled(rows: DataFrame, key: str, n: int) -> DataFrame:
 def fit(labelled: DataFrame, key: str, text: str, label: str, sample: int = SAMPLE, identity: list[list[str]] | None = None, swap: float = SWAP) -> Model:
     """Fit on ``labelled``; rows with a null label or key are left out, a null text is an empty one.
 
-    At most about ``sample`` rows, dealt by a hash of the key, are used. Without rows of both labels every score
+    At most about ``sample`` rows, dealt by a hash of the key, are used, with all words of theirs that reach ``LEAST_RATIO``; ties
+    among words decide nothing. Without rows of both labels every score
     is that of the labels there are.
     """
     rows = sampled(labelled.where(F.col(label).isNotNull() & F.col(key).isNotNull()), key, sample)
@@ -157,28 +158,31 @@ def fit(labelled: DataFrame, key: str, text: str, label: str, sample: int = SAMP
         g = g + F.when(F.col(seen) > 0, 2 * F.col(seen) * F.ln(F.col(seen) / expected)).otherwise(0.0)
         away, mean = of - F.col(seen), F.lit(float(of)) - expected
         g = g + F.when(away > 0, 2 * away * F.ln(away / mean)).otherwise(0.0)
-    best = counts.withColumn("g", g).where((F.col("g") >= LEAST_RATIO) & (F.col("p") + F.col("q") >= 3)).orderBy(F.desc("g"), "h").limit(FEATURES).select("h")
+    best = counts.withColumn("g", g).where((F.col("g") >= LEAST_RATIO) & (F.col("p") + F.col("q") >= 3)).select("h")
     best = np.array([r.h for r in best.collect()], np.int64).view(np.uint64)
     terms = [_hashes(group) for group in (IDENTITY if identity is None else identity)]
     features = np.unique(np.concatenate([best, *terms])).astype(np.uint64)
-    groups = [np.searchsorted(features, t).tolist() for t in terms]
+    weight = np.arange(len(features)) % WEIGHTS
+    k = min(len(features), WEIGHTS)
+    groups = [list(dict.fromkeys(weight[np.searchsorted(features, t)].tolist())) for t in terms]
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.slices(batches, "text"):
             h, row = word_sets(batch, "text")
             at = np.minimum(np.searchsorted(features, h), len(features) - 1)
             ok = features[at] == h
-            cut = np.searchsorted(row[ok], np.arange(len(batch) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch["y"], pa.ListArray.from_arrays(pa.array(cut), pa.array(at[ok].astype(np.int32)))], names=["y", "at"])
+            both = np.unique(row[ok] * k + weight[at[ok]])
+            cut = np.searchsorted(both // k, np.arange(len(batch) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch["y"], pa.ListArray.from_arrays(pa.array(cut), pa.array((both % k).astype(np.int32)))], names=["y", "at"])
 
     # Texts of equal label and features count once, with their number: the driver gets patterns, not texts.
     table = rows.mapInArrow(hits, "y int, at array<int>").groupBy("y", "at").agg(F.count("*").alias("n")).collect()
     found, times = [np.array(r.at, np.int64) for r in table], np.array([r.n for r in table], float)
-    x = np.zeros((len(found), len(features)), np.float32)
+    x = np.zeros((len(found), k), np.float32)
     for i, at in enumerate(found):
         x[i, at] = 1
-    weights, bias = newton(x, np.array([r.y for r in table], float), times, swap_gram(found, times, len(features), groups), swap=swap)
-    return Model(features, weights, bias)
+    weights, bias = newton(x, np.array([r.y for r in table], float), times, swap_gram(found, times, k, groups), swap=swap)
+    return Model(features, weights[weight], bias)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

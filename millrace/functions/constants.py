@@ -71,3 +71,12 @@ WEIGHTS = [(["main", "content", "center", "article"], 0.3), (["side", "sidebar",
 # Limits of colour families. Dark below, pale below, white above, red around 0 degrees, brown below; then hues up to a degree.
 COLOR_LIMITS = (0.22, 0.14, 0.82, 15, 0.75)
 HUES = [(45, "橙"), (70, "黃"), (160, "綠"), (200, "青"), (255, "藍"), (290, "紫")]
+
+# Marks around the urls of a pasted list.
+LIST_MARKS = "^[<>\"'，。、]+|[<>\"'，。、]+$"
+
+# Largest lengths of a row of content, least lengths of an article in structured data and of a text that needs no description.
+URL_CAP, TITLE_CAP, TEXT_CAP, LEAST_BODY, LEAST_TEXT = 2048, 512, 50_000, 200, 200
+
+# Days after which finished jobs go, how many go at a time, minutes after which a silent job has failed, entities of a report and least salience.
+KEEP_DAYS, SWEEP, SILENT_MINUTES, TOP_ENTITIES, LEAST_SALIENCE = 30, 500, 90, 25, 0.01

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import constants as C
-from .text import has_any, strip
+from .text import SPACE, has_any, strip
 
 _PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?//(?:[^/?#@]*@)?([^/?#:]*)(?::([0-9]*))?([^?#]*)(?:\?([^#]*))?"
 
@@ -70,3 +70,22 @@ def transfer_reason(url: Column, final: Column) -> Column:
         .when(has_any(F.lower(q), C.WALL_PATHS), "path")
         .otherwise("")
     )
+
+
+def listed(raw: Column) -> Column:
+    """The http urls of a pasted list, in order; of those with one key the first.
+
+    They may be separated by white space, also percent-encoded, or stand directly behind one another.
+    """
+    text = F.regexp_replace(F.regexp_replace(F.coalesce(raw, F.lit("")), "%0[aAdD]", "\n"), "%(?:20|09)", " ")
+    pieces = F.split(F.regexp_replace(text, "(https?://)", " $1"), SPACE + "+")
+    pieces = F.transform(pieces, lambda x: F.regexp_replace(x, C.LIST_MARKS, ""))
+    pieces = F.filter(pieces, lambda x: x.startswith("http://") | x.startswith("https://"))
+    keyed = F.transform(pieces, lambda x: F.struct(x.alias("url"), canonical(x).alias("key")))
+
+    def first(found: Column) -> Column:
+        keys = F.transform(found, lambda x: x["key"])
+        return F.transform(F.filter(found, lambda x, i: (F.array_position(keys, x["key"]) == i + 1) & (x["key"] != "")), lambda x: x["url"])
+
+    # a lambda over an array of one binds the keyed pieces once
+    return F.get(F.transform(F.array(keyed), first), F.lit(0))

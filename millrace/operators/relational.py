@@ -39,11 +39,10 @@ def runs_of_failures(events: DataFrame, by: str, order: list, failed: Column, le
     return e.where("_f").groupBy(by, "run").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def following(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
-    """``df`` with ``name``: ``value`` of the next row in order of ``order``, a number; null in the last row.
+def in_ranges(df: DataFrame, order: str) -> DataFrame:
+    """``df`` with ``_range``: one of as many ranges of the number ``order`` as there are shuffle partitions, cut at quantiles.
 
-    Rows that repeat ``order`` stand in order of ``value``, nulls last. ``order`` is cut at quantiles into as many ranges as
-    there are shuffle partitions, with equal numbers in one range; of each range its first row goes to the one before.
+    Equal numbers are in one range, nulls in the last.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounds = sorted(set(df.approxQuantile(order, [i / n for i in range(1, n)], 1 / (4 * n)))) if n > 1 else []
@@ -55,8 +54,45 @@ def following(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
         mid = (lo + hi) // 2
         return F.when(F.col(order) < F.lit(bounds[mid]), part(lo, mid)).otherwise(part(mid + 1, hi))
 
+    return df.withColumn("_range", F.when(F.col(order).isNull(), len(bounds)).otherwise(part(0, len(bounds))))
+
+
+def numbered(df: DataFrame, order: str, name: str = "seq", start: int = 0) -> DataFrame:
+    """``df`` with ``name``: numbers without gaps from ``start`` in order of ``order``, a number; nulls come last, ties in any order.
+
+    Each range is numbered by itself, behind all rows of the ranges before it.
+    """
+    d = in_ranges(df, order)
+    # One row a range, so that one task can add them up.
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = d.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", before.alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(F.asc_nulls_last(order)))
+    return d.withColumn("_own", own).join(F.broadcast(sizes), "_range").select(*df.columns, (F.col("_before") + F.col("_own") - 1 + start).alias(name))
+
+
+def append_numbered(old: DataFrame, new: DataFrame, order: str, seq: str = "seq") -> DataFrame:
+    """``old``, and ``new`` with the numbers that follow the largest of ``old``."""
+    top = old.agg(F.max(seq).alias("top")).first().top
+    return old.unionByName(numbered(new, order, seq, 0 if top is None else top + 1))
+
+
+def attempts(items: DataFrame, by: str, order: list, failed: Column, seconds: Column, least: int = 3, limit: float | None = None) -> DataFrame:
+    """``items`` with ``attempted``: false behind ``least`` failures in a row, and where what went before took more than ``limit``."""
+    w = Window.partitionBy(by).orderBy(*order)
+    before, near = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1 - least, 0)
+    hung = (F.min(F.when(failed, 1).otherwise(0)).over(near) == 1) & (F.count("*").over(near) == least)
+    d = items.withColumn("_hung", hung.cast("int")).withColumn("_took", F.coalesce(F.sum(seconds).over(before), F.lit(0)))
+    ok = F.coalesce(F.max("_hung").over(before), F.lit(0)) == 0
+    return d.withColumn("attempted", ok if limit is None else ok & (F.col("_took") <= limit)).drop("_hung", "_took")
+
+
+def following(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """``df`` with ``name``: ``value`` of the next row in order of ``order``, a number; null in the last row.
+
+    Rows that repeat ``order`` stand in order of ``value``, nulls last. Of each range of ``order`` its first row goes to the one before.
+    """
     by = [F.asc_nulls_last(order), F.asc_nulls_last(value)]
-    d = df.withColumn("_range", part(0, len(bounds)))
+    d = in_ranges(df, order)
     w = Window.partitionBy("_range").orderBy(*by)
     firsts = d.groupBy("_range").agg(F.min(F.struct(F.col(order).isNull(), order, F.col(value).isNull(), F.col(value).alias("_first")))["_first"].alias("_first"))
     # One row a range, so that one task can put them in order.

@@ -1,6 +1,9 @@
 import pytest
+from pyspark.sql import functions as F
 
+from millrace.functions import urls as U
 from millrace.operators import relational as R
+from millrace.plans import content  # noqa: F401
 from millrace.plans import queries as Q
 
 
@@ -37,3 +40,25 @@ def test_entry_has_rows(spark):
 
     assert e.entry(spark).count() == 50
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_numbers_over_ties_nulls_and_clashing_names(spark):
+    rows = spark.createDataFrame([(i * 7 % 13, "s", i) for i in range(60)] + [(None, None, None)] * 3, "k bigint, own string, n bigint")
+    got = R.numbered(rows, "k", "at", 5).collect()
+    assert sorted(r["at"] for r in got) == list(range(5, 68))
+    assert [r.k for r in sorted(got, key=lambda r: r["at"])] == sorted(r.k for r in got if r.k is not None) + [None] * 3
+    assert R.numbered(rows.limit(0), "k").count() == 0
+
+
+def test_lists_of_urls(spark):
+    pasted = ["https://a.test/1%0Ahttps://a.test/1?utm_id=3https://b.test/x http://a.test/1", "no url ftp://c.test", "", None, "<https://d.test/?q=1>、\t'https://d.test/?q=1#x'"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(pasted)], "i int, x string")
+    got = {r.i: r.u for r in rows.select("i", U.listed(F.col("x")).alias("u")).collect()}
+    assert got == {0: ["https://a.test/1", "https://b.test/x", "http://a.test/1"], 1: [], 2: [], 3: [], 4: ["https://d.test/?q=1"]}
+
+
+def test_attempts_end_behind_three_failures_or_the_deadline(spark):
+    rows = [("a", i, i in (1, 2, 4, 5, 6), 1) for i in range(9)] + [("b", i, True, 400) for i in range(2)] + [("c", 0, None, None)]
+    d = spark.createDataFrame(rows, "job string, at int, bad boolean, s int")
+    got = {(r.job, r["at"]): r.attempted for r in R.attempts(d, "job", ["at"], F.col("bad"), F.col("s"), limit=300).collect()}
+    assert [got["a", i] for i in range(9)] == [True] * 7 + [False] * 2 and got["b", 0] and not got["b", 1] and got["c", 0]

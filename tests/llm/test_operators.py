@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import idfile, toxicity, urls, warc
+from millrace.llm import idfile, jaccard, lines, toxicity, urls, warc
 from millrace.llm import queries as Q
 from millrace.llm.jaccard import similar_documents
 from millrace.llm.lines import dedup_lines
@@ -248,6 +248,25 @@ def test_lines_of_odd_rows(spark):
     assert len({r.text for r in repeated if r.doc_id == 1}) == 2
 
 
+@pytest.mark.parametrize("hot", [2, 8])
+def test_lines_of_hot_tokens_and_keys_of_any_kind(spark, monkeypatch, hot):
+    """However few rows make a token hot, and with keys that numbers stand in for, the result is that of brute force."""
+    monkeypatch.setattr(lines, "HOT", hot)
+    rng = random.Random(hot)
+    base = [[f"w{rng.randrange(60)}" for _ in range(rng.randint(4, 20))] for _ in range(6)]
+    rows = []
+    for i in range(80):
+        own = [list(rng.choice(base)) for _ in range(rng.randint(1, 4))]
+        for x in own:
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                x[rng.randrange(len(x))] = f"w{rng.randrange(60)}"
+        rows.append((i - 40 * (hot == 8), "\n".join(" ".join(x) for x in own)))
+    docs = odd(spark, rows).withColumns({"_lines": F.lit("mine"), "blank": F.lit("a"), "at": F.lit(1), "lines": F.lit("b"), "c": F.lit(2)})
+    got = dedup_lines(docs).collect()
+    assert {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in got} == brute.dedup_lines(rows)
+    assert all((r["_lines"], r.blank, r["at"], r.lines, r.c) == ("mine", "a", 1, "b", 2) for r in got)
+
+
 # 5: toxicity
 
 
@@ -340,6 +359,23 @@ def test_components_of_repeated_and_null_keys(spark):
     assert {x for x in got if x[0] is not None} == {(5, 3), (7, 3), (3, 3), (9, 9)} and (None, None) in got
 
 
+def test_components_where_every_shingle_is_hot(spark, monkeypatch):
+    """Salted trees, without a round of leaders before, give what brute force gives."""
+    monkeypatch.setattr(jaccard, "INDEX_ROWS", 8)
+    monkeypatch.setattr(jaccard, "TASK_ROWS", 50)
+    monkeypatch.setattr(jaccard, "ROUNDS", 0)
+    rng = random.Random(9)
+    base = [f"t{rng.randrange(400)}" for _ in range(60)]
+    rows = []
+    for i in range(70):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 2, 4, 9])):
+            w[rng.randrange(len(w))] = f"t{rng.randrange(400)}"
+        rows.append((i, " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in similar_documents(odd(spark, rows)).collect()}
+    assert got == brute.components(rows)
+
+
 # 7: url filters
 
 

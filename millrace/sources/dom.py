@@ -10,6 +10,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,18 +24,20 @@ BLOCKS = {"body", "article", "main", "section", "div", "td", "ul", "ol"}
 ENDS = {"p": {"p", "div", "section", "article", "main", "ul", "ol", "table", "h1", "h2", "h3", "h4", "h5", "h6"}, "li": {"li"}, "td": {"td", "tr"}, "tr": {"tr"}}
 MARKS = "。，！？；：、"
 COLUMNS = {
-    "node": "int", "tag": "string", "depth": "int", "weight": "double", "listed": "boolean", "length": "bigint", "begin": "bigint", "links": "bigint", "paragraphs": "bigint", "quality": "double", "text": "string",
+    "node": "int", "tag": "string", "depth": "int", "weight": "double", "listed": "boolean", "length": "bigint", "begin": "bigint", "links": "bigint", "paragraphs": "bigint", "quality": "double",
+    "cjk": "bigint", "banner": "boolean", "items": "int", "text": "string",
 }
 
 
 class _Page(HTMLParser):
-    """Open elements are lists ``[tag, depth, begin, links before, paragraphs before, quality before, weight, li, articles]``."""
+    """Open elements are lists ``[tag, depth, begin, links before, paragraphs before, quality before, weight, li, articles, anchors before]``."""
 
     def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[list] = []
         self.parts: list[str] = []
-        self.at = self.links = self.paragraphs = self.dropped = self.in_link = 0
+        self.at = self.links = self.paragraphs = self.dropped = self.in_link = self.anchors = 0
+        self.items: list[bool] = []
         self.quality = 0.0
         self.blocks: list[tuple] = []
         self.feed(html)
@@ -52,9 +55,10 @@ class _Page(HTMLParser):
             self.open[-1][7 if tag == "li" else 8] += 1
         names = " ".join(v or "" for k, v in attrs if k in ("class", "id")).lower()
         weight = max(0.1, 1 + sum(w for parts, w in C.WEIGHTS if any(x in names for x in parts)))
-        self.open.append([tag, len(self.open) + 2, self.at, self.links, self.paragraphs, self.quality, weight, 0, 0])
+        self.open.append([tag, len(self.open) + 2, self.at, self.links, self.paragraphs, self.quality, weight, 0, 0, self.anchors])
         self.dropped += tag in DROPPED
         self.in_link += tag == "a"
+        self.anchors += tag == "a" and not self.dropped
 
     def handle_endtag(self, tag: str) -> None:
         if any(e[0] == tag for e in self.open):
@@ -69,7 +73,7 @@ class _Page(HTMLParser):
             self.links += (len(data) + 1) * bool(self.in_link)
 
     def _end(self) -> str:
-        tag, depth, begin, links, paragraphs, quality, weight, li, articles = self.open.pop()
+        tag, depth, begin, links, paragraphs, quality, weight, li, articles, anchors = self.open.pop()
         self.dropped -= tag in DROPPED
         self.in_link -= tag == "a"
         if self.dropped:
@@ -79,6 +83,8 @@ class _Page(HTMLParser):
             self.paragraphs += 1
             if len(text) >= 20:
                 self.quality += 1.0 if 0.03 <= sum(c in MARKS for c in text) / len(text) <= 0.15 else 0.5
+        if tag == "li":
+            self.items.append(self.anchors > anchors and self.at - begin - 1 > 20)
         if tag in BLOCKS and self.at > begin:
             self.blocks.append((tag, depth, weight, li > 5 or articles > 3, begin, self.at - 1, self.links - links, self.paragraphs - paragraphs, self.quality - quality))
         return tag
@@ -97,14 +103,30 @@ def parsed(html: str | None) -> list[tuple]:
     """Rows of ``COLUMNS``: the whole page first, with its text, then its blocks."""
     page = _Page(html or "")
     low = page.text.lower()
-    found = sorted(i for k in C.LISTING_BLOCKS for i in _all(low, k)) if len(low) == len(page.text) else []
-    rows = [(0, "page", 1, 1.0, False, len(page.text), 0, page.links, page.paragraphs, page.quality, page.text)]
+    same = len(low) == len(page.text)
+    found = sorted(i for k in C.LISTING_BLOCKS for i in _all(low, k)) if same else []
+    cookies = [list(_all(low, k)) for k in C.COOKIES] if same else []
+    wide = np.cumsum(np.append(0, _is_cjk(page.text)))
+
+    def shows(marks: list[int], begin: int, end: int) -> bool:
+        at = bisect_left(marks, begin)
+        return at < len(marks) and marks[at] < end
+
+    def more(begin: int, end: int) -> tuple:
+        return int(wide[end] - wide[begin]), sum(shows(m, begin, end) for m in cookies) >= 3
+
+    n = len(page.text)
+    rows = [(0, "page", 1, 1.0, False, n, 0, page.links, page.paragraphs, page.quality, *more(0, n), sum(page.items[:20]), page.text)]
     for i, (tag, depth, weight, listed, begin, end, links, paragraphs, quality) in enumerate(page.blocks, 1):
-        at = bisect_left(found, begin)
-        rows.append((i, tag, depth, weight, listed or (at < len(found) and found[at] < end), end - begin, begin, links, paragraphs, quality, None))
+        rows.append((i, tag, depth, weight, listed or shows(found, begin, end), end - begin, begin, links, paragraphs, quality, *more(begin, end), 0, None))
     return rows
 
 
+def _is_cjk(text: str) -> np.ndarray:
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return (points >= 0x4E00) & (points <= 0x9FFF)
+
+
 def _all(text: str, part: str) -> Iterator[int]:
     at = text.find(part)
     while at >= 0:
@@ -113,7 +135,10 @@ def _all(text: str, part: str) -> Iterator[int]:
 
 
 def blocks(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """Rows ``(key, node, tag, depth, weight, listed, length, begin, links, paragraphs, quality, text)``.
+    """Rows ``(key, node, tag, depth, weight, listed, length, begin, links, paragraphs, quality, cjk, banner, items, text)``.
+
+    ``cjk`` counts characters, ``banner`` tells a block that speaks of cookies, and ``items`` are those of a page's first twenty list items
+    that look like articles: a link in more than twenty characters.
 
     Node 0 is the whole page and the only one with a text, of which the others are parts. A null page is an empty one.
     """

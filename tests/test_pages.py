@@ -22,6 +22,15 @@ def test_main_text(spark):
 
 
 def test_listing_page(spark):
-    rows = [(1, "<article>a b c</article>" * 6), (2, "<article>a b c</article>"), (3, f"<article>{'x' * 900}</article><article>y</article>"), (4, "<article>abc</article>" * 2)]
+    rows = [(1, "<article>a b c</article>" * 6), (2, "<article>a b c</article>"), (3, f"<article>{'x' * 900}</article><article>y</article>"), (4, "<article>abc</article>" * 2), (5, "<ul>" + "<li><a href=x>a heading of some length</a>" * 6 + "</ul>"), (6, "<ul>" + "<li>a heading of some length without a link" * 9 + "</ul>")]
     got = {r.page_id: r.listing for r in P.listing_page(spark.createDataFrame(rows, "page_id bigint, html string")).collect()}
-    assert got == {1: True, 2: False, 3: False, 4: True}
+    assert got == {1: True, 2: False, 3: False, 4: True, 5: True, 6: False}
+
+
+def test_cjk_counts_and_banners_do_not(spark):
+    page = f"<body><div id=a>{'<p>字字字字字字字字字字字字字字字字字字字字' * 20}</div><div id=b>{'<p>latin words in a line' * 20}</div><div>{'<p>We use cookies. GDPR consent. Adchoices.' * 40}</div>"
+    rows = {r[8]: r for r in parsed(page) if r[1] == "div"}
+    assert rows[40][11] and not rows[20][11]
+    assert sorted(r[10] for r in parsed(page) if r[1] == "div") == [0, 0, 400]
+    got = P.main_text(spark.createDataFrame([(1, page), (1, page)], "page_id bigint, html string")).collect()
+    assert len(got) == 1 and "cookies" not in got[0].text

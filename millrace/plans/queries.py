@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
@@ -128,11 +128,10 @@ def embedding_cosine_topk(spark, d):
     return V.nearest(vectors, vectors.where("vec_id % 100 = 0"))
 
 
-@query(f"SELECT vec_id, array_to_string(list_transform(embedding, lambda x: round(x::DOUBLE / sqrt({_DOT.format('embedding', 'embedding')}) * 1000)::BIGINT), ',') AS unit FROM embeddings")
+@query(f"SELECT vec_id, array_to_string(list_transform(embedding, lambda x: round(round(x::DOUBLE / sqrt({_DOT.format('embedding', 'embedding')}), 5) * 100000)::BIGINT), ',') AS unit FROM embeddings")
 def embedding_l2_normalize(spark, d):
-    n = V.norm(F.col("embedding"))
-    unit = F.transform("embedding", lambda x: F.round(x.cast("double") / n * 1000).cast("bigint").cast("string"))
-    return table(spark, d, "embeddings").select("vec_id", F.array_join(unit, ",").alias("unit"))
+    unit = F.transform("embedding", lambda x: F.round(x * 100_000).cast("bigint").cast("string"))
+    return V.normalised(table(spark, d, "embeddings")).select("vec_id", F.array_join(unit, ",").alias("unit"))
 
 
 @query()
@@ -211,11 +210,13 @@ def url_auto_transfer(spark, d):
     return p.select("page_id", U.transfer_reason(F.col("url"), F.col("final")).alias("reason"))
 
 
-@query(f"""SELECT host, count(*) AS n, min(page_id) AS first_page, array_to_string(list_sort(list_distinct(list(url))), ' ') AS urls
-FROM (SELECT page_id, url, lower({_PART("url", 2)}) AS host FROM pages) GROUP BY host""")
+@query(f"""WITH u AS (SELECT host, url, min(page_id) AS first_page, count(*) AS n FROM (SELECT page_id, url, lower({_PART('url', 2)}) AS host FROM pages) GROUP BY host, url)
+SELECT *, row_number() OVER (PARTITION BY host ORDER BY first_page, url) AS place FROM u""")
 def domain_groups(spark, d):
+    """The distinct urls of each host, in the order in which they were first seen."""
     p = table(spark, d, "pages").select("page_id", "url", U.host(F.col("url")).alias("host"))
-    return p.groupBy("host").agg(F.count("*").alias("n"), F.min("page_id").alias("first_page"), F.array_join(F.array_sort(F.collect_set("url")), " ").alias("urls"))
+    p = p.groupBy("host", "url").agg(F.min("page_id").alias("first_page"), F.count("*").alias("n"))
+    return p.withColumn("place", F.row_number().over(Window.partitionBy("host").orderBy("first_page", "url")).cast("bigint"))
 
 
 #: Page texts whose classes are known.
@@ -278,8 +279,6 @@ def page_paywall(spark, d):
 
 @query("""SELECT user_id AS domain, status, n, round_even(100.0 * n / sum(n) OVER (PARTITION BY user_id), 0)::BIGINT AS percent FROM (SELECT user_id, CASE WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'view' THEN 'skipped' ELSE 'success' END AS status, count(*) AS n FROM events GROUP BY ALL)""")
 def status_counts(spark, d):
-    from pyspark.sql import Window
-
     status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "skipped").otherwise("success")
     e = table(spark, d, "events").groupBy(F.col("user_id").alias("domain"), status.alias("status")).agg(F.count("*").alias("n"))
     return e.withColumn("percent", F.bround(100 * F.col("n") / F.sum("n").over(Window.partitionBy("domain"))).cast("bigint"))
@@ -290,8 +289,6 @@ f AS (SELECT label, doc_id, term, count(*) AS tf FROM (SELECT label, doc_id, unn
 x AS (SELECT label, term, sum(tf) AS n, count(*) AS docs, row_number() OVER (PARTITION BY label ORDER BY sum(tf) DESC, term) AS rank FROM f GROUP BY label, term)
 SELECT label, term, n::BIGINT AS n, docs, rank FROM x WHERE rank <= 8""")
 def cluster_keywords_by_label(spark, d):
-    from pyspark.sql import Window
-
     toks = table(spark, d, "documents").select((F.col("doc_id") % 8).alias("label"), "doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,}"), F.lit(0))).alias("term"))
     x = toks.groupBy("label", "doc_id", "term").agg(F.count("*").alias("tf")).groupBy("label", "term").agg(F.sum("tf").alias("n"), F.count("*").alias("docs"))
     rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "term")).cast("bigint")
@@ -427,8 +424,6 @@ def llm_cost(spark, d):
 
 @query("SELECT user_id, event_id, day::VARCHAR AS day, i <= 5 AS allowed FROM (SELECT user_id, event_id, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS i FROM events)")
 def daily_quota(spark, d):
-    from pyspark.sql import Window
-
     e = table(spark, d, "events").withColumn("day", F.to_date("ts").cast("string"))
     i = F.row_number().over(Window.partitionBy("user_id", "day").orderBy("ts", "event_id"))
     return e.select("user_id", "event_id", "day", (i <= 5).alias("allowed"))
@@ -499,8 +494,6 @@ def top_recent(spark, d):
 @query("""SELECT source, '# ' || source || chr(10) || string_agg('- ' || doc_id || ': ' || left(split_part(text, chr(10), 1), 60), chr(10) ORDER BY doc_id) AS markdown FROM
 (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents) WHERE i <= 20 GROUP BY source""")
 def report_markdown(spark, d):
-    from pyspark.sql import Window
-
     i = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
     line = F.concat(F.lit("- "), F.col("doc_id").cast("string"), F.lit(": "), F.substring(F.substring_index("text", "\n", 1), 1, 60))
     rows = table(spark, d, "documents").select("source", "doc_id", line.alias("line"), i.alias("i")).where("i <= 20")

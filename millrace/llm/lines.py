@@ -3,7 +3,7 @@
 Lines with equal token sets form a class, which stands where its first line stands. Tokens are ordered
 by rarity; two similar sets share a token among their rarest ones (prefix filter). Pairs that meet
 there must be close in size (length filter), and what follows the shared token must suffice for the
-overlap (positional filter); a signature of 64 bits bounds the overlap further. What survives is verified on the whole sets.
+overlap (positional filter); a signature of 128 bits bounds the overlap further. What survives is verified on the whole sets.
 
 A token of up to ``HOT`` prefixes lets all of these meet. Beyond that, every class first meets the earliest
 class of the token alone; those that are not similar to it meet all earlier ones of a fitting size, so
@@ -84,10 +84,10 @@ def rarity(docs: DataFrame) -> bytes:
 
 
 def classes(docs: DataFrame, levels: Column, percent: int) -> DataFrame:
-    """Rows ``(c, n, sign, skip, prefix)``: first line of each token set, its size, signature and rarest tokens.
+    """Rows ``(c, n, sign, more, skip, prefix)``: first line of each token set, its size, signature and rarest tokens.
 
-    A token is a number, its rarity in the highest byte and its hash below. The signature has 64 bits, each told by the parity of
-    the tokens of one hash group. ``prefix`` has 31 bits of each token's hash, enough for meeting. Words that are in no other line
+    A token is a number, its rarity in the highest byte and its hash below. The signature has 128 bits, in ``sign`` and ``more``, each told by
+    the parity of the tokens of one hash group. ``prefix`` has 31 bits of each token's hash, enough for meeting. Words that are in no other line
     are left out of it; ``skip`` says how many.
     """
 
@@ -100,11 +100,15 @@ def classes(docs: DataFrame, levels: Column, percent: int) -> DataFrame:
     longest = F.size("t") - F.ceil(F.size("t") * percent / 100).cast("int") + 1
     prefix = F.filter(F.slice("t", F.lit(1), longest), lambda x: x >= F.lit(2 << 56))
     one = F.lit(1).cast("bigint")
-    sign = F.aggregate("t", F.lit(0).cast("bigint"), lambda x, h: x.bitwiseXOR(F.call_function("shiftleft", one, h.bitwiseAND(F.lit(63)).cast("int"))))
-    lines = lines.select("c", F.size("t").cast("bigint").alias("n"), F.xxhash64("t").alias("h1"), F.hash("t").alias("h2"), sign.alias("sign"), longest.alias("longest"), prefix.alias("prefix"))
-    first = lines.groupBy("h1", "h2", "n").agg(F.min(F.struct("c", "sign", "longest", "prefix")).alias("f"))
+
+    def parity(half: int) -> Column:
+        own = F.filter("t", lambda h: h.bitwiseAND(F.lit(64)) == half)
+        return F.aggregate(own, F.lit(0).cast("bigint"), lambda x, h: x.bitwiseXOR(F.call_function("shiftleft", one, h.bitwiseAND(F.lit(63)).cast("int"))))
+
+    lines = lines.select("c", F.size("t").cast("bigint").alias("n"), F.xxhash64("t").alias("h1"), F.hash("t").alias("h2"), parity(0).alias("sign"), parity(64).alias("more"), longest.alias("longest"), prefix.alias("prefix"))
+    first = lines.groupBy("h1", "h2", "n").agg(F.min(F.struct("c", "sign", "more", "longest", "prefix")).alias("f"))
     tokens = F.transform("f.prefix", lambda x: x.bitwiseAND(F.lit(2**31 - 1)).cast("int"))
-    return first.select("f.c", "n", "f.sign", (F.col("f.longest") - F.size("f.prefix")).alias("skip"), tokens.alias("prefix"))
+    return first.select("f.c", "n", "f.sign", "f.more", (F.col("f.longest") - F.size("f.prefix")).alias("skip"), tokens.alias("prefix"))
 
 
 def _close(percent: int) -> Column:
@@ -114,7 +118,7 @@ def _close(percent: int) -> Column:
     """
     n, pos, m, at = F.shiftright("np", POS), F.col("np").bitwiseAND(F.lit(2**POS - 1)), F.shiftright("np_b", POS), F.col("np_b").bitwiseAND(F.lit(2**POS - 1))
     left = F.least(n - pos, m - at)
-    apart = F.bit_count(F.col("sign").bitwiseXOR(F.col("sign_b")))
+    apart = F.bit_count(F.col("sign").bitwiseXOR(F.col("sign_b"))) + F.bit_count(F.col("more").bitwiseXOR(F.col("more_b")))
     near = (n + m - apart) * (100 + percent) >= 2 * percent * (n + m)
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (left * (100 + percent) >= percent * (n + m)) & near
 
@@ -160,27 +164,27 @@ def similar_lines(docs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Rows ``(o, stay)``: the lines of each text that stay, being first of their class, and similar to no line before."""
     levels = _one_row(rarity(docs), scratch, "levels")
     first = scratch.table(classes(docs, levels, percent), "classes")
-    rows = first.select("c", "n", "skip", "sign", F.posexplode("prefix").alias("at", "s"))
-    rows = rows.select("s", "c", (F.shiftleft("n", POS) + F.col("at") + F.col("skip")).alias("np"), "sign").repartition("s")
-    shared = rows.groupBy("s").agg(F.count("*").alias("k"), F.min(F.struct("c", "np", "sign")).alias("lead")).where("k > 1")
+    rows = first.select("c", "n", "skip", "sign", "more", F.posexplode("prefix").alias("at", "s"))
+    rows = rows.select("s", "c", (F.shiftleft("n", POS) + F.col("at") + F.col("skip")).alias("np"), "sign", "more").repartition("s")
+    shared = rows.groupBy("s").agg(F.count("*").alias("k"), F.min(F.struct("c", "np", "sign", "more")).alias("lead")).where("k > 1")
     rows = rows.join(shared, "s")
 
     # All reads of this one shuffle are parts of one job: pairs, and the rows of hot tokens.
-    other = [F.col(x).alias(f"{x}_b") for x in ("c", "np", "sign")]
-    cold = rows.where(F.col("k") <= HOT).select("s", "c", "np", "sign")
+    other = [F.col(x).alias(f"{x}_b") for x in ("c", "np", "sign", "more")]
+    cold = rows.where(F.col("k") <= HOT).select("s", "c", "np", "sign", "more")
     pairs = cold.join(cold.select("s", *other), "s").where("c < c_b").where(_close(percent)).select("c", "c_b")
     hot = rows.where(F.col("k") > HOT)
-    led = hot.where("c <> lead.c").withColumns({"np_b": F.col("lead.np"), "sign_b": F.col("lead.sign")}).where(_close(percent))
+    led = hot.where("c <> lead.c").withColumns({"np_b": F.col("lead.np"), "sign_b": F.col("lead.sign"), "more_b": F.col("lead.more")}).where(_close(percent))
     pairs = pairs.union(led.select("lead.c", "c")).distinct()
     none = lambda kind: F.lit(None).cast(kind)
-    met = pairs.select("c", "c_b", none("int").alias("s"), none("bigint").alias("np"), none("bigint").alias("sign"))
-    met = scratch.table(met.union(hot.select("c", none("bigint"), "s", "np", "sign")), "met")
+    met = pairs.select("c", "c_b", none("int").alias("s"), none("bigint").alias("np"), none("bigint").alias("sign"), none("bigint").alias("more"))
+    met = scratch.table(met.union(hot.select("c", none("bigint"), "s", "np", "sign", "more")), "met")
     pairs = met.where("c_b is not null").select("c", "c_b")
     # Each class first with the earliest that it met; a class that goes by that needs no other.
     nearest = scratch.table(pairs.groupBy("c_b").agg(F.min("c").alias("c")).select("c", "c_b"), "nearest")
     gone = verify(nearest, docs, percent, scratch)
     rest = pairs.join(gone.select(F.col("c").alias("c_b")), "c_b", "left_anti").select("c", "c_b")
-    more = _fitting(met.where("c_b is null").select("s", "c", "np", "sign"), gone, other, percent)
+    more = _fitting(met.where("c_b is null").select("s", "c", "np", "sign", "more"), gone, other, percent)
     rest = scratch.table(rest.union(more).distinct().join(nearest, ["c", "c_b"], "left_anti"), "rest")
     later = gone.union(verify(rest, docs, percent, scratch))
     stay = first.select("c").join(later, "c", "left_anti")

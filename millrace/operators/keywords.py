@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
@@ -10,13 +10,21 @@ from ..functions.text import with_bigrams, words
 
 
 def _terms(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows ``(key, terms)``: words and pairs of neighbours of each document."""
-    return docs.select(F.col(key), words(F.col(text)).alias("t")).select(key, with_bigrams(F.col("t")).alias("terms"))
+    """Rows ``(key, terms)``: words and pairs of neighbours of each document.
+
+    A lambda over an array of one binds the words once, wherever the optimizer moves the expression.
+    """
+    return docs.select(F.col(key), F.get(F.transform(F.array(words(F.col(text))), with_bigrams), F.lit(0)).alias("terms"))
+
+
+def _each(terms: DataFrame, key: str, array: str | Column = "terms") -> DataFrame:
+    """Rows ``(key, term)``. The outer form keeps the optimizer from cutting the words a second time to see whether there are any."""
+    return terms.select(key, F.explode_outer(array).alias("term")).where("term is not null")
 
 
 def term_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows ``(key, term, tf)``; words and pairs of neighbours."""
-    return _terms(docs, key, text).select(key, F.explode("terms").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return _each(_terms(docs, key, text), key).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def vocabulary(terms: DataFrame, n: int, size: int) -> DataFrame:
@@ -24,9 +32,13 @@ def vocabulary(terms: DataFrame, n: int, size: int) -> DataFrame:
 
     A document's terms are sorted in its row, where the first of each run tells it apart, so counting shuffles no rows by document.
     """
-    ordered = terms.select(F.sort_array("terms").alias("t")).where(F.size("t") > 0)
-    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("t", F.lit(1), F.size("t") - 1))
-    each = ordered.select(F.explode(F.arrays_zip(F.col("t").alias("term"), before.alias("before"))).alias("x"))
+    none = F.array(F.lit(None).cast("string"))
+
+    def with_before(t: Column) -> Column:
+        return F.arrays_zip(t.alias("term"), F.concat(none, F.slice(t, F.lit(1), F.greatest(F.size(t) - 1, F.lit(0)))).alias("before"))
+
+    ordered = F.get(F.transform(F.array(F.sort_array("terms")), with_before), F.lit(0))
+    each = terms.select(F.explode_outer(ordered).alias("x")).where("x.term is not null")
     first = F.when(F.col("x.before").eqNullSafe(F.col("x.term")), 0).otherwise(1)
     found = each.groupBy(F.col("x.term").alias("term")).agg(F.sum(first).alias("df"), F.count("*").alias("n"))
     found = found.where(F.col("df") <= C.MAX_DF * n if n > 1 else F.lit(True))
@@ -40,7 +52,7 @@ def weights(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
     """
     n, terms = docs.count(), _terms(docs, key, text)
     known = F.broadcast(vocabulary(terms, n, C.VOCABULARY))
-    tf = terms.select(key, F.explode("terms").alias("term")).join(known, "term").groupBy(key, "term", "df").agg(F.count("*").alias("tf"))
+    tf = _each(terms, key).join(known, "term").groupBy(key, "term", "df").agg(F.count("*").alias("tf"))
     w = tf.withColumn("w", F.col("tf") * (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return w.select(key, "term", (F.col("w") / norm).alias("weight")), n
@@ -64,7 +76,7 @@ def baskets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """Rows ``(key, basket)``: which of the corpus's most frequent terms a document has, sorted. Documents without any have no row."""
     n, terms = docs.count(), _terms(docs, key, text)
     known = F.broadcast(vocabulary(terms, n, C.ASSOC_VOCABULARY).select("term"))
-    found = terms.select(key, F.explode(F.array_distinct("terms")).alias("term")).join(known, "term")
+    found = _each(terms, key, F.array_distinct("terms")).join(known, "term")
     return found.groupBy(key).agg(F.array_sort(F.collect_set("term")).alias("basket"))
 
 

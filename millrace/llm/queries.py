@@ -11,6 +11,7 @@ from . import idfile, warc
 from .data import read
 from .jaccard import similar_documents
 from .lines import dedup_lines
+from .merkle import FIELDS, manifest
 from .packing import pack
 from .quality import MIN_DOCS, MIN_WORDS, LEFT_PERCENT, ONE_IN, quality
 from .scratch import Scratch
@@ -205,6 +206,53 @@ FROM t LEFT JOIN x USING (doc_id)
 
 SQL_OP9 = _sql_op9()
 
+#: The unsigned CRC-32 of a text in ASCII, by the reversed polynomial.
+SQL_CRC = (
+    "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda x: ascii(x)::BIGINT)), "
+    "lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)))"
+)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(read(spark, sf_dir, "documents"))
+
+
+def _sql_leaf(n_chars: str) -> str:
+    own = [n_chars if f == "n_chars" else f for f in FIELDS]
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}::VARCHAR)::VARCHAR || ':' || {f}::VARCHAR, '-')" for f in own) + ")"
+
+
+SQL_OP13 = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, {_sql_leaf("n_chars")} AS leaf, {_sql_leaf("(n_chars::HUGEINT + 1)")} AS more, coalesce({SQL_CRC.format("doc_id::VARCHAR")} % 7 = 0, FALSE) AS bent FROM documents
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM d
+), lower_tree AS (
+  SELECT tree, 0 AS level, i, leaf AS h, count(*) OVER (PARTITION BY tree) AS n FROM o
+  UNION ALL
+  SELECT tree, any_value(level) + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 1) // 2 FROM lower_tree WHERE n > 1 GROUP BY tree, i // 2
+), roots AS (SELECT tree, h AS subroot FROM lower_tree WHERE n = 1),
+upper_tree AS (
+  SELECT 0 AS level, tree AS i, subroot AS h, count(*) OVER () AS n FROM roots
+  UNION ALL
+  SELECT any_value(level) + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 1) // 2 FROM upper_tree WHERE n > 1 GROUP BY i // 2
+), root AS (SELECT h AS root FROM upper_tree WHERE n = 1),
+steps AS (
+  SELECT o.tree, o.i, a.level AS step, CASE WHEN b.i < a.i THEN 'l' WHEN b.i > a.i THEN 'r' ELSE '-' END || coalesce(b.h, '') AS s
+  FROM o JOIN lower_tree a ON a.tree = o.tree AND a.n > 1 AND a.i = o.i >> a.level LEFT JOIN lower_tree b ON b.tree = a.tree AND b.level = a.level AND b.i = xor(a.i, 1)
+  UNION ALL
+  SELECT o.tree, o.i, 100 + a.level, CASE WHEN b.i < a.i THEN 'l' WHEN b.i > a.i THEN 'r' ELSE '-' END || coalesce(b.h, '')
+  FROM o JOIN upper_tree a ON a.n > 1 AND a.i = o.tree >> a.level LEFT JOIN upper_tree b ON b.level = a.level AND b.i = xor(a.i, 1)
+), p AS (SELECT tree, i, list(s ORDER BY step) AS s FROM steps GROUP BY tree, i),
+f AS (
+  SELECT doc_id, lang, leaf, subroot, root, sha256(array_to_string(list_transform(coalesce(s, []), lambda x: x[2:]), '')) AS proof_sha256,
+         list_reduce(list_prepend(CASE WHEN bent THEN more ELSE leaf END, coalesce(s, [])), lambda h, x: CASE x[1] WHEN 'l' THEN sha256(x[2:] || h) WHEN 'r' THEN sha256(h || x[2:]) ELSE sha256(h) END) AS folded_root
+  FROM o JOIN roots USING (tree) LEFT JOIN p USING (tree, i), root
+)
+SELECT *, folded_root = root AS verified FROM f
+"""
+
+
 #: Name, query, SQL or None.
 ALL = [
     ("op1_packing", op1_packing, None),
@@ -217,6 +265,7 @@ ALL = [
     ("op8_benchmark_decontamination", op8_benchmark_decontamination, SQL_OP8),
     ("op9_secret_scans", op9_secret_scans, SQL_OP9),
     ("op10_token_id_files", op10_token_id_files, None),
+    ("op13_merkle_manifest", op13_merkle_manifest, SQL_OP13),
 ]
 
 

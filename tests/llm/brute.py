@@ -109,3 +109,38 @@ def encoded(texts, path, end):
 
     t = Tokenizer.from_file(path)
     return [e.ids + [end] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+
+
+def manifest(rows, arity=2):
+    """Rows of the Merkle manifest of ``(doc_id, source, lang, n_chars, text)``: doc_id, lang, leaf, subroot, root, proof, folded root, verified."""
+    h = lambda *x: hashlib.sha256("".join(x).encode()).hexdigest()
+    leaf = lambda values: h(*["-" if v is None else f"{len(str(v).encode())}:{v}" for v in values])
+
+    def tree(leaves):
+        levels = [leaves]
+        while len(levels[-1]) > 1:
+            below = levels[-1]
+            levels.append([h(*below[i : i + arity]) for i in range(0, len(below), arity)])
+        return levels
+
+    def siblings(levels, i):
+        for level in levels[:-1]:
+            first = i - i % arity
+            yield i - first, level[first:i] + level[i + 1 : first + arity]
+            i //= arity
+
+    groups = {}
+    for d, source, lang, n, text in rows:
+        bent = d is not None and n is not None and zlib.crc32(str(d).encode()) % 7 == 0
+        groups.setdefault(lang, []).append((d, leaf((d, source, lang, n, text)), leaf((d, source, lang, n + 1 if bent else n, text))))
+    langs = sorted(groups, key=lambda x: (x is not None, (x or "").encode()))
+    for own in groups.values():
+        own.sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    trees = [tree([x[1] for x in groups[lang]]) for lang in langs]
+    upper = tree([t[-1][0] for t in trees])
+    for k, lang in enumerate(langs):
+        for i, (d, own, claimed) in enumerate(groups[lang]):
+            proof, folded = [*siblings(trees[k], i), *siblings(upper, k)], claimed
+            for at, others in proof:
+                folded = h(*others[:at], folded, *others[at:])
+            yield d, lang, own, trees[k][-1][0], upper[-1][0], h(*[x for _, others in proof for x in others]), folded, folded == upper[-1][0]

@@ -14,6 +14,7 @@ from millrace.llm import idfile, jaccard, lines, toxicity, urls, warc
 from millrace.llm import queries as Q
 from millrace.llm.jaccard import similar_documents
 from millrace.llm.lines import dedup_lines
+from millrace.llm.merkle import Forest, fold, height, manifest, node
 from millrace.llm.packing import pack, patterns
 from millrace.llm.quality import quality
 from millrace.llm.scratch import Scratch
@@ -557,3 +558,67 @@ def test_damaged_frame_is_found(tmp_path):
     data[-13] ^= 1  # the checksum of the last frame
     with pytest.raises(ValueError):
         idfile.Reader(pa.BufferReader(bytes(data)), "<u2")
+
+
+# 13: Merkle manifest
+
+ROWS = "doc_id bigint, source string, lang string, n_chars bigint, text string"
+
+
+def leaf_rows():
+    """Nulls in every column, long and odd texts, repeated rows and ids, groups of one row and of many."""
+    rows = [(None, None, None, None, None), (None, "s", "xx", 3, "a"), (5, None, "é", 2**63 - 1, ""), (5, None, "é", 1, ""), (5, None, "é", 1, "")]
+    rows += [(i, f"src{i % 3}", "z", None if i % 11 == 0 else i, LONG if i == 7 else f"{i}:-:é\n") for i in range(61)]
+    rows += [(-i * 10**15, "", ["A", "a", "", "aa", "\U0001f600", "\uffee"][i % 6], i, None) for i in range(8)]
+    return rows + [(9, "r", "same", 1, "t")] * 13
+
+
+@pytest.mark.parametrize("how", [{}, {"width": 4, "fan": 2, "rows": 3}, {"width": 16, "fan": 3, "rows": 5, "arity": 3}, {"width": 1, "fan": 7, "rows": 1, "arity": 5}])
+def test_manifest_equals_brute_force(spark, how):
+    rows = leaf_rows()
+    docs = spark.createDataFrame(rows, ROWS).repartition(5).withColumns({k: F.lit(1) for k in ("tree", "i", "size", "at", "leaf", "path", "level", "_part", "_row", "groups", "own_lang", "bent")})
+    got = sorted(map(repr, map(tuple, manifest(docs, **how).collect())))
+    assert got == sorted(map(repr, brute.manifest(rows, how.get("arity", 2))))
+
+
+def test_manifest_of_one_row_and_of_none(spark):
+    one = spark.createDataFrame([(7, "s", "en", 1, "x")], ROWS)
+    (r,) = manifest(one).collect()
+    assert r.leaf == r.subroot == r.root == r.folded_root and r.verified and r.proof_sha256 == brute.hashlib.sha256(b"").hexdigest()
+    assert manifest(one.limit(0)).count() == 0
+
+
+def test_every_tampered_row_is_found(spark):
+    rows = manifest(documents(spark)).collect()
+    tampered = {r.doc_id for r in documents(spark).collect() if r.n_chars is not None and brute.zlib.crc32(str(r.doc_id).encode()) % 7 == 0}
+    assert tampered and {r.doc_id for r in rows if not r.verified} == tampered
+
+
+@pytest.mark.parametrize("arity", [2, 3, 7])
+def test_forests_merge_in_any_order(arity):
+    """Fragments of any rows, merged in any order, give one root, and each leaf its proof. One that comes a second time changes nothing."""
+    rng = random.Random(arity)
+    sizes = [1, 2, 9, 50]
+    leaves = [(t, 0, i, bytes([t, i]) * 16, sum(sizes[:t]) + i, n) for t, n in enumerate(sizes) for i in range(n)]
+    roots = set()
+    for _ in range(20):
+        rng.shuffle(leaves)
+        parts = [leaves[k::9] for k in range(9)]
+        forests = []
+        for part in parts:
+            forests.append(Forest(len(sizes), arity))
+            for row in part:
+                forests[-1].add(*row)
+        while len(forests) > 1:
+            a, b = forests.pop(rng.randrange(len(forests))), forests.pop(rng.randrange(len(forests)))
+            forests.append(a.merge(b).merge(b))
+        (((digest, _, _)),) = forests[0].nodes.values()
+        roots.add(digest)
+    assert len(roots) == 1
+    whole = Forest(len(sizes), arity)
+    for row in leaves:
+        whole.add(*row)
+    for t, _, i, digest, _, n in leaves:
+        path, top = whole.climb((t, 0, i), {})
+        assert fold(digest, path, t, i, n, len(sizes), arity) in roots and top == (-1, height(len(sizes), arity), 0)
+    assert node([b"a"]) != b"a"

@@ -13,6 +13,7 @@ from .jaccard import similar_documents
 from .lines import dedup_lines
 from .merkle import FIELDS, manifest
 from .packing import pack
+from .periodic import find_runs
 from .quality import MIN_DOCS, MIN_WORDS, LEFT_PERCENT, ONE_IN, quality
 from .scratch import Scratch
 from .secrets import RULES, commit, digest
@@ -213,6 +214,30 @@ SQL_CRC = (
 )
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_runs(read(spark, sf_dir, "documents"))
+
+
+SQL_OP12 = rf"""
+WITH t AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, coalesce({SQL_CRC.format("doc_id::VARCHAR")}, 1) AS h FROM documents
+), g AS (SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS bent, (h // 10) % greatest(len(w), 1) AS a, (h // 10) % 8 AS k FROM t),
+p AS (SELECT doc_id, n, w, a, bent, 1 + (n - a) // (3 + k) AS p FROM g),
+d AS (SELECT doc_id, n, CASE WHEN bent THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END]) ELSE w END AS w FROM p),
+x AS (SELECT doc_id, i, array_to_string(w[i+1:i+3], ' ') AS s FROM (SELECT doc_id, w, unnest(range(n - 2)) AS i FROM d WHERE n > 5)),
+m AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM x JOIN x y ON x.doc_id = y.doc_id AND x.s = y.s AND y.i > x.i),
+b AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM m),
+r AS (SELECT doc_id, q, min(i) AS a, count(*) + 2 + q AS n FROM b GROUP BY doc_id, q, island),
+u AS (SELECT doc_id, a, n, min(q) AS q FROM r WHERE n >= 2 * q GROUP BY doc_id, a, n HAVING n >= greatest(6, 4 * min(q))),
+best AS (SELECT doc_id, a AS start, n AS length, q AS period FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n::DOUBLE / q DESC, a, q) AS i FROM u) WHERE i = 1),
+listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(a || ',' || n || ',' || q || chr(10), '' ORDER BY a, q) AS s FROM u GROUP BY doc_id),
+gone AS (SELECT doc_id, list(DISTINCT i) AS gone FROM (SELECT doc_id, unnest(range(a + q, a + n)) AS i FROM u) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(s, '')) AS runs_sha256,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(range(n), lambda i: NOT list_contains(gone, i)), lambda i: w[i + 1]) END, ' ')) AS collapsed_sha256
+FROM d LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN gone USING (doc_id)
+"""
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(read(spark, sf_dir, "documents"))
 
@@ -265,6 +290,7 @@ ALL = [
     ("op8_benchmark_decontamination", op8_benchmark_decontamination, SQL_OP8),
     ("op9_secret_scans", op9_secret_scans, SQL_OP9),
     ("op10_token_id_files", op10_token_id_files, None),
+    ("op12_periodic_runs", op12_periodic_runs, SQL_OP12),
     ("op13_merkle_manifest", op13_merkle_manifest, SQL_OP13),
 ]
 

@@ -16,6 +16,7 @@ from millrace.llm.jaccard import similar_documents
 from millrace.llm.lines import dedup_lines
 from millrace.llm.merkle import Forest, fold, height, manifest, node
 from millrace.llm.packing import pack, patterns
+from millrace.llm.periodic import find_runs, runs
 from millrace.llm.quality import quality
 from millrace.llm.scratch import Scratch
 from millrace.llm.secrets import RULES, Rule, commit, digest, findings
@@ -560,6 +561,44 @@ def test_damaged_frame_is_found(tmp_path):
         idfile.Reader(pa.BufferReader(bytes(data)), "<u2")
 
 
+# 12: periodic runs
+
+
+@pytest.mark.parametrize("letters", [1, 2, 3])
+def test_runs_equal_brute_force(letters):
+    rng, found = random.Random(letters), 0
+    for _ in range(1500):
+        w = [rng.randrange(letters) for _ in range(rng.randrange(1, 60))]
+        if rng.random() < 0.6:
+            p, start = rng.randrange(1, 9), rng.randrange(len(w))
+            for i in range(start + p, min(len(w), start + p * rng.randrange(2, 9))):
+                w[i] = w[i - p]
+        want = brute.runs(w)
+        found += len(want)
+        assert [(r.start, r.length, r.period) for r in runs(np.array(w))] == want
+    assert found > 500
+
+
+def test_runs_of_texts_equal_brute_force(spark):
+    rng = random.Random(12)
+    rows = [(i, t) for i, t in ODD if len(t or "") < 10_000] + [(None, "x y " * 9), (None, None), (None, "a b"), (-5, "é \u00a0 " * 7), (-5, "é \u00a0 " * 7)]
+    rows += [(100 + i, " ".join(f"w{rng.randrange(1 + i % 40)}" for _ in range(rng.randrange(120)))) for i in range(400)]
+    rows += [(k, "\t".join(["one two three four five"] * 30) + "\x0bsix\x1cseven six\x1cseven" * 5) for k in range(600, 700)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({k: F.lit(x) for k, x in CLASH.items()} | {"n_runs": F.lit(1), "start": F.lit(2), "period": F.lit("p")})
+    want = [brute.periodic(*r) for r in rows]
+    assert sum(r[1] for r in want) > 150
+    assert sorted(map(repr, map(tuple, find_runs(docs, texts=True).collect()))) == sorted(map(repr, want))
+    assert sorted(map(repr, map(tuple, find_runs(docs).collect()))) == sorted(repr(r[:-1]) for r in want)
+
+
+def test_runs_of_very_long_texts(spark):
+    """A word, a stretch and a text of hundreds of thousands of words that repeat, and one that doesn't."""
+    n, key = 200_000, next(k for k in range(1, 99) if brute.zlib.crc32(str(k).encode()) % 10)
+    rows = [(key, "a " * n), (key, " ".join(f"w{i % 70}" for i in range(n))), (key, LONG), (key, " ".join(f"v{i}" for i in range(n)))]
+    got = [(r.n_runs, r.start, r.length, r.period) for r in find_runs(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)).collect()]
+    assert got == [(1, 0, n, 1), (1, 0, n, 70), (0, None, None, None), (0, None, None, None)]
+
+
 # 13: Merkle manifest
 
 ROWS = "doc_id bigint, source string, lang string, n_chars bigint, text string"

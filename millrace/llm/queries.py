@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from . import idfile, warc
 from .data import read
 from .jaccard import similar_documents
+from .licenses import BASE, LOWER, UPPER, WEIGHTS, find_licenses
+from .licenses import rules as license_rules
 from .lines import dedup_lines
 from .merkle import FIELDS, manifest
 from .packing import pack
@@ -214,6 +216,41 @@ SQL_CRC = (
 )
 
 
+def op11_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_licenses(read(spark, sf_dir, "documents")).drop("spans")
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+SQL_OP11 = rf"""
+WITH t AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+), s AS (SELECT doc_id, w, ' ' || array_to_string(w, '  ') || ' ' AS s FROM t),
+rules(rule, label, priority, keys, pattern) AS (VALUES {", ".join(f"({i}, {_quoted(r.label)}, {r.priority}, [{', '.join(map(_quoted, r.keys))}], {_quoted(r.spaced)})" for i, r in enumerate(license_rules()))}),
+base(label, pattern) AS (VALUES {", ".join(f"({_quoted(label)}, {_quoted(' (' + p.replace(' ', '  ') + ') ')})" for p, label in BASE.items())}),
+c AS (SELECT doc_id, rule, label, priority, s, pattern FROM s JOIN rules ON list_has_all(w, keys) WHERE regexp_matches(s, pattern)),
+m AS (
+  SELECT doc_id, rule, label, priority, string_split(trim(regexp_replace(s, pattern, ' ' || chr(1) || '\1' || chr(2) || ' ', 'g')), '  ') AS v FROM c
+), x AS (
+  SELECT doc_id, rule, label, priority, unnest(list_filter(range(len(v)), lambda i: starts_with(v[i + 1], chr(1)))) AS a, unnest(list_filter(range(1, len(v) + 1), lambda i: ends_with(v[i], chr(2)))) AS b FROM m
+), k AS (
+  SELECT x.*, EXISTS (SELECT 1 FROM x y WHERE y.doc_id = x.doc_id AND y.a <= x.a AND y.b >= x.b AND y.priority >= x.priority
+    AND (y.a < x.a OR y.b > x.b OR y.priority > x.priority OR y.rule < x.rule)) AS within FROM x
+), l AS (
+  SELECT doc_id, label, CASE priority {" ".join(f"WHEN {i} THEN {v}::DOUBLE" for i, v in enumerate(WEIGHTS, 1))} END AS score FROM k WHERE NOT within
+), b AS (
+  SELECT doc_id, label, unnest(list_filter(range(len(v)), lambda i: starts_with(v[i + 1], chr(1)))) AS a
+  FROM (SELECT doc_id, label, string_split(trim(regexp_replace(s, pattern, ' ' || chr(1) || '\1' || chr(2) || ' ', 'g')), '  ') AS v FROM s, base WHERE regexp_matches(s, pattern))
+), bs AS (SELECT doc_id, count(*) AS n_base, min(a) AS first_word, max(a) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY doc_id),
+ls AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM l UNION SELECT doc_id, label FROM b) GROUP BY doc_id),
+sc AS (SELECT doc_id, max(score) AS score FROM l GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM s LEFT JOIN bs USING (doc_id) LEFT JOIN ls USING (doc_id) LEFT JOIN sc USING (doc_id)
+"""
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_runs(read(spark, sf_dir, "documents"))
 
@@ -290,6 +327,7 @@ ALL = [
     ("op8_benchmark_decontamination", op8_benchmark_decontamination, SQL_OP8),
     ("op9_secret_scans", op9_secret_scans, SQL_OP9),
     ("op10_token_id_files", op10_token_id_files, None),
+    ("op11_license_scans", op11_license_scans, SQL_OP11),
     ("op12_periodic_runs", op12_periodic_runs, SQL_OP12),
     ("op13_merkle_manifest", op13_merkle_manifest, SQL_OP13),
 ]

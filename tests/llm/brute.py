@@ -177,3 +177,22 @@ def periodic(doc_id, text):
     top = min(found, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2]), default=None)
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
     return doc_id, len(found), *(top or (None,) * 3), 1000 * top[1] // top[2] if top else None, sha("".join(f"{s},{n},{q}\n" for s, n, q in found)), sha(left), left
+
+
+def licenses(text, table, base, weights):
+    """n_words, places of base phrases, their labels, all labels, score, and surviving spans, with every rule tried and all pairs of spans compared."""
+    w = words(text, ALNUM)
+    spaced, starts = " " + "  ".join(w) + " ", {}
+    for i in range(len(w) + 1):
+        starts[sum(len(x) + 2 for x in w[:i]) if i < 2000 else -i] = i
+    places = [(label, i) for phrase, label in base.items() for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]
+    spans = []
+    for order, rule in enumerate(table):
+        for m in re.finditer(rule.spaced, spaced):
+            spans.append((starts[m.start()], starts[m.end()], rule.priority, order, rule.label))
+    within = lambda x, y: y[0] <= x[0] and y[1] >= x[1] and y[2] >= x[2] and (y[:3] != x[:3] or y[3] < x[3])
+    left = [x for x in spans if not any(within(x, y) for y in spans)]
+    at = [i for _, i in places]
+    own = sorted({label for label, _ in places})
+    score = max((weights[x[2] - 1] for x in left), default=0.0)
+    return len(w), len(at), min(at, default=None), max(at, default=None), ",".join(own), ",".join(sorted({*own, *(x[4] for x in left)})), score, sorted((x[0], x[1], x[4], x[2]) for x in left)

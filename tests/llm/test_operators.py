@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import defaultdict
 from html.parser import HTMLParser
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from millrace.llm import idfile, jaccard, lines, toxicity, urls, warc
 from millrace.llm import queries as Q
 from millrace.llm.jaccard import similar_documents
+from millrace.llm.licenses import BASE, WEIGHTS, find_licenses, rules, surviving
 from millrace.llm.lines import dedup_lines
 from millrace.llm.merkle import Forest, fold, height, manifest, node
 from millrace.llm.packing import pack, patterns
@@ -561,6 +563,86 @@ def test_damaged_frame_is_found(tmp_path):
         idfile.Reader(pa.BufferReader(bytes(data)), "<u2")
 
 
+# 11: license scans
+
+
+def matched(tree, rng):
+    """A text that a parsed pattern matches."""
+    out = ""
+    for op, arg in tree:
+        match str(op):
+            case "LITERAL":
+                out += chr(arg)
+            case "NOT_LITERAL":
+                out += "w"
+            case "IN":
+                kind, of = rng.choice(arg)
+                out += chr(of if str(kind) == "LITERAL" else rng.randint(*of))
+            case "MAX_REPEAT":
+                out += "".join(matched(arg[2], rng) for _ in range(rng.randint(arg[0], min(arg[1], 3))))
+            case "SUBPATTERN":
+                out += matched(arg[-1], rng)
+            case "BRANCH":
+                out += matched(rng.choice(arg[1]), rng)
+            case _:
+                raise AssertionError(op)
+    return out
+
+
+def test_whatever_a_rule_matches_has_its_keys():
+    rng = random.Random(1)
+    for rule in rules():
+        for _ in range(30):
+            found = brute.words(matched(re._parser.parse(rule.pattern), rng), brute.ALNUM)
+            assert set(rule.keys) <= set(found) and re.fullmatch(rule.spaced, f" {'  '.join(found)} "), rule
+
+
+def test_rules_are_hundreds_and_cover_the_base():
+    table = rules()
+    assert len(table) >= 200 and {1, 2, 3, 4} == {r.priority for r in table} and len({(r.label, r.pattern) for r in table}) == len(table)
+    assert all(any(re.fullmatch(r.pattern, p) and r.label == label for r in table) for p, label in BASE.items())
+
+
+LICENSES = [
+    "SPDX-License-Identifier: Apache-2.0", "SPDX-License-Identifier: GPL-2.0-or-later", "This work is licensed under the GNU General Public License, version 3.", "GNU Lesser General Public License v2.1 or GNU Affero GPL v3",
+    "All Rights Reserved. ALL RIGHTS RESERVED", "CC BY, CC-BY-SA 4.0; cc by cc by nc-nd", "Copyright (c) 2020 the authors. See the LICENSE file for details", "Licence Apache version 2.0 sous licence; tous droits réservés",
+    "unauthorized copying of this very file by anyone is strictly prohibited", "unauthorized copying " + "x " * 13 + "is strictly prohibited", "all rights  reservedé", "éall rights reserved", "general public", "MIT license mit MIT-0 mit no attribution",
+    "creative commons attribution sharealike 3.0 unported license", "released under the mit license", "licensed under the apache license version 2 0 apache license",
+]
+
+
+def test_licenses_equal_brute_force(spark):
+    rng = random.Random(11)
+    texts = [t for _, t in ODD if len(t or "") < 10_000] + LICENSES + [None, None]
+    texts += [" ".join(rng.choice(LICENSES + ["lorem ipsum", "the", "\n", "public license"]) for _ in range(rng.randrange(12))) for _ in range(150)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({k: F.lit(x) for k, x in CLASH.items()} | {"labels": F.lit("l"), "spans": F.lit(3), "x": F.lit("x"), "found": F.lit(1), "own": F.lit(1)})
+    want = {i: brute.licenses(t, rules(), BASE, WEIGHTS) for i, t in rows}
+    found = find_licenses(docs)
+    got = {r.doc_id: tuple(r)[1:-1] for r in found.collect()}
+    assert got == {i: x[:-1] for i, x in want.items()} and sum(x[1] > 0 for x in want.values()) > 50
+    left = defaultdict(list)
+    for r in surviving(found).collect():
+        left[r.doc_id].append((r.start, r.end, r.label, r.priority))
+    assert {i: sorted(x) for i, x in left.items()} == {i: x[-1] for i, x in want.items() if x[-1]}
+
+
+def test_licenses_of_long_and_repeated_rows(spark):
+    """Tens of thousands of marks in one text, null and repeated keys."""
+    n = 30_000
+    rows = [(None, "mit license"), (None, "mit license"), (3, "word all rights reserved mit license " * n), (4, "word " * n * 4)]
+    got = [tuple(r) for r in find_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).drop("spans").collect()]
+    assert sorted(got, key=repr) == sorted([(None, 2, 0, None, None, "", "mit", 0.7)] * 2 + [(3, 6 * n, n, 1, 6 * n - 5, "reserved", "mit,reserved", 0.7), (4, 4 * n, 0, None, None, "", "", 0.0)], key=repr)
+
+
+def test_a_table_of_own_rules(spark, tmp_path):
+    """Of equal intervals the higher priority stays, then the earlier rule; a longer one suppresses only what is not stronger."""
+    (tmp_path / "rules.tsv").write_text("label\tpriority\tkeys\tpattern\nlate\t1\tb\ta b\nstrong\t3\tb\tb\nfirst\t2\tc\tc d\nsecond\t2\tc\tc d\nwide\t2\tb\ta b c\n")
+    d = spark.createDataFrame([(1, "a b c d"), (2, "b"), (3, "c d")], "doc_id bigint, text string")
+    got = {r.doc_id: r.labels for r in find_licenses(d, table=rules(str(tmp_path / "rules.tsv"))).collect()}
+    assert got == {1: "first,strong,wide", 2: "strong", 3: "first"}
+
+
 # 12: periodic runs
 
 

@@ -21,15 +21,13 @@ from .scratch import Scratch
 
 #: Labelled rows that a fit takes at most, dealt by a hash of their keys. The bound holds in the mean.
 SAMPLE = 20_000
-#: Weights of a model, at most. If more words than that tell about the label, several share a weight; none is left out.
-WEIGHTS = 1024
 #: A word's log-likelihood ratio against the label must reach this (chance: one in 10,000 words or fewer).
 LEAST_RATIO = 16.0
 #: Weight of the squared coefficients, and of squared changes of the logit under a swap.
 RIDGE, SWAP = 0.05, 10.0
 #: A score from here on is toxic.
 THRESHOLD = 0.7
-#: Terms that are swapped for one another.
+#: Terms that are swapped for one another, in English, French, Spanish and German.
 IDENTITY = [
     ["women", "men", "girls", "boys"],
     ["woman", "man", "girl", "boy"],
@@ -41,6 +39,28 @@ IDENTITY = [
     ["immigrants", "refugees", "foreigners", "natives"],
     ["disabled", "deaf", "blind", "autistic"],
     ["old", "young", "elderly"],
+    ["femmes", "hommes", "filles", "garçons"],
+    ["femme", "homme", "fille", "garçon"],
+    ["musulman", "chrétien", "juif", "hindou", "bouddhiste", "athée"],
+    ["musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"],
+    ["homosexuel", "lesbienne", "bisexuel", "hétérosexuel"],
+    ["noirs", "blancs", "asiatiques", "arabes", "européens"],
+    ["immigrés", "réfugiés", "étrangers"],
+    ["handicapé", "sourd", "aveugle"],
+    ["mujeres", "hombres", "niñas", "niños"],
+    ["mujer", "hombre", "niña", "niño"],
+    ["musulmán", "cristiano", "judío", "hindú", "budista", "ateo"],
+    ["musulmanes", "cristianos", "judíos", "budistas", "ateos"],
+    ["negros", "blancos", "asiáticos", "árabes", "europeos"],
+    ["inmigrantes", "refugiados", "extranjeros"],
+    ["discapacitado", "sordo", "ciego"],
+    ["frauen", "männer", "mädchen", "jungen"],
+    ["frau", "mann"],
+    ["muslime", "christen", "juden", "buddhisten", "atheisten"],
+    ["schwul", "lesbisch", "bisexuell", "heterosexuell"],
+    ["schwarze", "weiße", "asiaten", "araber", "europäer"],
+    ["einwanderer", "flüchtlinge", "ausländer"],
+    ["behindert", "gehörlos", "blinde"],
 ]
 
 
@@ -76,57 +96,87 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def newton(x: np.ndarray, y: np.ndarray, times: np.ndarray, swaps: np.ndarray, ridge: float = RIDGE, swap: float = SWAP) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise log loss + ridge + ``swap`` times the squared changes of the logit.
-
-    Row ``i`` of ``x`` counts ``times[i]`` times. ``swaps`` is the Gram matrix of the feature changes of all
-    counterfactuals. Newton's method with step halving.
+class Swaps:
+    """The Gram matrix of the feature changes of all counterfactuals. Only identity terms change, so it has rows for these alone."""
+
+    def __init__(self, rows: list[np.ndarray], times: np.ndarray, groups: list[list[int]]) -> None:
+        """``rows``: the features of each kind of text; ``times``: how many there are of it; ``groups``: features that are swapped for one another."""
+        self.terms = np.array(sorted({t for g in groups for t in g}), np.int64)
+        place = {t: k for k, t in enumerate(self.terms.tolist())}
+        self.gram = np.zeros((len(place), len(place)))
+        for own, n in zip(rows, times):
+            own = {place[t] for t in own.tolist() if t in place}
+            for group in [[place[t] for t in g] for g in groups] if own else []:
+                for i in own.intersection(group):
+                    for j in group:
+                        if j != i:
+                            d = {i: 1.0} if j in own else {i: 1.0, j: -1.0}
+                            for a, u in d.items():
+                                for b, v in d.items():
+                                    self.gram[a, b] += n * u * v
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(w))
+        if len(self.terms):
+            out[self.terms] = self.gram @ w[self.terms]
+        return out
+
+    def diagonal(self, k: int) -> np.ndarray:
+        out = np.zeros(k)
+        if len(self.terms):
+            out[self.terms] = np.diag(self.gram)
+        return out
+
+
+def newton(rows: list[np.ndarray], k: int, y: np.ndarray, times: np.ndarray, swaps: Swaps, ridge: float = RIDGE, swap: float = SWAP) -> tuple[np.ndarray, float]:
+    """Weights of ``k`` features and bias that minimise log loss + ridge + ``swap`` times the squared changes of the logit.
+
+    Row ``i`` has the features ``rows[i]`` and counts ``times[i]`` times. Newton's method with step halving; each step is
+    solved by conjugate gradients, so nothing of the size of the features' square is made.
     """
-    n, k = x.shape
-    x = np.hstack([x, np.ones((n, 1), x.dtype)])
-    penalty = np.zeros((k + 1, k + 1))
-    penalty[:k, :k] = ridge * np.eye(k) + swap * swaps
-    penalty[k, k] = 1e-6
+    n = len(rows)
+    of, at = np.repeat(np.arange(n), [len(r) for r in rows]), np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
+    own = np.append(np.full(k, ridge), 1e-6)
+
+    def forward(w: np.ndarray) -> np.ndarray:
+        return np.bincount(of, w[at], minlength=n) + w[k]
+
+    def back(u: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(at, u[of], minlength=k), u.sum())
+
+    def penalty(w: np.ndarray) -> np.ndarray:
+        return own * w + swap * swaps.times(w)
 
     def loss(w: np.ndarray) -> float:
-        z = x @ w
-        return float(times @ (np.logaddexp(0, z) - y * z) + w @ penalty @ w / 2)
+        z = forward(w)
+        return float(times @ (np.logaddexp(0, z) - y * z) + w @ penalty(w) / 2)
 
     w = np.zeros(k + 1)
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
-        curve, spread = penalty + 1e-9 * np.eye(k + 1), times * p * (1 - p)
-        for i in range(0, n, 2048):
-            part = x[i : i + 2048]
-            curve += (part * spread[i : i + 2048, None].astype(x.dtype)).T @ part
-        step = np.linalg.solve(curve, x.T @ (times * (p - y)) + penalty @ w)
-        size, now = 1.0, loss(w)
-        while loss(w - size * step) > now and size > 1e-6:
-            size /= 2
-        w = w - size * step
-        if np.abs(size * step).max() < 1e-4:
+        p = 1 / (1 + np.exp(-np.clip(forward(w), -500, 500)))
+        spread, slope = times * p * (1 - p), back(times * (p - y)) + penalty(w)
+        scale = back(spread) + own + swap * swaps.diagonal(k + 1) + 1e-9
+        step, left = np.zeros(k + 1), slope.copy()
+        ahead = left / scale
+        size = left @ ahead
+        for _ in range(2 * (k + 1)):
+            if np.abs(left).max() < 1e-8 * max(1.0, np.abs(slope).max()):
+                break
+            curved = back(spread * forward(ahead)) + penalty(ahead)
+            pace = size / (ahead @ curved)
+            step, left = step + pace * ahead, left - pace * curved
+            scaled = left / scale
+            size, before = left @ scaled, size
+            ahead = scaled + size / before * ahead
+        much, now = 1.0, loss(w)
+        while loss(w - much * step) > now and much > 1e-6:
+            much /= 2
+        w = w - much * step
+        if np.abs(much * step).max() < 1e-5:
             break
     return w[:k], float(w[k])
 
 
-def swap_gram(rows: list[np.ndarray], times: np.ndarray, k: int, groups: list[list[int]]) -> np.ndarray:
-    """Sum of outer products of the feature changes when a term of a group is swapped for each other one.
-
-    ``rows``: the features of each kind of text; ``times``: how many there are of it.
-    """
-    out = np.zeros((k, k))
-    for own, n in zip(map(set, rows), times):
-        for group in groups:
-            for i in own.intersection(group):
-                for j in group:
-                    if j != i:
-                        d = {i: 1.0} if j in own else {i: 1.0, j: -1.0}
-                        for a, u in d.items():
-                            for b, v in d.items():
-                                out[a, b] += n * u * v
-    return out
-
-
 def sampled(rows: DataFrame, key: str, n: int) -> DataFrame:
     """About ``n`` rows in the mean, or all if there are fewer; a key is in or out by its hash."""
     share = min(1.0, n / max(rows.count(), 1))
@@ -136,8 +186,9 @@ def sampled(rows: DataFrame, key: str, n: int) -> DataFrame:
 def fit(labelled: DataFrame, key: str, text: str, label: str, sample: int = SAMPLE, identity: list[list[str]] | None = None, swap: float = SWAP) -> Model:
     """Fit on ``labelled``; rows with a null label or key are left out, a null text is an empty one.
 
-    At most about ``sample`` rows, dealt by a hash of the key, are used, with all words of theirs that reach ``LEAST_RATIO``; ties
-    among words decide nothing. Without rows of both labels every score
+    At most about ``sample`` rows, dealt by a hash of the key, are used, with all words of theirs that reach ``LEAST_RATIO``, each of
+    which has a weight of its own, as has each identity term; ties among words decide nothing. What the driver gets is bounded by the
+    distinct words of the sample. Without rows of both labels every score
     is that of the labels there are.
     """
     rows = sampled(labelled.where(F.col(label).isNotNull() & F.col(key).isNotNull()), key, sample)
@@ -162,27 +213,23 @@ def fit(labelled: DataFrame, key: str, text: str, label: str, sample: int = SAMP
     best = np.array([r.h for r in best.collect()], np.int64).view(np.uint64)
     terms = [_hashes(group) for group in (IDENTITY if identity is None else identity)]
     features = np.unique(np.concatenate([best, *terms])).astype(np.uint64)
-    weight = np.arange(len(features)) % WEIGHTS
-    k = min(len(features), WEIGHTS)
-    groups = [list(dict.fromkeys(weight[np.searchsorted(features, t)].tolist())) for t in terms]
+    k = len(features)
+    groups = [list(dict.fromkeys(np.searchsorted(features, t).tolist())) for t in terms]
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.slices(batches, "text"):
             h, row = word_sets(batch, "text")
-            at = np.minimum(np.searchsorted(features, h), len(features) - 1)
+            at = np.minimum(np.searchsorted(features, h), k - 1)
             ok = features[at] == h
-            both = np.unique(row[ok] * k + weight[at[ok]])
+            both = np.unique(row[ok] * k + at[ok])
             cut = np.searchsorted(both // k, np.arange(len(batch) + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch["y"], pa.ListArray.from_arrays(pa.array(cut), pa.array((both % k).astype(np.int32)))], names=["y", "at"])
 
     # Texts of equal label and features count once, with their number: the driver gets patterns, not texts.
     table = rows.mapInArrow(hits, "y int, at array<int>").groupBy("y", "at").agg(F.count("*").alias("n")).collect()
     found, times = [np.array(r.at, np.int64) for r in table], np.array([r.n for r in table], float)
-    x = np.zeros((len(found), k), np.float32)
-    for i, at in enumerate(found):
-        x[i, at] = 1
-    weights, bias = newton(x, np.array([r.y for r in table], float), times, swap_gram(found, times, k, groups), swap=swap)
-    return Model(features, weights[weight], bias)
+    weights, bias = newton(found, k, np.array([r.y for r in table], float), times, Swaps(found, times, groups), swap=swap)
+    return Model(features, weights, bias)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

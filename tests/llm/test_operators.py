@@ -339,6 +339,38 @@ def test_toxicity_against_brute_force(spark):
     assert abs(model.bias - w[-1]) < 0.01 and all(abs(got[int(h)] - v) < 0.01 for h, v in zip(toxicity._hashes(names), w))
 
 
+def test_more_than_a_thousand_words_have_their_own_weights(spark):
+    """Each of 1,500 words that tell about the label, and each identity term, weighs by itself; the fit is that of plain Newton steps."""
+    rng, rows = random.Random(3), []
+    for i in range(3000):
+        y = i % 2
+        own = [f"{'bad' if y else 'good'}{rng.randrange(750)}" for _ in range(40)] + [rng.choice(["muslims", "christians", "frauen", "männer"])] * (rng.random() < 0.3)
+        rows.append((i, " ".join(own), y))
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id bigint, text string, y int"), "doc_id", "text", "y")
+    assert len(model.features) > 1500 and len(set(np.round(model.weights, 9))) > 1400
+    sets = [set(t.split()) for _, t, _ in rows]
+    names = {int(toxicity._hashes([w])[0]): w for w in set().union(*sets, *toxicity.IDENTITY)}
+    column = {names[int(h)]: k for k, h in enumerate(model.features)}
+    k, x = len(column), np.zeros((3000, len(column) + 1))
+    x[:, k] = 1
+    for r, s in enumerate(sets):
+        x[r, [column[w] for w in s if w in column]] = 1
+    changes = []
+    for r, s in enumerate(sets):
+        for group in toxicity.IDENTITY:
+            for a in s & set(group):
+                for b in set(group) - {a}:
+                    changes.append((column[a], column[b]))
+    gram = np.zeros((k + 1, k + 1))
+    for a, b in changes:
+        gram[[a, b, a, b], [a, b, b, a]] += [1, 1, -1, -1]
+    y, w, fixed = np.array([r[2] for r in rows]), np.zeros(k + 1), np.diag(np.append(np.full(k, toxicity.RIDGE), 1e-6)) + toxicity.SWAP * gram
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve((x.T * (p * (1 - p))) @ x + fixed, x.T @ (p - y) + fixed @ w)
+    assert np.abs(model.weights - w[:k]).max() < 1e-3 and abs(model.bias - w[k]) < 1e-3
+
+
 # 6: n-gram Jaccard join
 
 

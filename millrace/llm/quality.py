@@ -13,10 +13,8 @@ from .scratch import Scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = r"[\x20\x09-\x0D]+"
-#: A line is boilerplate in its host if at least so many documents have it ...
+#: A line is boilerplate in its host if at least so many documents of the host have it, however many the host has.
 MIN_DOCS = 20
-#: ... and at least one document of the host in so many.
-ONE_IN = 200
 #: A document is depleted with fewer words left, or with less than half of its words.
 MIN_WORDS, LEFT_PERCENT = 50, 50
 
@@ -72,7 +70,6 @@ def quality(
     text: str = "text",
     host: str = "source",
     min_docs: int = MIN_DOCS,
-    one_in: int = ONE_IN,
     min_words: int = MIN_WORDS,
     left_percent: int = LEFT_PERCENT,
 ) -> DataFrame:
@@ -88,10 +85,8 @@ def quality(
     base = scratch.table(base_counts(docs), "base")
     # Rows that repeat key and text count once.
     rows = base.dropDuplicates(["id", "version", "host"]).select("id", "version", "host", F.explode("lines").alias("l")).select("id", "version", "host", "l.*")
-    hosts = base.groupBy("host").agg(F.count_distinct(F.struct("id")).alias("host_docs"))
     often = rows.groupBy("host", "h").agg(F.count_distinct(F.struct("id")).alias("line_docs")).where(F.col("line_docs") >= min_docs)
-    often = often.join(hosts, "host").where(F.col("line_docs") * one_in >= F.col("host_docs")).select("host", "h")
-    often = scratch.table(often, "often")
+    often = scratch.table(often.select("host", "h"), "often")
     lost = rows.join(often, ["host", "h"]).groupBy("id", "version", "host").agg(F.sum("n").alias("lost"), F.collect_set("h").alias("gone"))
     # Rows that repeat key, text and host have the same counts.
     df = base.drop("lines").dropDuplicates(["id", "version", "host"]).alias("b").join(lost.alias("l"), F.expr("b.id <=> l.id and b.version = l.version and b.host = l.host"), "left")

@@ -16,7 +16,7 @@ from .lines import dedup_lines
 from .merkle import FIELDS, manifest
 from .packing import pack
 from .periodic import find_runs
-from .quality import MIN_DOCS, MIN_WORDS, LEFT_PERCENT, ONE_IN, quality
+from .quality import LEFT_PERCENT, MIN_DOCS, MIN_WORDS, quality
 from .scratch import Scratch
 from .secrets import RULES, commit, digest
 from .toxicity import toxicity
@@ -162,8 +162,7 @@ x AS (
   SELECT doc_id, host, trim(regexp_replace({SQL_LOWER.format("l")}, '[\x20\x09-\x0D]+', ' ', 'g')) AS l
   FROM (SELECT doc_id, host, unnest(l) AS l FROM t)
 ), o AS (
-  SELECT host, l FROM (SELECT host, l, count(DISTINCT doc_id) AS n FROM x GROUP BY host, l) JOIN (SELECT host, count(DISTINCT doc_id) AS docs FROM t GROUP BY host) USING (host)
-  WHERE n >= {MIN_DOCS} AND n * {ONE_IN} >= docs
+  SELECT host, l FROM x GROUP BY host, l HAVING count(DISTINCT doc_id) >= {MIN_DOCS}
 ), b AS (SELECT doc_id, sum(len(string_split(l, ' '))) AS n FROM x JOIN o USING (host, l) GROUP BY doc_id),
 c AS (
   SELECT t.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,

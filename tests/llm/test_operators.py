@@ -151,6 +151,14 @@ def test_texts_without_boilerplate(spark):
     assert all(len((r.text or "").split()) == r.n_words - r.n_boilerplate_words for r in got)
 
 
+def test_a_line_is_judged_alike_in_small_and_hot_hosts(spark):
+    """Twenty documents of a host of 30 and of one of 6,000 have a passage; nineteen have another."""
+    fill, less = " ".join(f"common{i}" for i in range(60)), " ".join(f"rare{i}" for i in range(60))
+    rows = [(k * 10_000 + i, fill if i < 20 else less if i < 39 else f"w{i} " * 60, host) for k, (host, n) in enumerate({"small": 60, "hot": 6000}.items()) for i in range(n)]
+    got = {r.doc_id: (r.n_boilerplate_words, r.text) for r in quality(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).where("doc_id % 10000 < 39").collect()}
+    assert all(got[i] == got[10_000 + i] == ((60, "") if i < 20 else (0, less)) for i in range(39))
+
+
 # 3: WARC
 
 

@@ -80,3 +80,6 @@ URL_CAP, TITLE_CAP, TEXT_CAP, LEAST_BODY, LEAST_TEXT = 2048, 512, 50_000, 200, 2
 
 # Days after which finished jobs go, how many go at a time, minutes after which a silent job has failed, entities of a report and least salience.
 KEEP_DAYS, SWEEP, SILENT_MINUTES, TOP_ENTITIES, LEAST_SALIENCE = 30, 500, 90, 25, 0.01
+
+# What a part of a url with a dot counts beside its length when site templates are compared, and the scope of terms that holds for all sources.
+DOTTED, ALL_SCOPE = 1000, "全部"

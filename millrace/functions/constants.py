@@ -83,3 +83,7 @@ KEEP_DAYS, SWEEP, SILENT_MINUTES, TOP_ENTITIES, LEAST_SALIENCE = 30, 500, 90, 25
 
 # What a part of a url with a dot counts beside its length when site templates are compared, and the scope of terms that holds for all sources.
 DOTTED, ALL_SCOPE = 1000, "全部"
+
+# Places of shares and of lifts as they are shown and ranked; gates and additions of filter candidates.
+SHARE_PLACES, LIFT_PLACES = 3, 2
+LEAST_RATE, LEAST_GAP, FILLER = 0.66, 0.4, 0.3

@@ -27,8 +27,8 @@ def term_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return _each(_terms(docs, key, text), key).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def vocabulary(terms: DataFrame, n: int, size: int) -> DataFrame:
-    """Rows ``(term, df)`` of the ``size`` terms that occur most often, but in at most ``MAX_DF`` of the ``n`` documents.
+def _term_frequencies(docs: DataFrame, by: list[str], terms: Column) -> DataFrame:
+    """Rows ``(*by, term, df, tf)``: documents that have a term, and how often it stands in them.
 
     A document's terms are sorted in its row, where the first of each run tells it apart, so counting shuffles no rows by document.
     """
@@ -37,12 +37,16 @@ def vocabulary(terms: DataFrame, n: int, size: int) -> DataFrame:
     def with_before(t: Column) -> Column:
         return F.arrays_zip(t.alias("term"), F.concat(none, F.slice(t, F.lit(1), F.greatest(F.size(t) - 1, F.lit(0)))).alias("before"))
 
-    ordered = F.get(F.transform(F.array(F.sort_array("terms")), with_before), F.lit(0))
-    each = terms.select(F.explode_outer(ordered).alias("x")).where("x.term is not null")
+    ordered = F.get(F.transform(F.array(F.sort_array(terms)), with_before), F.lit(0))
+    each = docs.select(*by, F.explode_outer(ordered).alias("x")).where("x.term is not null")
     first = F.when(F.col("x.before").eqNullSafe(F.col("x.term")), 0).otherwise(1)
-    found = each.groupBy(F.col("x.term").alias("term")).agg(F.sum(first).alias("df"), F.count("*").alias("n"))
-    found = found.where(F.col("df") <= C.MAX_DF * n if n > 1 else F.lit(True))
-    return found.orderBy(F.desc("n"), "term").limit(size).select("term", "df")
+    return each.groupBy(*by, F.col("x.term").alias("term")).agg(F.sum(first).alias("df"), F.count("*").alias("tf"))
+
+
+def vocabulary(terms: DataFrame, n: int, size: int) -> DataFrame:
+    """Rows ``(term, df)`` of the ``size`` terms that occur most often, but in at most ``MAX_DF`` of the ``n`` documents."""
+    found = _term_frequencies(terms, [], F.col("terms")).where(F.col("df") <= C.MAX_DF * n if n > 1 else F.lit(True))
+    return found.orderBy(F.desc("tf"), "term").limit(size).select("term", "df")
 
 
 def weights(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, int]:
@@ -81,7 +85,7 @@ def baskets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 
 def frequent_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows ``(a, b, n, n_a, n_b, total)`` of pairs of terms that stand together in enough documents.
+    """Rows ``(a, b, n, n_a, n_b, total, first)`` of pairs of terms that stand together in enough documents. ``first`` is the first of these.
 
     Baskets, terms and pairs are counted at once; the counts, some hundreds, are read back by the broadcast sides.
     """
@@ -90,7 +94,7 @@ def frequent_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rest = lambda x, i: F.transform(F.slice("basket", i + 2, F.size("basket")), lambda y: F.struct(x.alias("a"), y.alias("b")))
     pair = F.flatten(F.transform("basket", rest))
     whole = F.array(F.struct(none.alias("a"), none.alias("b")))
-    counts = baskets(docs, key, text).select(F.explode(F.concat(whole, one, pair)).alias("x")).groupBy("x.a", "x.b").agg(F.count("*").alias("n"))
+    counts = baskets(docs, key, text).select(key, F.explode(F.concat(whole, one, pair)).alias("x")).groupBy("x.a", "x.b").agg(F.count("*").alias("n"), F.min(key).alias("first"))
     total = counts.where("a is null").select(F.col("n").alias("total"))
     out = counts.where("b is not null").crossJoin(F.broadcast(total))
     out = out.where((F.col("total") >= 4) & (F.col("n") >= F.greatest(F.lit(3), F.floor(C.ASSOC_SUPPORT * F.col("total")))))
@@ -100,31 +104,60 @@ def frequent_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return out
 
 
+def _met() -> list[Column]:
+    """Order of pairs of terms: by their number, then the one that was met first, as documents are read in order and their terms by name."""
+    return [F.desc("n"), F.asc_nulls_first("first"), F.asc("a"), F.asc("b")]
+
+
 def itemsets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    pairs = frequent_pairs(docs, key, text).select("a", "b", "n", F.round(F.col("n") / F.col("total"), 4).alias("support"))
-    return pairs.orderBy(F.desc("n"), "a", "b").limit(C.ASSOC_SETS)
+    """Pairs of terms that stand together most often; ties go to the pair that was met first."""
+    pairs = frequent_pairs(docs, key, text).orderBy(*_met()).limit(C.ASSOC_SETS)
+    return pairs.select("a", "b", "n", F.round(F.col("n") / F.col("total"), C.SHARE_PLACES).alias("support"))
 
 
 def rules(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rules of the greatest lift, then confidence, both as they are shown; ties go to the pair that was met first, read forwards."""
     pairs = frequent_pairs(docs, key, text)
-    both = F.array(F.struct(F.col("a").alias("if"), F.col("b").alias("then"), F.col("n_a").alias("x"), F.col("n_b").alias("y")), F.struct(F.col("b").alias("if"), F.col("a").alias("then"), F.col("n_b").alias("x"), F.col("n_a").alias("y")))
-    r = pairs.select("n", "total", F.explode(both).alias("r")).select("n", "total", "r.*")
-    r = r.withColumn("confidence", F.col("n") / F.col("x")).withColumn("lift", F.col("confidence") / (F.col("y") / F.col("total")))
-    r = r.where((F.col("confidence") >= C.ASSOC_CONFIDENCE) & (F.col("lift") > 1))
-    r = r.select("if", "then", F.round(F.col("n") / F.col("total"), 4).alias("support"), F.round("confidence", 4).alias("confidence"), F.round("lift", 4).alias("lift"))
-    return r.orderBy(F.desc("lift"), F.desc("confidence"), "if", "then").limit(C.ASSOC_RULES)
-
-
-def filter_candidates(docs: DataFrame, kind: str, baseline: str, key: str = "doc_id", text: str = "text", top: int = 60) -> DataFrame:
-    """Words that stand in most documents of one kind and in few of the baseline's: the chrome of that kind of site."""
+    side = lambda i, x, y: F.struct(F.lit(i).alias("side"), F.col(x).alias("if"), F.col(y).alias("then"), F.col(f"n_{x}").alias("x"), F.col(f"n_{y}").alias("y"))
+    r = pairs.select("n", "total", "first", "a", "b", F.explode(F.array(side(0, "a", "b"), side(1, "b", "a"))).alias("r")).select("*", "r.*")
+    r = r.withColumn("c", F.col("n") / F.col("x")).withColumn("l", F.col("c") / (F.col("y") / F.col("total"))).where((F.col("c") >= C.ASSOC_CONFIDENCE) & (F.col("l") > 1))
+    share = lambda x: F.round(x, C.SHARE_PLACES)
+    r = r.withColumns({"support": share(F.col("n") / F.col("total")), "confidence": share(F.col("c")), "lift": F.round("l", C.LIFT_PLACES)})
+    return r.orderBy(F.desc("lift"), F.desc("confidence"), *_met(), "side").limit(C.ASSOC_RULES).select("if", "then", "support", "confidence", "lift")
+
+
+def filter_candidates(
+    docs: DataFrame,
+    kind: str,
+    baseline: str,
+    order: list[str],
+    key: str = "doc_id",
+    text: str = "text",
+    top: int = 60,
+    known: DataFrame | None = None,
+    protected: DataFrame | None = None,
+    filler: Column | None = None,
+) -> DataFrame:
+    """Words that stand in most documents of one kind and in few of the baseline's: the chrome of that kind of site.
+
+    A word belongs to the kind of the highest rate, of equals to the one that ``order`` has first; kinds that ``order`` lacks come
+    last, by name. Terms of ``known`` (those that are filtered already) and of ``protected`` (names) are left out. ``filler`` tells of a
+    ``term`` whether it only fills. Documents of a null kind are not counted.
+    """
     size = docs.groupBy(kind).agg(F.count("*").alias("doc_n"))
-    toks = docs.select(key, kind, F.explode(words(F.col(text))).alias("term")).groupBy(key, kind, "term").agg(F.count("*").alias("tf"))
-    t = toks.groupBy(kind, "term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).join(size, kind)
+    t = _term_frequencies(docs.where(F.col(kind).isNotNull()), [kind], words(F.col(text))).join(size, kind)
     t = t.select(kind, "term", "df", "doc_n", (F.col("df") / F.col("doc_n")).alias("rate"), (F.col("tf") / F.col("df")).alias("reps"))
     base = t.where(F.col(kind) == baseline).select("term", F.col("rate").alias("base"))
-    first = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("rate"), kind))
-    best = t.where(F.col(kind) != baseline).withColumn("i", first).where("i = 1").join(base, "term", "left")
-    best = best.withColumn("disc", F.col("rate") - F.coalesce("base", F.lit(0.0))).where("rate >= 0.66 and disc >= 0.4 and doc_n >= 2 and df >= 2")
-    chrome = F.col("reps") >= 3
-    best = best.select(F.col(kind).alias("kind"), "term", F.when(chrome, "chrome").otherwise("review").alias("verdict"), F.round(F.col("disc") + F.when(chrome, F.col("reps") / 6).otherwise(0.0), 4).alias("score"))
+    place = F.array_position(F.array(*map(F.lit, order)), F.col(kind))
+    first = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("rate"), F.when(place > 0, place).otherwise(len(order) + 1), kind))
+    best = t.where(F.col(kind) != baseline).withColumn("i", first).where("i = 1").join(base, "term", "left").fillna(0.0, ["base"])
+    best = best.withColumn("disc", F.col("rate") - F.col("base")).where((F.col("rate") >= C.LEAST_RATE) & (F.col("disc") >= C.LEAST_GAP) & (F.col("doc_n") >= 2) & (F.col("df") >= 2))
+    for gone in (known, protected):
+        if gone is not None:
+            best = best.join(gone.select("term"), "term", "left_anti")
+    chrome, fills = F.col("reps") >= 3, F.lit(False) if filler is None else filler
+    verdict = F.when(chrome, "chrome").when(fills, "填充").otherwise("需複查")
+    score = F.col("disc") + F.when(chrome, F.col("reps") / 6).when(fills, C.FILLER).otherwise(0.0)
+    shown = {"disc": (F.col("disc"), 2), "reps": (F.col("reps"), 1), "base_rate": (F.col("base"), 2), "score": (score, 3)}
+    best = best.select(F.col(kind).alias("kind"), "term", verdict.alias("verdict"), *[F.round(x, places).alias(c) for c, (x, places) in shown.items()])
     return best.orderBy(F.desc("score"), "term").limit(top)

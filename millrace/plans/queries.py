@@ -87,32 +87,40 @@ v AS (SELECT term FROM c, n WHERE df <= {C.MAX_DF} * n ORDER BY k DESC, term LIM
 b AS (SELECT DISTINCT doc_id, term FROM f JOIN v USING (term)),
 z AS (SELECT count(DISTINCT doc_id) AS total FROM b),
 o AS (SELECT term, count(*) AS k FROM b GROUP BY term),
-p AS (SELECT x.term AS a, y.term AS b, count(*) AS n FROM b x JOIN b y ON x.doc_id = y.doc_id AND x.term < y.term GROUP BY ALL),
-q AS (SELECT p.a, p.b, p.n, i.k AS n_a, j.k AS n_b, total FROM p JOIN o i ON i.term = p.a JOIN o j ON j.term = p.b, z WHERE total >= 4 AND p.n >= greatest(3, floor({C.ASSOC_SUPPORT} * total)))
+p AS (SELECT x.term AS a, y.term AS b, count(*) AS n, min(x.doc_id) AS first FROM b x JOIN b y ON x.doc_id = y.doc_id AND x.term < y.term GROUP BY ALL),
+q AS (SELECT p.a, p.b, p.n, p.first, i.k AS n_a, j.k AS n_b, total FROM p JOIN o i ON i.term = p.a JOIN o j ON j.term = p.b, z WHERE total >= 4 AND p.n >= greatest(3, floor({C.ASSOC_SUPPORT} * total)))
 """
 
 
-@query(f"WITH {_PAIRS} SELECT a, b, n, round(n / total, 4) AS support FROM q ORDER BY n DESC, a, b LIMIT {C.ASSOC_SETS}")
+@query(f"WITH {_PAIRS} SELECT a, b, n, round(n / total, {C.SHARE_PLACES}) AS support FROM q ORDER BY n DESC, first, a, b LIMIT {C.ASSOC_SETS}")
 def association_itemsets(spark, d):
     return K.itemsets(table(spark, d, "documents"))
 
 
-@query(f"""WITH {_PAIRS}, r AS (SELECT a AS "if", b AS "then", n, total, n_a AS x, n_b AS y FROM q UNION ALL SELECT b, a, n, total, n_b, n_a FROM q)
-SELECT "if", "then", round(n / total, 4) AS support, round(n / x, 4) AS confidence, round((n / x) / (y / total), 4) AS lift FROM r
-WHERE n / x >= {C.ASSOC_CONFIDENCE} AND (n / x) / (y / total) > 1 ORDER BY lift DESC, confidence DESC, "if", "then" LIMIT {C.ASSOC_RULES}""")
+@query(f"""WITH {_PAIRS}, r AS (SELECT a AS "if", b AS "then", 0 AS side, first, a, b, n, total, n_a AS x, n_b AS y FROM q UNION ALL SELECT b, a, 1, first, a, b, n, total, n_b, n_a FROM q),
+s AS (SELECT *, round(n / total, {C.SHARE_PLACES}) AS support, round(n / x, {C.SHARE_PLACES}) AS confidence, round((n / x) / (y / total), {C.LIFT_PLACES}) AS lift FROM r WHERE n / x >= {C.ASSOC_CONFIDENCE} AND (n / x) / (y / total) > 1)
+SELECT "if", "then", support, confidence, lift FROM s ORDER BY lift DESC, confidence DESC, n DESC, first, a, b, side LIMIT {C.ASSOC_RULES}""")
 def association_rules(spark, d):
     return K.rules(table(spark, d, "documents"))
 
 
-@query(r"""WITH g AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(coalesce(text, '')), '\p{L}{2,}')) AS term FROM documents),
+#: Kinds that a word may belong to, in order of precedence.
+_KINDS = ["fr", "de", "es"]
+
+
+@query(rf"""WITH g AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(coalesce(text, '')), '\p{{L}}{{2,}}')) AS term FROM documents WHERE lang IS NOT NULL),
 s AS (SELECT lang, count(*) AS doc_n FROM documents GROUP BY lang),
 t AS (SELECT lang, term, count(*) AS df, any_value(doc_n) AS doc_n, count(*) / any_value(doc_n) AS rate, sum(tf) / count(*) AS reps FROM (SELECT doc_id, lang, term, count(*) AS tf FROM g GROUP BY ALL) JOIN s USING (lang) GROUP BY lang, term),
-b AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY rate DESC, lang) AS i FROM t WHERE lang <> 'en'),
-x AS (SELECT b.*, b.rate - coalesce(m.rate, 0) AS disc FROM b LEFT JOIN (SELECT term, rate FROM t WHERE lang = 'en') m USING (term) WHERE i = 1)
-SELECT lang AS kind, term, CASE WHEN reps >= 3 THEN 'chrome' ELSE 'review' END AS verdict, round(disc + CASE WHEN reps >= 3 THEN reps / 6 ELSE 0 END, 4) AS score
-FROM x WHERE rate >= 0.66 AND disc >= 0.4 AND doc_n >= 2 AND df >= 2 ORDER BY score DESC, term LIMIT 60""")
+b AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY rate DESC, coalesce(nullif(list_position({_KINDS}, lang), 0), 9), lang) AS i FROM t WHERE lang <> 'en'),
+k AS (SELECT DISTINCT unnest(regexp_extract_all(lower(coalesce(text, '')), '\p{{L}}{{2,}}')) AS term FROM conversations WHERE turn = 0),
+x AS (SELECT b.*, coalesce(m.rate, 0) AS base, b.rate - coalesce(m.rate, 0) AS disc FROM b LEFT JOIN (SELECT term, rate FROM t WHERE lang = 'en') m USING (term) WHERE i = 1 AND term NOT IN (SELECT term FROM k))
+SELECT lang AS kind, term, CASE WHEN reps >= 3 THEN 'chrome' WHEN length(term) < 3 THEN '填充' ELSE '需複查' END AS verdict, round(disc, 2) AS disc, round(reps, 1) AS reps, round(base, 2) AS base_rate,
+round(disc + CASE WHEN reps >= 3 THEN reps / 6 WHEN length(term) < 3 THEN {C.FILLER} ELSE 0 END, 3) AS score
+FROM x WHERE rate >= {C.LEAST_RATE} AND disc >= {C.LEAST_GAP} AND doc_n >= 2 AND df >= 2 ORDER BY score DESC, term LIMIT 60""")
 def filter_candidates(spark, d):
-    return K.filter_candidates(table(spark, d, "documents"), "lang", "en")
+    """The language stands for the kind of source, words of first turns for names that are protected, and words of two letters for those that fill."""
+    spoken = table(spark, d, "conversations").where("turn = 0").select(F.explode(T.words(F.col("text"))).alias("term")).distinct()
+    return K.filter_candidates(table(spark, d, "documents"), "lang", "en", _KINDS, protected=spoken, filler=F.length("term") < 3)
 
 
 # Vectors

@@ -87,3 +87,12 @@ DOTTED, ALL_SCOPE = 1000, "全部"
 # Places of shares and of lifts as they are shown and ranked; gates and additions of filter candidates.
 SHARE_PLACES, LIFT_PLACES = 3, 2
 LEAST_RATE, LEAST_GAP, FILLER = 0.66, 0.4, 0.3
+
+# Hosts of cloud metadata; networks that no fetch may reach, of either kind; and those of them that are meant by an address within a v6 one.
+METADATA_HOSTS = ["metadata.google.internal", "169.254.169.254"]
+V4_INTERNAL = [
+    "0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16",
+    "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4",
+]
+V4_BLOCKED = [*V4_INTERNAL, "224.0.0.0/4"]
+V6_BLOCKED = ["::/128", "::1/128", "64:ff9b:1::/48", "100::/64", "2001::/23", "2001:db8::/32", "fc00::/7", "fe80::/10", "ff00::/8"]

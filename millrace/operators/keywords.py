@@ -4,17 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions import constants as C
 from ..functions.text import with_bigrams, words
 
 
+def _cut(docs: DataFrame, text: str) -> Column:
+    given = isinstance(docs.schema[text].dataType, ArrayType)
+    return F.coalesce(text, F.array().cast("array<string>")) if given else words(F.col(text))
+
+
 def _terms(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows ``(key, terms)``: words and pairs of neighbours of each document.
+    """Rows ``(key, terms)``: words and pairs of neighbours of each document. ``text`` is a text, or an array of tokens that a segmenter made.
 
     A lambda over an array of one binds the words once, wherever the optimizer moves the expression.
     """
-    return docs.select(F.col(key), F.get(F.transform(F.array(words(F.col(text))), with_bigrams), F.lit(0)).alias("terms"))
+    return docs.select(F.col(key), F.get(F.transform(F.array(_cut(docs, text)), with_bigrams), F.lit(0)).alias("terms"))
 
 
 def _each(terms: DataFrame, key: str, array: str | Column = "terms") -> DataFrame:

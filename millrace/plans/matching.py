@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import text as T
 from ..functions import urls as U
+from ..operators import keywords as K
 from ..operators import patterns as M
-from ..sources.tables import table
+from ..operators import segment as S
+from ..sources.tables import shared_folder, table
 from .queries import _PART, query
 
 # Site templates
@@ -83,3 +87,35 @@ def scoped_terms_stripped(spark, d):
     text = M.without_urls(F.concat(F.coalesce("source", F.lit("")), F.lit(" "), F.coalesce("text", F.lit(""))))
     out = M.stripped(docs, "doc_id", text, F.col("lang"), _scoped(spark, d))
     return out.select("doc_id", F.sha2("text", 256).alias("text_sha256"), "n_terms")
+
+
+# Segmentation
+
+#: Words of the dictionary, by how many benchmark items and turns of conversations have them.
+DICTIONARY = 5000
+
+
+def _dictionary(spark: SparkSession, d: str) -> S.Dictionary:
+    both = table(spark, d, "benchmark").select("text").union(table(spark, d, "conversations").select("text"))
+    each = both.select(F.explode(T.words(F.col("text"))).alias("word")).where(F.length("word") <= S.MAX_LENGTH)
+    return S.dictionary(each.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(DICTIONARY))
+
+
+@query()
+def segmented_words(spark, d):
+    """Words of documents by the dictionary of what benchmark and conversations hold: their number and a digest of them in order."""
+    docs = table(spark, d, "documents")
+    tokens = S.segmented(docs, "doc_id", "text", _dictionary(spark, d))
+    return tokens.select("doc_id", F.size("tokens").cast("bigint").alias("n"), F.sha2(F.array_join("tokens", " "), 256).alias("tokens_sha256"))
+
+
+@query()
+def segmented_keywords(spark, d):
+    """Keywords of documents whose words come from the dictionary, without the terms of any source."""
+    docs = table(spark, d, "documents")
+    stop = [r.term for r in _scoped(spark, d).where(F.col("scope") == C.ALL_SCOPE).select("term").collect()]
+    tokens = S.segmented(docs, "doc_id", "text", _dictionary(spark, d)).withColumn("tokens", S.content_tokens(F.col("tokens"), F.array(*map(F.lit, stop)).cast("array<string>")))
+    folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex[:12]}"
+    # Written, as the vocabulary and the weights each read them.
+    tokens.write.parquet(folder)
+    return K.top_keywords(spark.read.schema(tokens.schema).parquet(folder), "doc_id", "tokens")

@@ -96,3 +96,7 @@ V4_INTERNAL = [
 ]
 V4_BLOCKED = [*V4_INTERNAL, "224.0.0.0/4"]
 V6_BLOCKED = ["::/128", "::1/128", "64:ff9b:1::/48", "100::/64", "2001::/23", "2001:db8::/32", "fc00::/7", "fe80::/10", "ff00::/8"]
+
+# Selectors that are too wide to be kept, least characters of a text by a kept selector, and levels of a path above its element.
+WIDE_SELECTORS = ["body", "html", "main", "div", "*", "article", "section"]
+LEAST_SELECTED, PATH_LEVELS = 300, 20

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import urls as U
 from millrace.operators import relational as R
-from millrace.plans import content, matching, safety, streams  # noqa: F401
+from millrace.plans import content, dom, matching, safety, streams  # noqa: F401
 from millrace.plans import queries as Q
 
 

@@ -100,3 +100,15 @@ V6_BLOCKED = ["::/128", "::1/128", "64:ff9b:1::/48", "100::/64", "2001::/23", "2
 # Selectors that are too wide to be kept, least characters of a text by a kept selector, and levels of a path above its element.
 WIDE_SELECTORS = ["body", "html", "main", "div", "*", "article", "section"]
 LEAST_SELECTED, PATH_LEVELS = 300, 20
+
+# Keywords of a cluster, and signals of a kind.
+CLUSTER_KEYWORDS, SIGNALS = 8, 12
+
+# Heads of the three exported tables, and the mark that spreadsheets want at the front of a file.
+EXPORT_HEADS = {
+    "tfidf": ["rank", "keyword", "weight"],
+    "association": ["type", "antecedent_or_items", "consequent", "support", "confidence", "lift", "count"],
+    "sentiment": ["metric", "value"],
+    "entities": ["entity", "type", "salience", "mentions"],
+}
+BOM = "\ufeff"

@@ -45,13 +45,18 @@ def clean_lines(text: Column, least: int = 4) -> Column:
 def trim_boilerplate(text: Column, extra: list[str] = (), keep: int = 150) -> Column:
     """Cuts a text before the first line with boilerplate that stands behind ``keep`` characters of other lines."""
     marks = C.BOILERPLATE + list(extra)
-    start = F.struct(F.lit(0).alias("seen"), F.lit(False).alias("over"), F.array().cast("array<string>").alias("kept"))
+    start = F.struct(F.lit(0).alias("seen"), F.lit(0).alias("line"), F.lit(-1).alias("cut"))
 
     def step(s: Column, line: Column) -> Column:
-        over = s["over"] | ((s["seen"] >= keep) & has_any(line, marks))
-        return F.struct((s["seen"] + F.length(strip(line))).alias("seen"), over.alias("over"), F.when(over, s["kept"]).otherwise(F.concat(s["kept"], F.array(line))).alias("kept"))
+        """``cut`` is the number of the first line that goes; the lines themselves are not copied."""
+        over = (s["cut"] < 0) & (s["seen"] >= keep) & has_any(line, marks)
+        return F.struct((s["seen"] + F.length(strip(line))).alias("seen"), (s["line"] + 1).alias("line"), F.when(over, s["line"]).otherwise(s["cut"]).alias("cut"))
 
-    return strip(F.array_join(F.aggregate(F.split(text, "\n"), start, step, lambda s: s["kept"]), "\n"))
+    def trimmed(lines: Column) -> Column:
+        cut = F.aggregate(lines, start, step, lambda s: s["cut"])
+        return F.get(F.transform(F.array(cut), lambda n: F.when(n < 0, lines).otherwise(F.slice(lines, F.lit(1), n))), F.lit(0))
+
+    return strip(F.array_join(F.get(F.transform(F.array(F.split(text, "\n")), trimmed), F.lit(0)), "\n"))
 
 
 def cjk_ratio(text: Column) -> Column:
@@ -173,3 +178,19 @@ def paywall(content: Column, url: Column) -> Column:
 def cookie_banner(text: Column) -> Column:
     t = F.lower(F.coalesce(text, F.lit("")))
     return sum((F.when(t.contains(k), 1).otherwise(0) for k in C.COOKIES), F.lit(0)) >= 3
+
+
+def shown(number: Column, places: int = 4) -> Column:
+    """A number in plain decimals without zeros at its end; empty for null."""
+    text = number.cast(f"decimal(20,{places})").cast("string")
+    return F.coalesce(F.regexp_replace(text, r"\.?0+$", ""), F.lit("")) if places else F.coalesce(text, F.lit(""))
+
+
+def csv_line(cells: list[Column]) -> Column:
+    """A line of a table: cells that no spreadsheet takes for a formula, in quotes where they need them, and a line end."""
+
+    def quoted(cell: Column) -> Column:
+        safe = csv_safe(cell.cast("string"))
+        return F.when(safe.rlike(r'[",\r\n]'), F.concat(F.lit('"'), F.replace(safe, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(safe)
+
+    return F.concat(F.concat_ws(",", *map(quoted, cells)), F.lit("\r\n"))

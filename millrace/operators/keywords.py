@@ -129,7 +129,7 @@ def rules(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     r = r.withColumn("c", F.col("n") / F.col("x")).withColumn("l", F.col("c") / (F.col("y") / F.col("total"))).where((F.col("c") >= C.ASSOC_CONFIDENCE) & (F.col("l") > 1))
     share = lambda x: F.round(x, C.SHARE_PLACES)
     r = r.withColumns({"support": share(F.col("n") / F.col("total")), "confidence": share(F.col("c")), "lift": F.round("l", C.LIFT_PLACES)})
-    return r.orderBy(F.desc("lift"), F.desc("confidence"), *_met(), "side").limit(C.ASSOC_RULES).select("if", "then", "support", "confidence", "lift")
+    return r.orderBy(F.desc("lift"), F.desc("confidence"), *_met(), "side").limit(C.ASSOC_RULES).select("if", "then", "support", "confidence", "lift", F.col("n").alias("count"))
 
 
 def filter_candidates(
@@ -167,3 +167,15 @@ def filter_candidates(
     shown = {"disc": (F.col("disc"), 2), "reps": (F.col("reps"), 1), "base_rate": (F.col("base"), 2), "score": (score, 3)}
     best = best.select(F.col(kind).alias("kind"), "term", verdict.alias("verdict"), *[F.round(x, places).alias(c) for c, (x, places) in shown.items()])
     return best.orderBy(F.desc("score"), "term").limit(top)
+
+
+def cluster_keywords(docs: DataFrame, members: DataFrame, key: str = "doc_id", text: str = "text", top: int = C.CLUSTER_KEYWORDS) -> DataFrame:
+    """Rows ``(cluster, term, weight, rank)``: the terms of the greatest summed weights among the keywords of a cluster's articles.
+
+    ``members`` has ``(key, cluster)``. Of equal terms the one that was met first comes first, as articles are read in order and their keywords by rank. A
+    cluster without keywords has no row; weights add up to four places.
+    """
+    each = article_keywords(docs, key, text).join(members.select(key, "cluster"), key)
+    each = each.groupBy("cluster", "term").agg(F.round(F.sum("weight"), 4).alias("weight"), F.min(F.struct(F.col(key).alias("k"), F.col("rank").alias("r"))).alias("_met"))
+    rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("weight"), "_met"))
+    return each.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= top).select("cluster", "term", "weight", "rank")

@@ -107,3 +107,14 @@ def chunk_progress(items: DataFrame, job: str, position: Column, size: int, done
     c = items.withColumn("_c", F.floor(position / size)).groupBy(job, "_c").agg(F.min(done).alias("_d"))
     c = c.groupBy(job).agg(F.count("*").alias("chunks"), F.count_if("_d").alias("done"))
     return c.withColumn("progress", F.when(F.col("done") == F.col("chunks"), 100).otherwise(F.least(F.lit(99), F.floor(100 * F.col("done") / F.col("chunks")))).cast("bigint"))
+
+
+def positional(rows: DataFrame, answers: DataFrame, by: list[str], place: str, index: str, order: list[str], answer: str) -> DataFrame:
+    """``rows`` with ``answer`` and ``failed``: what was answered to the row of that number in its batch.
+
+    ``rows`` are numbered from 1 by ``place`` within ``by``. Of several answers of one ``index`` the first in ``order`` counts, and an index below 1 or beyond
+    the batch none. A row without an answer, or with a null one, has failed. Rows of a null batch have none.
+    """
+    first = F.min(F.struct(*[F.col(c) for c in order], F.col(answer).alias("_answer")))["_answer"]
+    found = answers.where(F.col(index) >= 1).groupBy(*by, F.col(index).alias(place)).agg(first.alias("answer"))
+    return rows.join(found, [*by, place], "left").withColumn("failed", F.col("answer").isNull())

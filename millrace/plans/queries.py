@@ -99,7 +99,7 @@ def association_itemsets(spark, d):
 
 @query(f"""WITH {_PAIRS}, r AS (SELECT a AS "if", b AS "then", 0 AS side, first, a, b, n, total, n_a AS x, n_b AS y FROM q UNION ALL SELECT b, a, 1, first, a, b, n, total, n_b, n_a FROM q),
 s AS (SELECT *, round(n / total, {C.SHARE_PLACES}) AS support, round(n / x, {C.SHARE_PLACES}) AS confidence, round((n / x) / (y / total), {C.LIFT_PLACES}) AS lift FROM r WHERE n / x >= {C.ASSOC_CONFIDENCE} AND (n / x) / (y / total) > 1)
-SELECT "if", "then", support, confidence, lift FROM s ORDER BY lift DESC, confidence DESC, n DESC, first, a, b, side LIMIT {C.ASSOC_RULES}""")
+SELECT "if", "then", support, confidence, lift, n AS "count" FROM s ORDER BY lift DESC, confidence DESC, n DESC, first, a, b, side LIMIT {C.ASSOC_RULES}""")
 def association_rules(spark, d):
     return K.rules(table(spark, d, "documents"))
 
@@ -292,15 +292,13 @@ def status_counts(spark, d):
     return e.withColumn("percent", F.bround(100 * F.col("n") / F.sum("n").over(Window.partitionBy("domain"))).cast("bigint"))
 
 
-@query(r"""WITH t AS (SELECT label, doc_id, text FROM (SELECT doc_id, text, doc_id % 8 AS label FROM documents)),
-f AS (SELECT label, doc_id, term, count(*) AS tf FROM (SELECT label, doc_id, unnest(regexp_extract_all(lower(text), '\p{L}{4,}')) AS term FROM t) GROUP BY ALL),
-x AS (SELECT label, term, sum(tf) AS n, count(*) AS docs, row_number() OVER (PARTITION BY label ORDER BY sum(tf) DESC, term) AS rank FROM f GROUP BY label, term)
-SELECT label, term, n::BIGINT AS n, docs, rank FROM x WHERE rank <= 8""")
+@query(f"""WITH {_WEIGHTS}, k AS (SELECT * FROM (SELECT doc_id, term, weight, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) AS rank FROM (SELECT doc_id, term, round(weight, 4) AS weight FROM w)) WHERE rank <= {C.PER_ARTICLE}),
+s AS (SELECT label AS cluster, term, round(sum(weight), 4) AS weight, min((doc_id, rank)) AS met FROM k JOIN embeddings ON vec_id = doc_id GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY weight DESC, met) AS rank FROM s) SELECT cluster, term, weight, rank FROM r WHERE rank <= {C.CLUSTER_KEYWORDS}""")
 def cluster_keywords_by_label(spark, d):
-    toks = table(spark, d, "documents").select((F.col("doc_id") % 8).alias("label"), "doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,}"), F.lit(0))).alias("term"))
-    x = toks.groupBy("label", "doc_id", "term").agg(F.count("*").alias("tf")).groupBy("label", "term").agg(F.sum("tf").alias("n"), F.count("*").alias("docs"))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "term")).cast("bigint")
-    return x.withColumn("rank", rank).where("rank <= 8")
+    """A document belongs to the cluster that the label of its vector names."""
+    members = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("cluster"))
+    return K.cluster_keywords(table(spark, d, "documents"), members)
 
 
 @query("""SELECT conv_id, turn, CASE WHEN answer IS NULL OR length(answer) > floor(1.1 * length(raw)) + 50 OR length(answer) < 80 THEN raw ELSE answer END AS text, answer IS NOT NULL AND length(answer) <= floor(1.1 * length(raw)) + 50 AND length(answer) >= 80 AS accepted
@@ -370,23 +368,32 @@ def color_family(spark, d):
     return spark.createDataFrame([(c,) for c in _COLORS], "color string").select("color", T.color_family(F.col("color")).alias("family"))
 
 
-@query("SELECT doc_id, left(text, 5000) AS body, source AS source_type, length(text) > 5000 AS cut FROM documents")
+@query(f"SELECT doc_id, left(text, {C.TEXT_CAP}) AS body, source AS source_type, length(text) > {C.TEXT_CAP} AS cut FROM documents")
 def content_caps(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.substring("text", 1, 5000).alias("body"), F.col("source").alias("source_type"), (F.length("text") > 5000).alias("cut"))
+    return table(spark, d, "documents").select("doc_id", F.substring("text", 1, C.TEXT_CAP).alias("body"), F.col("source").alias("source_type"), (F.length("text") > C.TEXT_CAP).alias("cut"))
 
 
-@query("SELECT conv_id, role, count(*) AS n, array_to_string(list(left(text, 40) ORDER BY turn)[1:12], ' | ') AS signals FROM conversations WHERE text <> '' GROUP BY conv_id, role")
+@query(f"SELECT conv_id, role, count(*) AS n, array_to_string(list(text ORDER BY turn)[1:{C.SIGNALS}], ' | ') AS signals FROM conversations WHERE text <> '' GROUP BY conv_id, role")
 def signals_collect(spark, d):
+    """The first turns of each role; what comes behind them is counted and not gathered."""
     c = table(spark, d, "conversations").where("text <> ''")
-    said = F.slice(F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 40).alias("t")))), 1, 12)
-    return c.groupBy("conv_id", "role").agg(F.count("*").alias("n"), F.array_join(F.transform(said, lambda x: x["t"]), " | ").alias("signals"))
+    first = R.latest(c.withColumn("by", F.struct("conv_id", "role")), "by", ["turn"], C.SIGNALS)
+    said = first.groupBy("conv_id", "role").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("s"))
+    n = c.groupBy("conv_id", "role").agg(F.count("*").alias("n"))
+    return n.join(said, ["conv_id", "role"]).select("conv_id", "role", "n", F.array_join(F.transform("s", lambda x: x["text"]), " | ").alias("signals"))
 
 
-@query("""SELECT a.conv_id, a.turn, left(a.text, 60) AS question, left(b.text, 60) AS answer, CAST(floor(a.turn / 5) AS BIGINT) AS batch FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user'""")
+@query("""WITH q AS (SELECT conv_id, turn, text AS question, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations WHERE role = 'user'),
+a AS (SELECT conv_id, turn % 7 AS place, arg_min(text, turn) FILTER (text IS NOT NULL) AS answer, min(turn) AS t, count(*) AS n FROM conversations WHERE role <> 'user' GROUP BY ALL),
+f AS (SELECT a.conv_id, a.place, c.text AS answer FROM a JOIN conversations c ON c.conv_id = a.conv_id AND c.turn = a.t WHERE a.place >= 1)
+SELECT q.conv_id, q.turn, q.place, question, f.answer, f.answer IS NULL AS failed FROM q LEFT JOIN f ON f.conv_id = q.conv_id AND f.place = q.place""")
 def positional_answers(spark, d):
+    """Questions of a conversation are a batch; an answer names the number of its question, here by its turn, which gives repeated and wrong numbers too."""
     c = table(spark, d, "conversations")
-    b = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.substring("text", 1, 60).alias("answer"))
-    return c.where("role = 'user'").join(b, ["conv_id", "turn"], "left").select("conv_id", "turn", F.substring("text", 1, 60).alias("question"), "answer", F.floor(F.col("turn") / 5).cast("bigint").alias("batch"))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("bigint")
+    asked = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"), place.alias("place"))
+    told = c.where("role <> 'user'").select("conv_id", "turn", "text", (F.col("turn") % 7).alias("number"))
+    return R.positional(asked, told, ["conv_id"], "place", "number", ["turn"], "text").select("conv_id", "turn", "place", "question", "answer", "failed")
 
 
 # Usage and jobs

@@ -181,9 +181,8 @@ def cookie_banner(text: Column) -> Column:
 
 
 def shown(number: Column, places: int = 4) -> Column:
-    """A number in plain decimals without zeros at its end; empty for null."""
-    text = number.cast(f"decimal(20,{places})").cast("string")
-    return F.coalesce(F.regexp_replace(text, r"\.?0+$", ""), F.lit("")) if places else F.coalesce(text, F.lit(""))
+    """A number with a point and one digit behind it at least, without zeros at its end; empty for null."""
+    return F.coalesce(F.regexp_replace(number.cast(f"decimal(20,{places})").cast("string"), r"(\.\d+?)0+$", "$1"), F.lit(""))
 
 
 def csv_line(cells: list[Column]) -> Column:

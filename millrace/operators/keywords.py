@@ -115,21 +115,27 @@ def _met() -> list[Column]:
     return [F.desc("n"), F.asc_nulls_first("first"), F.asc("a"), F.asc("b")]
 
 
-def itemsets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Pairs of terms that stand together most often; ties go to the pair that was met first."""
+def _rank(order: list) -> Column:
+    """Places among some few rows, which one task puts in order."""
+    return F.row_number().over(Window.orderBy(*order)).alias("rank")
+
+
+def itemsets(docs: DataFrame, key: str = "doc_id", text: str = "text", ranked: bool = False) -> DataFrame:
+    """Pairs of terms that stand together most often; ties go to the pair that was met first. With ``ranked`` their places too."""
     pairs = frequent_pairs(docs, key, text).orderBy(*_met()).limit(C.ASSOC_SETS)
-    return pairs.select("a", "b", "n", F.round(F.col("n") / F.col("total"), C.SHARE_PLACES).alias("support"))
+    return pairs.select(*[_rank(_met())] * ranked, "a", "b", "n", F.round(F.col("n") / F.col("total"), C.SHARE_PLACES).alias("support"))
 
 
-def rules(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rules of the greatest lift, then confidence, both as they are shown; ties go to the pair that was met first, read forwards."""
+def rules(docs: DataFrame, key: str = "doc_id", text: str = "text", ranked: bool = False) -> DataFrame:
+    """Rules of the greatest lift, then confidence, both as they are shown; ties go to the pair that was met first, read forwards. With ``ranked`` their places too."""
     pairs = frequent_pairs(docs, key, text)
     side = lambda i, x, y: F.struct(F.lit(i).alias("side"), F.col(x).alias("if"), F.col(y).alias("then"), F.col(f"n_{x}").alias("x"), F.col(f"n_{y}").alias("y"))
     r = pairs.select("n", "total", "first", "a", "b", F.explode(F.array(side(0, "a", "b"), side(1, "b", "a"))).alias("r")).select("*", "r.*")
     r = r.withColumn("c", F.col("n") / F.col("x")).withColumn("l", F.col("c") / (F.col("y") / F.col("total"))).where((F.col("c") >= C.ASSOC_CONFIDENCE) & (F.col("l") > 1))
     share = lambda x: F.round(x, C.SHARE_PLACES)
     r = r.withColumns({"support": share(F.col("n") / F.col("total")), "confidence": share(F.col("c")), "lift": F.round("l", C.LIFT_PLACES)})
-    return r.orderBy(F.desc("lift"), F.desc("confidence"), *_met(), "side").limit(C.ASSOC_RULES).select("if", "then", "support", "confidence", "lift", F.col("n").alias("count"))
+    order = [F.desc("lift"), F.desc("confidence"), *_met(), F.asc("side")]
+    return r.orderBy(*order).limit(C.ASSOC_RULES).select(*[_rank(order)] * ranked, "if", "then", "support", "confidence", "lift", F.col("n").alias("count"))
 
 
 def filter_candidates(

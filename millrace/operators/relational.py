@@ -6,14 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name``, or one like it that no column of ``df`` has."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def first_of(df: DataFrame, by: list[str], order: list) -> DataFrame:
-    """The first row of each key."""
-    return df.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_i = 1").drop("_i")
+    """The first row of each key, all columns kept. Null keys are a key of their own; of rows that tie in ``order`` any one stays."""
+    return latest(df, by, order, 1)
 
 
-def latest(df: DataFrame, by: str, order: list, n: int) -> DataFrame:
-    """The last ``n`` rows of each key."""
-    return df.withColumn("_i", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_i") <= n).drop("_i")
+def latest(df: DataFrame, by: str | list[str], order: list, n: int) -> DataFrame:
+    """The first ``n`` rows of each key in ``order``, so the last ones if that falls; all columns kept. Null keys are a key of their own."""
+    i = free(df, "_i")
+    keys = [by] if isinstance(by, str) else by
+    return df.withColumn(i, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(i) <= n).drop(i)
 
 
 def append_new(old: DataFrame, new: DataFrame, key: str, order: list) -> DataFrame:
@@ -27,15 +36,16 @@ def replace_by_key(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def distribution(df: DataFrame, label: str) -> DataFrame:
-    """Rows ``(label, n, percent)``; empty labels are left out."""
+    """Rows ``(label, n, percent)``; null and empty labels are left out and not counted. An empty table has no rows."""
     own = df.where(F.col(label).isNotNull() & (F.col(label).cast("string") != "")).groupBy(label).agg(F.count("*").alias("n"))
     return own.crossJoin(F.broadcast(own.agg(F.sum("n").alias("_all")))).select(label, "n", F.bround(100 * F.col("n") / F.col("_all")).cast("bigint").alias("percent"))
 
 
 def runs_of_failures(events: DataFrame, by: str, order: list, failed: Column, least: int = 3) -> DataFrame:
-    """Runs of ``least`` or more consecutive failures: ``(by, run, n)``."""
+    """Runs of ``least`` or more consecutive failures: ``(by, run, n)``. Null is no failure, a null key is one of its own, and ``order`` should leave no ties."""
     w = Window.partitionBy(by).orderBy(*order)
-    e = events.withColumn("_f", failed).withColumn("run", F.sum(F.when(F.col("_f"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    bad = F.coalesce(failed, F.lit(False))
+    e = events.select(by, bad.alias("_f"), F.sum(F.when(bad, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
     return e.where("_f").groupBy(by, "run").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
@@ -81,9 +91,10 @@ def attempts(items: DataFrame, by: str, order: list, failed: Column, seconds: Co
     w = Window.partitionBy(by).orderBy(*order)
     before, near = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1 - least, 0)
     hung = (F.min(F.when(failed, 1).otherwise(0)).over(near) == 1) & (F.count("*").over(near) == least)
-    d = items.withColumn("_hung", hung.cast("int")).withColumn("_took", F.coalesce(F.sum(seconds).over(before), F.lit(0)))
-    ok = F.coalesce(F.max("_hung").over(before), F.lit(0)) == 0
-    return d.withColumn("attempted", ok if limit is None else ok & (F.col("_took") <= limit)).drop("_hung", "_took")
+    h, took = free(items, "_hung"), free(items, "_took")
+    d = items.withColumn(h, hung.cast("int")).withColumn(took, F.coalesce(F.sum(seconds).over(before), F.lit(0)))
+    ok = F.coalesce(F.max(h).over(before), F.lit(0)) == 0
+    return d.withColumn("attempted", ok if limit is None else ok & (F.col(took) <= limit)).drop(h, took)
 
 
 def following(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
@@ -103,8 +114,8 @@ def following(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
 
 
 def chunk_progress(items: DataFrame, job: str, position: Column, size: int, done: Column) -> DataFrame:
-    """Chunks of ``size`` items of each job, how many are done, and progress in percent (99 until all are)."""
-    c = items.withColumn("_c", F.floor(position / size)).groupBy(job, "_c").agg(F.min(done).alias("_d"))
+    """Chunks of ``size`` items of each job, how many are done, and progress in percent (99 until all are). An item of unknown state is not done; a job without items has no row."""
+    c = items.withColumn("_c", F.floor(position / size)).groupBy(job, "_c").agg(F.min(F.coalesce(done, F.lit(False))).alias("_d"))
     c = c.groupBy(job).agg(F.count("*").alias("chunks"), F.count_if("_d").alias("done"))
     return c.withColumn("progress", F.when(F.col("done") == F.col("chunks"), 100).otherwise(F.least(F.lit(99), F.floor(100 * F.col("done") / F.col("chunks")))).cast("bigint"))
 

@@ -9,9 +9,10 @@ from ..functions import constants as C
 from ..functions import html as H
 from ..functions import text as T
 from ..functions import urls as U
+from ..operators import exports as X
 from ..operators import relational as R
 from ..sources.tables import table
-from .queries import _KEY, NOW, _strip, _values, query
+from .queries import _KEY, _PAIRS, NOW, SQL, _strip, _values, query
 
 
 def _quoted(x: str) -> str:
@@ -173,6 +174,34 @@ def entity_rollup(spark, d):
     return e.where(F.col("salience") >= C.LEAST_SALIENCE).orderBy(F.desc("salience"), "name").limit(C.TOP_ENTITIES)
 
 
+def _sql_line(*cells: str) -> str:
+    return " || ',' || ".join(_sql_cell(f"({c})::VARCHAR") for c in cells) + " || chr(13) || chr(10)"
+
+
+def _sql_shown(x: str) -> str:
+    return rf"regexp_replace(CAST({x} AS DECIMAL(20, 4))::VARCHAR, '(\.\d+?)0+$', '\1')"
+
+
+_HEADS = {k: ",".join(v) for k, v in C.EXPORT_HEADS.items()}
+_END = "chr(13) || chr(10)"
+
+
+@query(f"""WITH words AS (SELECT *, row_number() OVER (ORDER BY weight DESC, term) AS rank FROM ({SQL["tfidf_top_keywords"]})),
+sets AS (SELECT * FROM (WITH {_PAIRS} SELECT 0 AS part, row_number() OVER (ORDER BY n DESC, first, a, b) AS rank, a || ' + ' || b AS x, n, round(n / total, {C.SHARE_PLACES}) AS support FROM q) WHERE rank <= {C.ASSOC_SETS}),
+rules AS (SELECT *, row_number() OVER () AS rank FROM ({SQL["association_rules"]})),
+pairs AS (
+  SELECT part, rank, {_sql_line("'itemset'", "x", "''", _sql_shown("support"), "''", "''", "n")} AS line FROM sets
+  UNION ALL SELECT 1, rank, {_sql_line("'rule'", '"if"', '"then"', _sql_shown("support"), _sql_shown("confidence"), _sql_shown("lift"), '"count"')} FROM rules
+), ents AS (SELECT *, row_number() OVER (ORDER BY salience DESC, name) AS rank FROM ({SQL["entity_rollup"]}))
+SELECT 'tfidf' AS name, '{_HEADS["tfidf"]}' || {_END} || coalesce(string_agg({_sql_line("rank", "term", _sql_shown("weight"))}, '' ORDER BY rank), '') AS csv FROM words
+UNION ALL SELECT 'association', '{_HEADS["association"]}' || {_END} || coalesce(string_agg(line, '' ORDER BY part, rank), '') FROM pairs
+UNION ALL SELECT 'entities', '{_HEADS["sentiment"]}' || {_END} || 'enabled,True' || {_END} || 'n_docs,' || (SELECT count(*) FROM documents) || {_END} || 'avg_sentiment,' || {_END} || chr(10) || '{_HEADS["entities"]}' || {_END}
+  || coalesce(string_agg({_sql_line("name", "kind", _sql_shown("salience"), "mentions")}, '' ORDER BY rank), '') FROM ents""")
+def numeric_exports(spark, d):
+    docs = table(spark, d, "documents")
+    return X.numeric_exports(docs, entity_rollup(spark, d), docs.count())
+
+
 @query(f"SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'O' AND o_orderdate < TIMESTAMP '{NOW}' - INTERVAL {C.KEEP_DAYS} DAY ORDER BY o_orderdate, o_orderkey LIMIT {C.SWEEP}")
 def retention_sweep(spark, d):
     old = F.col("o_orderdate") < F.expr(f"timestamp_ntz'{NOW}' - interval {C.KEEP_DAYS} day")

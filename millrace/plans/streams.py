@@ -7,10 +7,12 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import continued as N
+from ..operators import relational as R
 from ..sources.tables import shared_folder, table
 from ..streaming.replay import appended, replay
 from ..streaming.sink import MergedTable, newest
-from ..streaming.state import DailyQuota, FailureCounter, Fold, Reaper, follow
+from ..streaming.state import DailyQuota, FailureCounter, Fold, Reaper, StatusMachine, follow
 from .queries import query
 
 #: Parts of the stream, minutes that events may be late, calls a day, and hours after which a silent job has failed.
@@ -74,3 +76,34 @@ def stream_chunk_results(spark, d):
     done = F.count_if(F.col("last.result") != "error")
     out = merged.read().groupBy("job").agg(F.count("*").alias("chunks"), done.alias("done"))
     return out.withColumn("progress", F.least(F.lit(98), F.greatest(F.lit(1), F.floor(F.col("done") / 7.0 * 98))).cast("bigint"))
+
+
+#: Remote statuses by the kind of event.
+_REMOTE = {"view": "running", "click": "pending", "signup": "unavailable", "error": "not_found", "purchase": "completed"}
+
+
+@query(f"""WITH RECURSIVE {_CUT}, e AS (SELECT user_id, event_id, epoch_us(ts) AS at_us, CASE event_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _REMOTE.items())} END AS said, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+s AS (
+  SELECT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, NULL::BIGINT AS at_us, 'pending' AS was, 'pending' AS now FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL SELECT e.user_id, e.i, e.event_id, e.at_us, s.now, CASE WHEN s.now IN ('completed', 'failed', 'cancelled') OR said = 'unavailable' THEN s.now WHEN said = 'not_found' THEN 'failed' ELSE said END FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1
+) SELECT user_id, event_id, at_us, now AS status FROM s, c WHERE now <> was AND at_us <= c""")
+def stream_status_changes(spark, d):
+    said = F.create_map(*[F.lit(x) for pair in _REMOTE.items() for x in pair])[F.col("event_type")]
+    return _told(spark, d, said, StatusMachine()).select("user_id", F.col("event").alias("event_id"), "at_us", F.col("told").alias("status"))
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, event_id, event_type = 'error' OR event_type = 'view' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events WHERE event_id % 2 = 0),
+s AS (
+  SELECT user_id, event_id, bad, i, 1 AS round, CASE WHEN bad THEN 1 ELSE 0 END AS hung FROM e WHERE i = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.bad, e.i, CASE WHEN s.hung = 3 THEN s.round + 1 ELSE s.round END, CASE WHEN NOT e.bad THEN 0 WHEN s.hung = 3 THEN 1 ELSE s.hung + 1 END FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1
+) SELECT event_id, user_id, CASE WHEN round <= {N.MAX_ROUNDS} THEN round END AS round, CASE WHEN round <= {N.MAX_ROUNDS} THEN NOT bad END AS ok FROM s""")
+def auto_continue(spark, d):
+    """Every other event is an item of its user's job, and errors and views are failures; three of them in a row end a round of the job."""
+    items = table(spark, d, "events").where("event_id % 2 = 0").select("event_id", "user_id", F.col("event_type").isin("error", "view").alias("bad"))
+
+    def attempt(left: DataFrame) -> DataFrame:
+        tried = R.attempts(left.drop("attempted", "ok"), "user_id", ["event_id"], F.col("bad"), F.lit(0))
+        return tried.withColumn("ok", ~F.col("bad"))
+
+    out = N.continued(items, f"{shared_folder(spark)}/rounds-{uuid.uuid4().hex[:12]}", attempt, "event_id")
+    return out.select("event_id", "user_id", "round", "ok")

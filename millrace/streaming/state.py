@@ -110,6 +110,36 @@ class DailyQuota:
         return ()
 
 
+#: What a remote status makes of a job that has not ended. What is not listed, as ``unavailable``, leaves it as it is.
+TRANSITIONS = {"pending": "pending", "running": "running", "completed": "completed", "failed": "failed", "cancelled": "cancelled", "not_found": "failed"}
+ENDED = ("completed", "failed", "cancelled")
+
+
+@dataclass(frozen=True)
+class StatusMachine:
+    """Tells each change of a job's status, which is ``pending`` at first. An ended job takes no late result; a lost one has failed.
+
+    An ended job is forgotten ``forget`` seconds after its end, if that is given.
+    """
+
+    forget: int | None = None
+
+    def step(self, state, at, event, value):
+        now = state.get("now", "pending")
+        new = now if now in ENDED else TRANSITIONS.get(value, now)
+        state["now"] = new
+        if new != now:
+            state["at"] = at
+            yield at, event, new
+
+    def deadline(self, state):
+        return state["at"] + self.forget * 1_000_000 if self.forget is not None and state.get("now") in ENDED else None
+
+    def expire(self, state):
+        state.clear()
+        return ()
+
+
 def advance(fold: Fold, waiting: list[tuple[int, int, str | None]], state: dict[str, Any], until: int) -> tuple[list[Told], list[tuple[int, int, str | None]]]:
     """What the events up to ``until`` tell in order of time and id, with deadlines in between, and the events that still wait."""
     out: list[Told] = []

@@ -4,12 +4,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.operators import continued as N
 from millrace.streaming.replay import appended
 from millrace.streaming.sink import MergedTable, maps, newest, patched
-from millrace.streaming.state import DailyQuota, FailureCounter, Reaper, advance, follow
+from millrace.streaming.state import DailyQuota, FailureCounter, Reaper, StatusMachine, advance, follow
 
 DAY, HOUR = 86_400_000_000, 3_600_000_000
-FOLDS = {"reaper": Reaper(("done",), 3600), "forgetful": Reaper(("done",), 3600, 7200), "failures": FailureCounter(3), "quota": DailyQuota(4)}
+FOLDS = {"reaper": Reaper(("done",), 3600), "forgetful": Reaper(("done",), 3600, 7200), "failures": FailureCounter(3), "quota": DailyQuota(4), "status": StatusMachine(), "forgotten": StatusMachine(3600)}
 
 
 @pytest.mark.parametrize("name", FOLDS)
@@ -17,7 +18,7 @@ def test_batches_and_order_of_arrival_change_nothing(name):
     """Events in any order within the delay, cut into any batches, tell what all of them at once tell."""
     rng, delay = random.Random(5), 600_000_000
     for _ in range(40):
-        values = {"quota": [None, "2", "0", "-3"], "failures": ["fail", "fail", "ok", None]}.get(name, ["run", "run", "done", None])
+        values = {"quota": [None, "2", "0", "-3"], "failures": ["fail", "fail", "ok", None], "status": ["running", "pending", "unavailable", None], "forgotten": ["running", "completed", "not_found"]}.get(name, ["run", "run", "done", None])
         events = [(rng.randrange(3 * DAY if name == "quota" else 8 * HOUR), i, rng.choice(values)) for i in range(40)]
         whole, rest = advance(FOLDS[name], events, {}, 10 * DAY)
         assert not rest
@@ -88,3 +89,41 @@ def test_merged_table_reads_only_the_buckets_of_a_batch(spark, tmp_path):
     t.put(spark.createDataFrame([(7, 100)], "k int, n int"), 1)
     assert sorted(t.committed()[1].values()) == [0] * 15 + [1]
     assert {r.k: r.n for r in t.read().collect()} == {i: i + 100 * (i == 7) for i in range(200)}
+
+
+def test_late_results_do_not_overwrite_an_end():
+    said = ["unavailable", "running", "running", "unavailable", "odd", None, "pending", "not_found", "completed", "running"]
+    told, _ = advance(StatusMachine(), [(i, i, v) for i, v in enumerate(said)], {}, DAY)
+    assert told == [(1, 1, "running"), (6, 6, "pending"), (7, 7, "failed")]
+    assert advance(StatusMachine(), [(0, 0, "cancelled"), (1, 1, "completed")], {}, DAY)[0] == [(0, 0, "cancelled")]
+
+
+def test_of_two_runs_one_claims_a_round(spark, tmp_path):
+    """Both read version 0; the first to claim it writes version 1, and the other's claim of what it read fails."""
+    attempt = lambda left: left.withColumn("attempted", F.col("url") < "c").withColumn("ok", F.lit(True))
+    folder = f"file://{tmp_path}/rounds"
+    one, two = N.Versions(spark, folder), N.Versions(spark, folder)
+    items = spark.createDataFrame([("a", False, None, None), ("c", False, None, None), (None, False, None, None)], "url string, attempted boolean, ok boolean, round int")
+    one.write(items, 0)
+    assert one.last() == two.last() == 0 and two.claim(0) and not one.claim(0)
+    assert N.round_once(one, attempt) == "taken" and one.last() == 0
+    two.write(two.read(0), 1)
+    assert not one.claim(0) and N.round_once(one, attempt) == "went" and not two.claim(1)
+    assert sorted(map(tuple, one.read(2).collect()), key=repr) == sorted([("a", True, True, 2), ("c", False, None, None), (None, False, None, None)], key=repr)
+    # A round that attempts nothing more counts too, so the loop ends.
+    assert N.round_once(one, attempt, rounds=3) == "went" and N.round_once(one, attempt, rounds=3) == "done"
+
+
+def test_what_is_left_is_tried_until_the_last_round(spark, tmp_path):
+    items = spark.createDataFrame([(i, i % 3) for i in range(30)], "url int, k int")
+    attempt = lambda left: left.withColumn("attempted", F.col("url") == left.agg(F.min("url")).first()[0]).withColumn("ok", F.col("k") > 0)
+    got = N.continued(items, f"file://{tmp_path}/t", attempt, rounds=4)
+    assert sorted((r.url, r.ok, r.round) for r in got.where("attempted").collect()) == [(0, False, 1), (1, True, 2), (2, True, 3), (3, False, 4)] and got.where("round is null").count() == 26
+    assert N.continued(items.limit(0), f"file://{tmp_path}/u", attempt).count() == 0
+
+
+def test_urls_that_need_another_selector(spark):
+    items = spark.createDataFrame([("f2", "failed", 2), ("f1", "failed", 1), ("ok", "success", 0), (None, "failed", 0), ("", "failed", 0), ("f1", "failed", 9)], "url string, status string, o int")
+    results = spark.createDataFrame([("b", "body_fallback", 1), ("f2", "body_fallback", 0), ("h", "heuristic", 0)], "url string, resolved_by string, o int")
+    assert [tuple(r) for r in N.research_urls(items, results, "o").collect()] == [("f1", 0), ("f2", 0), ("b", 1)]
+    assert N.research_urls(items, results, "o", 1).count() == 1

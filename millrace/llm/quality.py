@@ -1,7 +1,7 @@
 """Document quality by fixed rules and by how many documents of a host share each line.
 
 Everything is DataFrame functions. Texts are read for counts and hashes of normalised lines, which
-alone are shuffled to find boilerplate; a second reading meets the verdicts and leaves it out.
+alone are shuffled to find boilerplate; a second reading meets what is to go and leaves it out.
 """
 
 from __future__ import annotations
@@ -31,18 +31,20 @@ def base_counts(docs: DataFrame) -> DataFrame:
     df = df.withColumn("w", F.transform(F.filter(F.split("t", SPACE), lambda x: x != ""), lambda x: F.xxhash64(x)))
     df = df.withColumn("worded", F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     df = df.withColumn("n_words", F.size("w"))
-    windows = F.transform(
-        F.sequence(F.lit(0), F.col("n_words") - 3), lambda i: F.struct(F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)).alias("h"), i.alias("i"))
-    )
-    df = df.withColumn("windows", F.when(F.col("n_words") >= 3, F.array_sort(windows)).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
-    again = F.filter("windows", lambda x, i: (x["h"] == F.get("windows", i - 1)["h"]) | (x["h"] == F.get("windows", i + 1)["h"]))
-    df = df.withColumn("again", F.array_sort(F.transform(again, lambda x: x["i"])))
-    covered = F.aggregate(
-        "again",
-        F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
-        lambda s, i: F.struct((i + 3).alias("end"), (s["n"] + i + 3 - F.greatest(i, s["end"])).alias("n")),
-        lambda s: s["n"],
-    )
+    window = lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))
+    df = df.withColumn("windows", F.when(F.col("n_words") >= 3, F.transform(F.sequence(F.lit(0), F.col("n_words") - 3), window)).otherwise(F.array().cast("array<bigint>")))
+
+    def covered(placed: Column) -> Column:
+        """Words in windows that stand next to an equal one once all are in order."""
+        again = F.filter(placed, lambda x, i: (x["h"] == F.get(placed, i - 1)["h"]) | (x["h"] == F.get(placed, i + 1)["h"]))
+        start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
+        longer = lambda s, i: F.struct((i + 3).alias("end"), (s["n"] + i + 3 - F.greatest(i, s["end"])).alias("n"))
+        return F.aggregate(F.sort_array(F.transform(again, lambda x: x["i"])), start, longer, lambda s: s["n"])
+
+    # Most texts repeat no window, and their windows need no order.
+    placed = F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    repeated = F.size(F.array_distinct("windows")) < F.size("windows")
+    covered = F.when(repeated, F.get(F.transform(F.array(placed), covered), F.lit(0))).otherwise(0)
     symbols = F.length("t") - F.length(F.translate("t", "#*$%&|<>", ""))
     line = lambda x: F.struct(F.xxhash64(x).alias("h"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("n"))
     return df.select(
@@ -88,14 +90,18 @@ def quality(
     often = rows.groupBy("host", "h").agg(F.count_distinct(F.struct("id")).alias("line_docs")).where(F.col("line_docs") >= min_docs)
     often = scratch.table(often.select("host", "h"), "often")
     lost = rows.join(often, ["host", "h"]).groupBy("id", "version", "host").agg(F.sum("n").alias("lost"), F.collect_set("h").alias("gone"))
+    # Written, so that Spark knows its size when texts meet it: rows without boilerplate have no row here.
+    lost = scratch.table(lost, "lost")
+    same = F.expr("b.id <=> l.id and b.version = l.version and b.host = l.host")
     # Rows that repeat key, text and host have the same counts.
-    df = base.drop("lines").dropDuplicates(["id", "version", "host"]).alias("b").join(lost.alias("l"), F.expr("b.id <=> l.id and b.version = l.version and b.host = l.host"), "left")
+    df = base.drop("lines").dropDuplicates(["id", "version", "host"]).alias("b").join(lost.drop("gone").alias("l"), same, "left")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     boilerplate = F.coalesce("lost", F.lit(0)).cast("bigint")
     left = F.col("n_words") - F.col("n_boilerplate_words")
-    df = df.select("b.*", boilerplate.alias("n_boilerplate_words"), failed.alias("base_failed"), "gone")
+    df = df.select("b.*", boilerplate.alias("n_boilerplate_words"), failed.alias("base_failed"))
     kept = ~F.col("base_failed") & (left >= min_words) & (100 * left >= left_percent * F.col("n_words"))
-    df = docs.withColumn("version", F.xxhash64("text")).alias("d").join(df.withColumn("kept", kept).alias("b"), F.expr("d.id <=> b.id and d.version = b.version and d.host = b.host"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_boilerplate_words", "kept"]
-    # Written, so that the texts are made whatever columns a caller goes on with.
-    return scratch.table(df.select(F.col("d.id").alias(key), *counts, without("text", "gone").alias(text)), "texts")
+    texts = docs.withColumn("version", F.xxhash64("text")).alias("b").join(lost.drop("lost").alias("l"), same, "left")
+    texts = texts.select("b.id", "b.version", "b.host", without("text", "gone").alias("text"))
+    both = texts.alias("d").join(df.withColumn("kept", kept).alias("b"), F.expr("d.id <=> b.id and d.version = b.version and d.host = b.host"))
+    return both.select(F.col("d.id").alias(key), *counts, F.col("d.text").alias(text))

@@ -145,7 +145,8 @@ FROM t LEFT JOIN p USING (doc_id) LEFT JOIN m USING (doc_id)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(read(spark, sf_dir, "documents")).drop("text")
+    """Beside the contract's columns: the words of boilerplate, and a digest of the text without it."""
+    return quality(read(spark, sf_dir, "documents")).withColumn("left_sha256", F.sha2("text", 256)).drop("text")
 
 
 SQL_OP2 = rf"""
@@ -169,9 +170,15 @@ c AS (
          length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
          coalesce(r.n, 0)::BIGINT AS n_repeat_words, coalesce(b.n, 0)::BIGINT AS n_boilerplate_words
   FROM t LEFT JOIN r USING (doc_id) LEFT JOIN b USING (doc_id)
+), y AS (
+  SELECT doc_id, host, i, line, trim(regexp_replace({SQL_LOWER.format("line")}, '[\x20\x09-\x0D]+', ' ', 'g')) AS l
+  FROM (SELECT doc_id, host, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS i FROM t)
+), z AS (
+  SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (o.l IS NULL), '') AS left_text FROM y LEFT JOIN o ON o.host = y.host AND o.l = y.l AND y.l <> '' GROUP BY doc_id
 ), d AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
-SELECT *, NOT base_failed AND n_words - n_boilerplate_words >= {MIN_WORDS} AND 100 * (n_words - n_boilerplate_words) >= {LEFT_PERCENT} * n_words AS kept
-FROM d
+SELECT d.*, NOT base_failed AND n_words - n_boilerplate_words >= {MIN_WORDS} AND 100 * (n_words - n_boilerplate_words) >= {LEFT_PERCENT} * n_words AS kept,
+       CASE WHEN text IS NOT NULL THEN sha256(coalesce(left_text, '')) END AS left_sha256
+FROM d JOIN documents USING (doc_id) LEFT JOIN z USING (doc_id)
 """
 
 

@@ -112,3 +112,7 @@ EXPORT_HEADS = {
     "entities": ["entity", "type", "salience", "mentions"],
 }
 BOM = "\ufeff"
+
+# Attributes of images that are loaded late, in order; images of a sample; scores at which a text is surely or likely the article.
+LAZY_ATTRIBUTES = ["data-src", "data-original", "data-lazy", "data-lazy-src", "data-actualsrc", "data-echo", "data-hi-res-src"]
+SAMPLE_SIZE, SURE_SCORE, LIKELY_SCORE = 10, 1500, 800

@@ -129,3 +129,19 @@ def positional(rows: DataFrame, answers: DataFrame, by: list[str], place: str, i
     first = F.min(F.struct(*[F.col(c) for c in order], F.col(answer).alias("_answer")))["_answer"]
     found = answers.where(F.col(index) >= 1).groupBy(*by, F.col(index).alias(place)).agg(first.alias("answer"))
     return rows.join(found, [*by, place], "left").withColumn("failed", F.col("answer").isNull())
+
+
+def sampled(df: DataFrame, by: list[str], key: str, n: int, seed: str = "") -> DataFrame:
+    """``n`` rows of each group, or all if there are fewer: those of the smallest keyed hash, whatever the partitions. All columns are kept.
+
+    Spark cuts each partition to ``n`` rows a group before it shuffles. Rows of equal ``key`` have equal hashes, of which any come first; null keys come last.
+    """
+    own = F.md5(F.concat(F.lit(seed), F.lit(":"), F.col(key).cast("string")))
+    return latest(df, by, [F.asc_nulls_last(own), F.asc_nulls_last(key)], n)
+
+
+def best_two(df: DataFrame, by: list[str], score: str, key: str) -> DataFrame:
+    """Rows ``(*by, key, best, second)``: the row of the greatest ``score`` of each group and the next score; null if it is alone. Ties go to the smaller key, null scores don't count."""
+    first = latest(df.where(F.col(score).isNotNull()).select(*by, key, score), by, [F.desc(score), F.asc_nulls_last(key)], 2)
+    both = first.groupBy(*by).agg(F.max_by(F.col(key), F.struct(F.col(score), (-F.col(key)).alias("k"))).alias(key), F.max(score).alias("best"), F.min(score).alias("_low"), F.count("*").alias("_n"))
+    return both.select(*by, key, "best", F.when(F.col("_n") > 1, F.col("_low")).alias("second"))

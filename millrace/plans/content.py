@@ -268,3 +268,42 @@ def counts_in_first_seen_order(spark, d):
     c = table(spark, d, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.count("*").alias("n"), F.min("l_linenumber").alias("i"))
     said = F.transform(F.sort_array(F.collect_list(F.struct("i", "l_returnflag", "n"))), lambda x: F.concat_ws("=", x["l_returnflag"], x["n"].cast("string")))
     return c.groupBy("l_orderkey").agg(F.array_join(said, ",").alias("first_seen"))
+
+
+# Images and scores
+
+#: Candidates of a set of sources that is written from a page's url: what stands behind it, and its descriptor.
+_SOURCES = [("/a,b;0,0.jpg", "{0}w"), ("/c.jpg", ""), ("/d.jpg,x", "{1}.5w"), ("/e.jpg", "{2}x")]
+_SIZES = ["(page_id * 7 % 5) * 100", "page_id % 400", "page_id % 3"]
+_SET = " || ', ' || ".join("url || '" + tail + "'" + (f" || ' ' || ({_SIZES[int(size[1])]}) || '{size[3:]}'" if size else "") for tail, size in _SOURCES)
+_SCORES = ["0.0" if not size else f"(({_SIZES[int(size[1])]}) || '{size[3:-1]}')::DOUBLE" for _, size in _SOURCES]
+
+
+@query(f"""WITH c AS (SELECT page_id, unnest([{", ".join(f"{{'s': {score}, 'i': {i}, 'u': url || '{tail}'}}" for i, ((tail, _), score) in enumerate(zip(_SOURCES, _SCORES)))}]) AS c FROM pages WHERE url <> ''),
+b AS (SELECT page_id, max_by(c.u, (c.s, c.i)) AS best FROM c GROUP BY page_id)
+SELECT page_id, CASE WHEN page_id % 3 = 0 THEN best WHEN page_id % 3 = 1 THEN url || '?late' ELSE url END AS image FROM pages JOIN b USING (page_id)""")
+def image_best_source(spark, d):
+    """Two pages in three have no set of sources: one has its image in an attribute of late loading, the other in itself or where it stands."""
+    p = table(spark, d, "pages").where("url <> ''").withColumn("set", F.expr(_SET))
+    kind = F.col("page_id") % 3
+    lazy = [F.when(kind == 1, F.concat(F.lit(" "), "url", F.lit("?late "))) if a == C.LAZY_ATTRIBUTES[1] else F.when(kind == 2, "data:image/gif;base64,R0") if a == C.LAZY_ATTRIBUTES[0] else F.lit("") for a in C.LAZY_ATTRIBUTES]
+    return p.select("page_id", H.best_image(F.when(kind == 0, F.col("set")), F.array().cast("array<string>"), lazy, F.col("url")).alias("image"))
+
+
+@query(f"""SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5('images:' || doc_id), doc_id) AS i FROM documents) WHERE i <= {C.SAMPLE_SIZE}""")
+def keyed_sample(spark, d):
+    return R.sampled(table(spark, d, "documents").select("source", "doc_id"), ["source"], "doc_id", C.SAMPLE_SIZE, "images")
+
+
+@query(f"""WITH s AS (SELECT source, doc_id, length(text) * 0.2::DOUBLE AS score, row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) AS i FROM documents WHERE text IS NOT NULL),
+b AS (SELECT source, max(doc_id) FILTER (i = 1) AS doc_id, max(score) FILTER (i = 1) AS best, max(score) FILTER (i = 2) AS second FROM s WHERE i <= 2 GROUP BY source)
+SELECT source, b.doc_id, round(0.4 * CASE WHEN best > 0 THEN least(1.0, greatest(best - coalesce(second, 0), 0) / best * 2) ELSE 0 END
++ 0.3 * CASE WHEN best >= {C.SURE_SCORE} THEN 1.0 WHEN best >= {C.LIKELY_SCORE} THEN 0.7 + (best - {C.LIKELY_SCORE}) / {C.SURE_SCORE - C.LIKELY_SCORE} * 0.3 ELSE best / {C.LIKELY_SCORE} * 0.7 END
++ 0.3 * least(1.0, 0.5 + CASE WHEN lang = 'en' THEN 0.2 ELSE 0 END + CASE WHEN b.doc_id % 2 = 0 THEN 0.15 ELSE 0 END + CASE WHEN len(string_split(text, chr(10))) >= 5 THEN 0.15 ELSE 0 END), 6) AS confidence
+FROM b JOIN documents USING (doc_id, source)""")
+def margin_confidence(spark, d):
+    """The longest text of each source against the next; the language stands for a heading, and even numbers for a date."""
+    docs = table(spark, d, "documents")
+    b = R.best_two(docs.withColumn("score", F.length("text") * F.lit(0.2)), ["source"], "score", "doc_id").join(docs, ["source", "doc_id"])
+    sure = H.confidence(F.col("best"), F.col("second"), F.col("lang") == "en", F.col("doc_id") % 2 == 0, F.size(F.split("text", "\n")))
+    return b.select("source", "doc_id", F.round(sure, 6).alias("confidence"))

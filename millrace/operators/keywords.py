@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
@@ -51,8 +56,122 @@ def _term_frequencies(docs: DataFrame, by: list[str], terms: Column) -> DataFram
 
 def vocabulary(terms: DataFrame, n: int, size: int) -> DataFrame:
     """Rows ``(term, df)`` of the ``size`` terms that occur most often, but in at most ``MAX_DF`` of the ``n`` documents."""
-    found = _term_frequencies(terms, [], F.col("terms")).where(F.col("df") <= C.MAX_DF * n if n > 1 else F.lit(True))
-    return found.orderBy(F.desc("tf"), "term").limit(size).select("term", "df")
+    return _most_frequent(_term_frequencies(terms, [], F.col("terms")), n, size).select("term", "df")
+
+
+def _most_frequent(found: DataFrame, n: int, size: int) -> DataFrame:
+    able = found.where(F.col("df") <= C.MAX_DF * n if n > 1 else F.lit(True))
+    return able.orderBy(F.desc("tf"), "term").limit(size)
+
+
+#: Words that may make the terms of a vocabulary at most, and tokens that a task looks at together.
+FREQUENT, TOGETHER = 1 << 13, 1 << 19
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches cut into pieces of about ``TOGETHER`` tokens, and of each token the row."""
+    for b in batches:
+        n = np.asarray(pa.compute.list_value_length(b["tokens"]), np.int64)
+        piece = np.cumsum(n) // TOGETHER
+        cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1), len(n)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if hi > lo:
+                yield b.slice(lo, hi - lo), np.repeat(np.arange(hi - lo), n[lo:hi])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``(word, df, tf)`` of pieces of a task's documents."""
+    for b, row in _pieces(batches):
+        words = b["tokens"].flatten().dictionary_encode()
+        if len(words):
+            at = np.asarray(words.indices.fill_null(-1), np.int64)
+            row, at = row[at >= 0], at[at >= 0]
+            held, size = np.unique(row * len(words.dictionary) + at) % len(words.dictionary), len(words.dictionary)
+            yield pa.RecordBatch.from_arrays([words.dictionary, pa.array(np.bincount(held, minlength=size)), pa.array(np.bincount(at, minlength=size))], names=["word", "df", "tf"])
+
+
+def frequent_words(docs: DataFrame, text: str, n: int, size: int) -> list[str] | None:
+    """The words of which the ``size`` most frequent terms consist, in order; None if these may be more than ``FREQUENT``.
+
+    A pair stands nowhere more often than its words. So if ``size`` words that are not too common occur ``k`` times or more, no term with a
+    rarer word is among the first.
+    """
+    found = docs.select(_cut(docs, text).alias("tokens")).mapInArrow(_counted, "word string, df bigint, tf bigint")
+    found = found.groupBy("word").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
+    top = found.orderBy(F.desc("tf"), "word").limit(FREQUENT + 1).collect()
+    able = [r.tf for r in top if n <= 1 or r.df <= C.MAX_DF * n]
+    least = able[size - 1] if len(able) >= size else 0
+    if len(top) > FREQUENT and top[-1].tf >= least:
+        return None
+    return sorted(r.word for r in top if r.tf >= least)
+
+
+def coded_terms(docs: DataFrame, key: str, text: str, known: list[str]) -> DataFrame:
+    """Rows ``(key, codes, tf)``, one per row of ``docs``: which words of ``known`` and pairs of these a document has, as numbers, and how often.
+
+    A word's code is its place, and a pair's that of a square of all words behind them.
+    """
+    shared, m = docs.sparkSession.sparkContext.broadcast(known), len(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = pa.array(shared.value, pa.string())
+        for b, row in _pieces(batches):
+            at = np.asarray(pa.compute.index_in(b["tokens"].flatten(), value_set=words, skip_nulls=True).fill_null(-1), np.int64)
+            both = (at[:-1] >= 0) & (at[1:] >= 0) & (row[:-1] == row[1:])
+            pairs = m + at[:-1][both] * m + at[1:][both]
+            each = np.concatenate([row[at >= 0] * (m + m * m) + at[at >= 0], row[:-1][both] * (m + m * m) + pairs])
+            each, tf = np.unique(each, return_counts=True)
+            ends = pa.array(np.searchsorted(each, np.arange(b.num_rows + 1) * (m + m * m)), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int64())) for x in (each % max(m + m * m, 1), tf)]
+            yield pa.RecordBatch.from_arrays([b["key"], *lists], names=["key", "codes", "tf"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(F.col(key).alias("key"), _cut(docs, text).alias("tokens"))
+    return rows.mapInArrow(run, f"key {kind}, codes array<bigint>, tf array<bigint>").withColumnRenamed("key", key)
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``(code, df, tf)`` of a task's documents."""
+    held: list[np.ndarray] = []
+
+    def total() -> np.ndarray:
+        code, df, tf = np.concatenate(held, axis=1)
+        code, at = np.unique(code, return_inverse=True)
+        return np.stack([code, *(np.bincount(at, x, len(code)).astype(np.int64) for x in (df, tf))])
+
+    for b in batches:
+        code, tf = (np.asarray(b[c].flatten(), np.int64) for c in ("codes", "tf"))
+        held.append(np.stack([code, np.ones(len(code), np.int64), tf]))
+        if sum(x.shape[1] for x in held) > 1 << 21:
+            held[:] = [total()]
+    if held:
+        yield pa.RecordBatch.from_arrays([*map(pa.array, total())], names=["code", "df", "tf"])
+
+
+def _vocabulary_terms(docs: DataFrame, key: str, text: str, size: int) -> tuple[DataFrame, int]:
+    """Rows ``(key, term, df, tf)`` of a vocabulary's terms, one for each row of ``docs`` and term that it holds; and the number of rows.
+
+    Words are counted first. Then only pairs of frequent words are, as numbers, and the terms of each document meet the vocabulary as numbers.
+    Tokens that are given must hold no spaces.
+    """
+    n = docs.count()
+    known = frequent_words(docs, text, n, size)
+    if known is None:
+        terms = _terms(docs, key, text)
+        found = vocabulary(terms, n, size)
+        each = _each(terms, key).join(F.broadcast(found), "term")
+        return each.select(key, "term", "df", F.lit(1).cast("bigint").alias("tf")), n
+    m, spark = len(known), docs.sparkSession
+    words = spark.createDataFrame(list(enumerate(known)), "i bigint, w string")
+    counts = coded_terms(docs, key, text, known).select("codes", "tf").mapInArrow(_summed, "code bigint, df bigint, tf bigint")
+    counts = counts.groupBy("code").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
+    pair = F.col("code") - m
+    counts = counts.withColumns({"i": F.when(pair < 0, F.col("code")).otherwise(F.floor(pair / max(m, 1)))})
+    counts = counts.withColumn("j", F.when(pair >= 0, pair - F.col("i") * m))
+    counts = counts.join(F.broadcast(words), "i").join(F.broadcast(words.select(F.col("i").alias("j"), F.col("w").alias("v"))), "j", "left")
+    found = _most_frequent(counts.select("code", F.concat_ws(" ", "w", "v").alias("term"), "df", "tf"), n, size).select("code", "term", "df")
+    each = coded_terms(docs, key, text, known).select(key, F.explode(F.arrays_zip("codes", "tf")).alias("x")).select(key, F.col("x.codes").alias("code"), "x.tf")
+    return each.join(F.broadcast(found), "code").select(key, "term", "df", "tf"), n
 
 
 def weights(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, int]:
@@ -60,9 +179,8 @@ def weights(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
 
     The vocabulary has ``VOCABULARY`` rows at most and is broadcast; other terms leave before anything is shuffled.
     """
-    n, terms = docs.count(), _terms(docs, key, text)
-    known = F.broadcast(vocabulary(terms, n, C.VOCABULARY))
-    tf = _each(terms, key).join(known, "term").groupBy(key, "term", "df").agg(F.count("*").alias("tf"))
+    each, n = _vocabulary_terms(docs, key, text, C.VOCABULARY)
+    tf = each.groupBy(key, "term", "df").agg(F.sum("tf").alias("tf"))
     w = tf.withColumn("w", F.col("tf") * (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return w.select(key, "term", (F.col("w") / norm).alias("weight")), n
@@ -84,9 +202,7 @@ def article_keywords(docs: DataFrame, key: str = "doc_id", text: str = "text") -
 
 def baskets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows ``(key, basket)``: which of the corpus's most frequent terms a document has, sorted. Documents without any have no row."""
-    n, terms = docs.count(), _terms(docs, key, text)
-    known = F.broadcast(vocabulary(terms, n, C.ASSOC_VOCABULARY).select("term"))
-    found = _each(terms, key, F.array_distinct("terms")).join(known, "term")
+    found, _ = _vocabulary_terms(docs, key, text, C.ASSOC_VOCABULARY)
     return found.groupBy(key).agg(F.array_sort(F.collect_set("term")).alias("basket"))
 
 

@@ -61,3 +61,32 @@ def test_candidates_go_to_the_kind_that_comes_first(spark):
     even = K.filter_candidates(docs.where("doc_id < 5"), "kind", "m", ["b", "a"])
     assert [tuple(r)[:3] for r in even.collect()] == [("b", "menu", "chrome"), ("b", "home", "需複查")]
     assert K.filter_candidates(docs.limit(0), "kind", "m", ["b"]).count() == 0
+
+
+def _all_terms(docs):
+    return K._each(K._terms(docs, "doc_id", "text"), "doc_id").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+
+
+def test_only_pairs_of_frequent_words_are_counted(spark, monkeypatch):
+    """The vocabulary equals that of all terms, and pairs with a rare word are not made; with too many words of one rank all terms are counted."""
+    rng = random.Random(8)
+    words = [f"{a}{b}" for a in "abcdeé漢" for b in "xyzw"]
+    texts = [(i // 2 if i < 20 else i, " ".join(rng.choices(words, [1 / (k + 1) for k in range(len(words))], k=rng.randrange(60)))) for i in range(80)] + [(None, "ax ax"), (99, None), (98, "")]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
+    n, terms = docs.count(), K._terms(docs, "doc_id", "text")
+    key = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    for size in (3, 20, 500):
+        known = K.frequent_words(docs, "text", n, size)
+        assert size == 500 or len(known) < len(words)
+        found, _ = K._vocabulary_terms(docs, "doc_id", "text", size)
+        vocabulary = K.vocabulary(terms, n, size)
+        want = _all_terms(docs).join(vocabulary, "term").select("doc_id", "term", "df", "tf")
+        assert key(found.groupBy("doc_id", "term", "df").agg(F.sum("tf").alias("tf"))) == key(want)
+        with monkeypatch.context() as m:
+            m.setattr(K, "FREQUENT", 2)
+            assert K.frequent_words(docs, "text", n, size) is None
+            found, _ = K._vocabulary_terms(docs, "doc_id", "text", size)
+            assert key(found.groupBy("doc_id", "term", "df").agg(F.sum("tf").alias("tf"))) == key(want)
+    coded = K.coded_terms(docs, "doc_id", "text", ["ax", "ay"]).where("doc_id is null").first()
+    assert (coded.codes, coded.tf) == ([0, 2], [2, 1])
+    assert K.top_keywords(docs.limit(0)).count() == 0

@@ -38,6 +38,21 @@ def term_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return _each(_terms(docs, key, text), key).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
+def term_totals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows ``(key, n_terms, n, last_term)``: distinct terms, all terms and the last one by name. Keys without terms have no row.
+
+    Where no key repeats, each row tells this by itself and no term is shuffled.
+    """
+    if docs.groupBy(key).count().where("count > 1").limit(1).count():
+        return term_counts(docs, key, text).groupBy(key).agg(F.count("*").alias("n_terms"), F.sum("tf").alias("n"), F.max("term").alias("last_term"))
+    each = F.transform(F.array(_cut(docs, text)), lambda w: F.get(F.transform(F.array(with_bigrams(w)), _totals), F.lit(0)))
+    return docs.select(F.col(key), F.get(each, F.lit(0)).alias("x")).where("x.n > 0").select(key, "x.*")
+
+
+def _totals(terms: Column) -> Column:
+    return F.struct(F.size(F.array_distinct(terms)).cast("bigint").alias("n_terms"), F.size(terms).cast("bigint").alias("n"), F.array_max(terms).alias("last_term"))
+
+
 def _term_frequencies(docs: DataFrame, by: list[str], terms: Column) -> DataFrame:
     """Rows ``(*by, term, df, tf)``: documents that have a term, and how often it stands in them.
 

@@ -90,3 +90,13 @@ def test_only_pairs_of_frequent_words_are_counted(spark, monkeypatch):
     coded = K.coded_terms(docs, "doc_id", "text", ["ax", "ay"]).where("doc_id is null").first()
     assert (coded.codes, coded.tf) == ([0, 2], [2, 1])
     assert K.top_keywords(docs.limit(0)).count() == 0
+
+
+def test_totals_of_terms_shuffle_nothing_unless_keys_repeat(spark):
+    docs = spark.createDataFrame([(1, "b a B a"), (2, None), (3, "x"), (None, "zu zu 1 ab"), (4, "")], "doc_id bigint, text string").withColumn("terms", F.lit("own"))
+    found = K.term_totals(docs)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    want = lambda d: sorted(map(tuple, K.term_counts(d).groupBy("doc_id").agg(F.count("*"), F.sum("tf"), F.max("term")).collect()), key=repr)
+    assert sorted(map(tuple, found.collect()), key=repr) == want(docs) == [(None, 4, 5, "zu zu")]
+    more = docs.union(docs.selectExpr("doc_id", "concat(text, ' new words') as text", "terms"))
+    assert sorted(map(tuple, K.term_totals(more).collect()), key=repr) == want(more) and len(want(more)) == 4

@@ -7,10 +7,17 @@ with the whole pattern. So the work grows with the texts and with what is found,
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
+from ..sources.texts import slices, utf8
 
 #: Characters of an anchor, and of a piece of text at least.
 GRAM, PIECE = 3, 64
@@ -79,12 +86,123 @@ def without_urls(text: Column) -> Column:
     return F.regexp_replace(text, r"(?i)https?://\S+|www\.\S+", " ")
 
 
+class Finder:
+    """Places of a list of patterns, distinct and not empty, in bytes of UTF-8: by a gram of up to four bytes, then by the whole pattern."""
+
+    def __init__(self, patterns: list[str]) -> None:
+        self.bytes = [p.encode() for p in patterns]
+        self.length = np.array([len(p) for p in self.bytes], np.int64)
+        self.tables = []
+        grams = [self._grams(np.frombuffer(p, np.uint8), min(len(p), 4)) for p in self.bytes]
+        shared = Counter((len(p) if len(p) < 4 else 4, int(g)) for p, own in zip(self.bytes, grams) for g in set(own.tolist()))
+        best = [min((shared[min(len(p), 4), int(g)], a, int(g)) for a, g in enumerate(own)) for p, own in zip(self.bytes, grams)]
+        for size in range(1, 5):
+            own = np.array([i for i, p in enumerate(self.bytes) if min(len(p), 4) == size], np.int64)
+            if len(own):
+                gram, at = np.array([best[i][2] for i in own], np.uint32), np.array([best[i][1] for i in own], np.int64)
+                order = np.argsort(gram, kind="stable")
+                marks = np.zeros(1 << 16, bool)
+                marks[self._mark(gram)] = True
+                self.tables.append((size, marks, gram[order], own[order], at[order]))
+
+    @staticmethod
+    def _mark(gram: np.ndarray) -> np.ndarray:
+        return (gram * np.uint32(0x9E3779B1)) >> np.uint32(16)
+
+    @staticmethod
+    def _grams(data: np.ndarray, size: int) -> np.ndarray:
+        n = max(len(data) - size + 1, 0)
+        out = np.zeros(n, np.uint32)
+        for k in range(size):
+            out |= data[k : k + n].astype(np.uint32) << np.uint32(8 * k)
+        return out
+
+    def places(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(begin, pattern)`` of all places in texts that stand one behind the other; none reaches over the end of a text."""
+        begins, which = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for size, marks, gram, own, at in self.tables:
+            grams = self._grams(data, size)
+            hit = np.flatnonzero(marks[self._mark(grams)])
+            lo, hi = np.searchsorted(gram, grams[hit], "left"), np.searchsorted(gram, grams[hit], "right")
+            hit, lo, n = hit[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+            entry = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+            begin, p = np.repeat(hit, n) - at[entry], own[entry]
+            fits = (begin >= 0) & (begin + self.length[p] <= len(data))
+            begin, p = begin[fits], p[fits]
+            text = np.searchsorted(offsets, begin, "right")
+            fits = begin + self.length[p] <= offsets[np.minimum(text, len(offsets) - 1)]
+            begin, p = begin[fits], p[fits]
+            order = np.argsort(p, kind="stable")
+            begin, p = begin[order], p[order]
+            ends = np.flatnonzero(np.diff(p)) + 1
+            for b in np.split(begin, ends) if len(p) else []:
+                i = p[0]
+                p = p[len(b) :]
+                for k, x in enumerate(self.bytes[i]):
+                    b = b[data[b + k] == x]
+                begins.append(b)
+                which.append(np.full(len(b), i))
+        return np.concatenate(begins), np.concatenate(which)
+
+
+def _rewritten(data: np.ndarray, offsets: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts and their offsets with a space in place of spans: from the left, and of those that begin together the longest."""
+    order = np.lexsort((-end, begin))
+    begin, end = begin[order], end[order]
+    first = np.append(True, begin[1:] > begin[:-1]) if len(begin) else np.zeros(0, bool)
+    begin, end = begin[first], end[first]
+    following, taken, i = np.searchsorted(begin, end).tolist(), [], 0
+    while i < len(following):
+        taken.append(i)
+        i = following[i]
+    begin, end = begin[taken], end[taken]
+    change = np.zeros(len(data) + 1, np.int32)
+    np.add.at(change, begin + 1, 1)
+    np.add.at(change, end, -1)
+    kept = np.cumsum(change[:-1]) == 0
+    data = data.copy()
+    data[begin] = 32
+    return data[kept], np.append(0, np.cumsum(kept))[offsets]
+
+
 def stripped(docs: DataFrame, key: str, text: Column, scope: Column, terms: DataFrame) -> DataFrame:
     """Rows ``(key, text, n_terms)``: each text with a space in place of the terms of its scope and of the scope ``ALL_SCOPE``.
 
     From the left the longest term goes first, so the result does not hang on the order of the terms. ``n_terms`` says how many distinct terms
-    the text holds. Only texts that hold any are rewritten, with these terms alone. A null text is an empty one. ``key`` must tell the rows apart.
+    the text holds. A null text is an empty one. Up to ``BROADCAST_ROWS`` terms go to the tasks, each of which finds all of them in some texts at once, and
+    no text is shuffled. With more of them ``key`` must tell the rows apart.
     """
+    known = terms.where("term is not null and term <> '' and scope is not null").select("scope", "term").distinct().limit(BROADCAST_ROWS + 1).toArrow()
+    if len(known) > BROADCAST_ROWS:
+        return _stripped_by_joins(docs, key, text, scope, terms)
+    patterns = sorted(set(known["term"].to_pylist()))
+    number, scopes = {p: i for i, p in enumerate(patterns)}, sorted(set(known["scope"].to_pylist()) - {C.ALL_SCOPE})
+    held = np.zeros((len(scopes) + 1, len(patterns)), bool)
+    for s, t in zip(known["scope"].to_pylist(), known["term"].to_pylist()):
+        held[scopes.index(s) if s != C.ALL_SCOPE else slice(None), number[t]] = True
+    shared = docs.sparkSession.sparkContext.broadcast((Finder(patterns), scopes, held))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder, scopes, held = shared.value
+        for b in slices(batches, "text"):
+            data, offsets = utf8(b["text"])
+            begin, p = finder.places(data, offsets)
+            own = np.asarray(pa.compute.index_in(b["scope"], value_set=pa.array(scopes, pa.string()), skip_nulls=True).fill_null(len(scopes)), np.int64)
+            row = np.searchsorted(offsets, begin, "right") - 1
+            fits = held[own[row], p]
+            begin, p, row = begin[fits], p[fits], row[fits]
+            n = np.bincount(np.unique(row * max(len(held[0]), 1) + p) // max(len(held[0]), 1), minlength=b.num_rows)
+            data, offsets = _rewritten(data, offsets, begin, begin + finder.length[p])
+            new = pa.LargeStringArray.from_buffers(b.num_rows, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([b["key"], new, pa.array(n, pa.int64())], names=["key", "text", "n_terms"])
+
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"), scope.cast("string").alias("scope"))
+    kind = docs.schema[key].dataType.simpleString()
+    return rows.mapInArrow(run, f"key {kind}, text string, n_terms bigint").withColumnRenamed("key", key)
+
+
+def _stripped_by_joins(docs: DataFrame, key: str, text: Column, scope: Column, terms: DataFrame) -> DataFrame:
+    """The same with any number of terms. Only texts that hold any are rewritten, with these terms alone."""
     d = docs.select(F.col(key), F.coalesce(text, F.lit("")).alias("_text"), scope.alias("_scope"))
     held = occurrences(d, key, "_text", terms, "term").select(key, F.col("pattern").alias("term")).distinct()
     held = held.join(d.select(key, "_scope"), key).join(terms, "term").where((F.col("scope") == F.col("_scope")) | (F.col("scope") == C.ALL_SCOPE)).select(key, "term").distinct()

@@ -58,3 +58,15 @@ def test_stripped_terms_equal_brute_force(spark):
         assert got[i] == (re.sub("|".join(map(re.escape, own)), " ", t or "") if own else t or "", len(own))
     keep = spark.createDataFrame([(terms[0][1],)], "term string")
     assert {r.term for r in M.scoped_terms(spark.createDataFrame(terms, "scope string, term string"), keep).collect()} == {w for _, w in terms} - {terms[0][1]}
+
+
+def test_stripping_shuffles_no_text_and_equals_the_joins(spark):
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("ab.é漢😀") for _ in range(n))
+    terms = spark.createDataFrame([(rng.choice(["x", "y", M.C.ALL_SCOPE, None]), word(rng.randrange(0, 7))) for _ in range(80)] + [("x", None)], "scope string, term string")
+    docs = spark.createDataFrame([(i, word(rng.randrange(200)), rng.choice(["x", "y", "z", M.C.ALL_SCOPE, None])) for i in range(80)] + [(80, None, "x"), (81, "", None)], "id bigint, t string, s string").repartition(3)
+    found = M.stripped(docs, "id", F.col("t"), F.col("s"), terms)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(found) == key(M._stripped_by_joins(docs, "id", F.col("t"), F.col("s"), terms))
+    assert key(M.stripped(docs, "id", F.col("t"), F.col("s"), terms.limit(0))) == key(docs.selectExpr("id", "coalesce(t, '') t", "0L"))

@@ -1,4 +1,7 @@
+import pyarrow as pa
+
 from millrace.operators import pages as P
+from millrace.sources import dom
 from millrace.sources.dom import parsed
 
 PARAGRAPH = "<p>這是一段正文，內容足夠長，可以用來計算段落的品質。這裡還有更多的字，讓它更長一些。"
@@ -34,3 +37,13 @@ def test_cjk_counts_and_banners_do_not(spark):
     assert sorted(r[10] for r in parsed(page) if r[1] == "div") == [0, 0, 400]
     got = P.main_text(spark.createDataFrame([(1, page), (1, page)], "page_id bigint, html string")).collect()
     assert len(got) == 1 and "cookies" not in got[0].text
+
+
+def test_pages_are_read_in_pieces(spark):
+    """What a task's Python makes of one batch of many pages comes in parts of bounded size."""
+    page = "<article>" + "<p class='a b'>text</p>" * 99 + "</article>"
+    batch = pa.RecordBatch.from_pydict({"k": list(range(1000)), "h": [page, None] * 500})
+    parts = [*dom.by_pieces(lambda k, h: [(k, i, None) for i in range(100)], "k bigint, node int, text string")(iter([batch]))]
+    assert sum(p.num_rows for p in parts) == 100_000 and max(p.num_rows for p in parts) < dom.ROWS + 100
+    long = pa.RecordBatch.from_pydict({"k": [1, 2, 3], "h": ["x" * dom.PIECE, "y", "z"]})
+    assert [p.num_rows for p in dom.by_pieces(lambda k, h: [(k,)], "k bigint")(iter([long]))] == [1, 2]

@@ -120,3 +120,14 @@ def test_queries_of_pages(spark):
     assert {k: v for k, v in found.items() if k[0] in some} == want
     assert P.page_css_paths(spark, d).count() == sum(r[4] in ("p", "div", "article", "section", "main", "ul") for own in rows.values() for r in own)
     assert P.page_selected_text(spark, d).count() > 0
+
+
+def test_a_text_is_cleaned_once(spark):
+    from millrace.operators import selectors as S
+    from millrace.sources.nodes import nodes
+
+    pages = spark.createDataFrame([(1, "<article>" + "<p>Some text of a page, long enough.</p>" * 20 + "</article>")], "page_id bigint, html string")
+    wanted = spark.createDataFrame([(1, i, s) for i, s in enumerate(["article p", "article", "body > article"])], "page_id bigint, ord int, selector string")
+    found = S.selected_texts(pages, nodes(pages), wanted, S.steps(spark, ["article p", "article", "body > article"]))
+    assert [(r.selector, r.node) for r in found.collect()] == [("article", 0)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("substring(") == 1

@@ -7,7 +7,6 @@ whether the watermark or the next event brings it.
 
 from __future__ import annotations
 
-import datetime as dt
 import json
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -18,7 +17,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-EPOCH = dt.datetime(1970, 1, 1)
 #: What a fold tells: time in microseconds, the event's id or None, and the result.
 Told = tuple[int, int | None, str]
 
@@ -160,7 +158,7 @@ def follow(events: DataFrame, key: str, at: str, event: str, value: Column, fold
     Events without a time or key are left out, and so are those that come later than ``delay`` behind the latest. A key keeps its events of the
     last ``delay`` and its state; nothing else is kept.
     """
-    rows = events.select(F.col(key).alias("key"), F.col(at).cast("timestamp").alias("at"), F.col(event).cast("long").alias("event"), value.cast("string").alias("value"))
+    rows = events.select(F.col(key).alias("key"), F.col(at).cast("timestamp").alias("at"), F.col(event).cast("long").alias("event"), value.cast("string").alias("value"), F.unix_micros(F.col(at).cast("timestamp")).alias("us"))
     rows = rows.where("key is not null and at is not null and event is not null").withWatermark("at", delay)
     kind = rows.schema["key"].dataType.simpleString()
 
@@ -168,8 +166,8 @@ def follow(events: DataFrame, key: str, at: str, event: str, value: Column, fold
         waiting, state = (json.loads(x) for x in kept.get) if kept.exists else ([], {})
         until = max(kept.getCurrentWatermarkMs(), 0) * 1000
         for f in frames:
-            times = (f["at"].astype("datetime64[us]") - EPOCH) // dt.timedelta(microseconds=1)
-            waiting += [[int(t), int(e), None if v is None else str(v)] for t, e, v in zip(times, f["event"], f["value"])]
+            values = (v if isinstance(v, str) else None for v in f["value"])
+            waiting += map(list, zip(f["us"].tolist(), f["event"].tolist(), values))
         out, waiting = advance(fold, waiting, state, until)
         if not waiting and not state:
             if kept.exists:
@@ -180,8 +178,9 @@ def follow(events: DataFrame, key: str, at: str, event: str, value: Column, fold
             if times:
                 kept.setTimeoutTimestamp(max(min(times) // 1000 + 1, until // 1000 + 1))
         if out:
-            when = pd.to_datetime([a for a, _, _ in out], unit="us")
-            yield pd.DataFrame({"key": [own[0]] * len(out), "at": when, "event": pd.array([e for _, e, _ in out], dtype="Int64"), "told": [t for _, _, t in out]})
+            at, event, result = zip(*out)
+            yield pd.DataFrame({"key": [own[0]] * len(out), "at": at, "event": pd.Series(event, dtype="object"), "told": result})
 
-    told = rows.groupBy("key").applyInPandasWithState(run, f"key {kind}, at timestamp, event long, told string", "waiting string, state string", "append", GroupStateTimeout.EventTimeTimeout)
+    told = rows.groupBy("key").applyInPandasWithState(run, f"key {kind}, at bigint, event long, told string", "waiting string, state string", "append", GroupStateTimeout.EventTimeTimeout)
+    told = told.withColumn("at", F.timestamp_micros("at"))
     return told.withColumnRenamed("key", key)

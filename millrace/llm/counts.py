@@ -58,7 +58,9 @@ def cell_counts(rows: DataFrame, items: Callable[[Iterator[pa.RecordBatch]], Ite
     tables = rows.mapInArrow(count, schema)
     for _ in range(LEVELS):
         tables = tables.groupBy("part", "salt").applyInArrow(add, schema)
-    out = np.zeros((PARTS, width), np.uint64)
+    # The driver holds one table of the ``wide`` kind and what it collects of it.
+    out = np.zeros((PARTS, width), wide)
     for row in tables.select("part", "cells").collect():
-        out[row.part] += np.frombuffer(row.cells, wide)
+        own = np.frombuffer(row.cells, wide)
+        out[row.part] += np.minimum(own, top - out[row.part])
     return out.ravel()

@@ -57,7 +57,7 @@ def shingle_counts(docs: DataFrame, text: str, k: int) -> np.ndarray:
             runs, _ = W.shingles(W.words(batch[text], W.NOT_SPACE), k)
             yield runs & np.uint64(CELLS - 1)
 
-    return cell_counts(docs.select(text), cells, CELLS, "uint8", "uint16").astype(np.uint16)
+    return cell_counts(docs.select(text), cells, CELLS, "uint8", "uint16")
 
 
 def signatures(docs: DataFrame, key: str, text: str, k: int, percent: int, counts: np.ndarray) -> DataFrame:

@@ -783,3 +783,15 @@ def test_forests_merge_in_any_order(arity):
         path, top = whole.climb((t, 0, i), {})
         assert fold(digest, path, t, i, n, len(sizes), arity) in roots and top == (-1, height(len(sizes), arity), 0)
     assert node([b"a"]) != b"a"
+
+
+def test_tables_of_counts_come_in_their_narrow_kind(spark, monkeypatch):
+    """The driver holds no table of four times the size, and sums of groups stop at the largest number."""
+    from millrace.llm import counts
+
+    rows = spark.range(0, 600, 1, 6)
+    each = lambda batches: (np.zeros(b.num_rows * 300, np.uint32) + (b["id"][0].as_py() > 299) for b in batches)
+    found = counts.cell_counts(rows, each, 128, "uint16", "uint16")
+    assert found.dtype == np.uint16 and found.nbytes == 256 and found[:3].tolist() == [65535, 65535, 0]
+    monkeypatch.setattr(counts, "FAN", 1)
+    assert counts.cell_counts(rows, each, 128, "uint16", "uint16")[:3].tolist() == [65535, 65535, 0]

@@ -28,14 +28,14 @@ from .scratch import Scratch
 
 #: Cells of the table of shingle counts that orders shingles by rarity.
 CELLS = 1 << 23
-#: Coordinates of a point.
-GROUPS = 128
+#: Coordinates of a point, and the largest count that one holds, in a byte. What is beyond it is summed up beside the point.
+GROUPS, MOST = 128, 127
 #: Rounds of comparing each document with the smallest one that it shares a prefix shingle with.
 ROUNDS = 2
 #: Rows of one shingle that one search has in its tree, and as many that it searches for; a shingle with more is dealt over several.
 INDEX_ROWS = 4096
-#: Rows of one search task.
-TASK_ROWS = 100_000
+#: Rows of one group of a search, on the average: some MB of Arrow, of which a worker holds a few copies.
+TASK_ROWS = 16_384
 #: Bits of the map of documents whose sets are verified: 2 MB at any size of the corpus.
 MAP_BITS = 1 << 24
 
@@ -61,25 +61,26 @@ def shingle_counts(docs: DataFrame, text: str, k: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, key: str, text: str, k: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """One row per document: size of its set, two hashes of the set, its point and its prefix."""
+    """One row per document: size of its set, two hashes of the set, its point, how many members its point does not count, and its prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
-    schema = f"id {docs.schema[key].dataType.simpleString()}, n int, h1 bigint, h2 bigint, point array<int>, prefix array<bigint>"
+    schema = f"id {docs.schema[key].dataType.simpleString()}, n int, h1 bigint, h2 bigint, point array<tinyint>, more int, prefix array<bigint>"
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = shared.value
         for batch in W.slices(batches, text):
-            n, h1, h2, points, prefix = [], [], [], [], []
+            n, h1, h2, points, more, prefix = [], [], [], [], [], []
             for own in _sets(batch, text, k):
                 n.append(len(own))
                 mixed = W.mix(own)
                 h1.append(mixed.sum(dtype=np.uint64).astype(np.int64))
                 h2.append(np.bitwise_xor.reduce(W.mix(mixed + np.uint64(1)), initial=np.uint64(0)).astype(np.int64))
-                points.append(np.bincount((own >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.int32))
+                points.append(np.minimum(np.bincount((own >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS), MOST).astype(np.int8))
+                more.append(len(own) - points[-1].sum())
                 order = np.lexsort((own, rarity[(own & np.uint64(CELLS - 1)).astype(np.int64)]))
                 prefix.append(own[order[: len(own) - -(-percent * len(own) // 100) + (len(own) > 0)]].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch[key], pa.array(n, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), _lists(points, pa.int32()), _lists(prefix, pa.int64())],
-                names=["id", "n", "h1", "h2", "point", "prefix"],
+                [batch[key], pa.array(n, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), _lists(points, pa.int8()), pa.array(more, pa.int32()), _lists(prefix, pa.int64())],
+                names=["id", "n", "h1", "h2", "point", "more", "prefix"],
             )
 
     return docs.select(key, text).mapInArrow(sign, schema)
@@ -102,9 +103,9 @@ def _search(percent: int):
                 i, j = np.searchsorted(p["s"], [q["s"][lo], q["s"][lo] + 1]) if q["s"][lo] < np.iinfo(np.int64).max else (np.searchsorted(p["s"], q["s"][lo]), len(p["s"]))
                 if i == j:
                     continue
-                tree = RTree(q["point"][lo:hi], q["n"][lo:hi])
+                tree = RTree(q["point"][lo:hi], q["more"][lo:hi], q["n"][lo:hi])
                 for x in range(i, j):
-                    found = lo + tree.search(p["point"][x], p["n"][x], percent)
+                    found = lo + tree.search(p["point"][x], p["more"][x], p["n"][x], percent)
                     found = found[q["c"][found] != p["c"][x]]
                     # If this is the first shingle that both have, what follows it must suffice.
                     left = np.minimum(q["n"][found] - q["pos"][found], p["n"][x] - p["pos"][x])
@@ -120,7 +121,7 @@ def _search(percent: int):
 
 def _columns(table: pa.Table) -> dict[str, np.ndarray]:
     table = table.sort_by("s")
-    out = {k: table[k].to_numpy() for k in ("s", "id", "n", "c", "pos")}
+    out = {k: table[k].to_numpy() for k in ("s", "id", "n", "c", "pos", "more")}
     return out | {"point": np.asarray(table["point"].combine_chunks().flatten()).reshape(-1, GROUPS)}
 
 
@@ -202,7 +203,7 @@ def _similar(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFra
     counts = shingle_counts(docs, "text", k)
     signed = scratch.table(signatures(docs, "id", "text", k, percent, counts), "signed")
     classes = scratch.table(signed.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep")), "classes")
-    reps = scratch.table(signed.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", "point", "prefix"), "reps")
+    reps = scratch.table(signed.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", "point", "more", "prefix"), "reps")
     sized = scratch.table(signed.select("id", "n", "h1", "h2"), "sized")
     scratch.drop(signed)
 
@@ -210,11 +211,11 @@ def _similar(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFra
     rows = reps.select(F.posexplode("prefix").alias("pos", "s"), "id").repartition("s")
     shared = rows.groupBy("s").agg(F.count("*").alias("rows"), F.min("id").alias("leader")).where("rows > 1")
     rows = scratch.table(rows.join(shared, "s"), "rows")
-    points = reps.select("id", "n", "point")
+    points = reps.select("id", "n", "point", "more")
 
     def bounded(pairs: DataFrame) -> DataFrame:
-        x, y = (points.select(F.col("id").alias(v), F.col("n").alias(f"n_{v}"), F.col("point").alias(f"p_{v}")) for v in "ab")
-        low = F.aggregate(F.zip_with("p_a", "p_b", lambda u, v: F.least(u, v)), F.lit(0), lambda t, v: t + v)
+        x, y = (points.select(F.col("id").alias(v), F.col("n").alias(f"n_{v}"), F.col("point").alias(f"p_{v}"), F.col("more").alias(f"m_{v}")) for v in "ab")
+        low = F.aggregate(F.zip_with("p_a", "p_b", lambda u, v: F.least(u, v)), F.least("m_a", "m_b"), lambda t, v: t + v)
         return pairs.join(x, "a").join(y, "b").where(low * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
     def labelled(label: DataFrame) -> DataFrame:
@@ -238,11 +239,11 @@ def _similar(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFra
     # Both the rows of a hot shingle and what is searched for among them are dealt over salts, and meet in a grid.
     salts = lambda n: F.ceil(F.col(n) / INDEX_ROWS).cast("int")
     found = found.join(open_, "s").join(points, "id").withColumns({"tall": salts("rows"), "wide": salts("n_apart")})
-    found = scratch.table(found.select("s", "id", "pos", "c", "n", "point", "apart", "tall", "wide"), "open")
+    found = scratch.table(found.select("s", "id", "pos", "c", "n", "point", "more", "apart", "tall", "wide"), "open")
     copies = found.agg(F.sum(F.col("wide") + F.when(F.col("apart"), F.col("tall")).otherwise(0))).first()[0] or 0
     tasks = max(1, copies // TASK_ROWS)
     cell = F.xxhash64("s", "i", "j")
-    columns = [F.pmod(cell, F.lit(tasks)).alias("task"), cell.alias("s"), "id", "pos", "c", "n", "point"]
+    columns = [F.pmod(cell, F.lit(tasks)).alias("task"), cell.alias("s"), "id", "pos", "c", "n", "point", "more"]
     dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     index = found.withColumn("i", dealt("tall")).withColumn("j", every("wide")).select(columns)

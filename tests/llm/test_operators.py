@@ -420,6 +420,21 @@ def test_components_where_every_shingle_is_hot(spark, monkeypatch):
     assert got == brute.components(rows)
 
 
+def test_points_are_small_and_bound_large_overlaps(spark):
+    """A group of a search holds some MB; counts that a byte cannot hold still bound the overlap."""
+    one, two = ([f"w{i}" for i in range(lo, lo + 40_000)] for lo in (0, 2_000))
+    docs = spark.createDataFrame([(1, " ".join(one)), (2, " ".join(two))], "id bigint, text string")
+    a, b = signed = jaccard.signatures(docs, "id", "text", 5, 80, jaccard.shingle_counts(docs, "text", 5)).orderBy("id").collect()
+    assert all(max(r.point) == jaccard.MOST and sum(r.point) + r.more == r.n for r in signed)
+    points, more, n = (np.array([r[k] for r in signed]) for k in ("point", "more", "n"))
+    assert 1 in jaccard.RTree(points.astype(np.int8), more, n).search(points[0].astype(np.int8), a.more, a.n, 80)
+    rows = pa.table({"s": [3], "id": [1], "n": [a.n], "c": [1], "pos": [0], "more": [a.more], "point": pa.array([a.point], pa.list_(pa.int8()))})
+    assert rows.nbytes * jaccard.TASK_ROWS < 4e6
+    pairs = jaccard._search(80)(rows, rows.set_column(1, "id", pa.array([2])).set_column(3, "c", pa.array([2])))
+    assert pairs.to_pylist() == [{"a": 1, "b": 2}]
+    assert {r.component_id for r in similar_documents(docs, "id").collect()} == {1}
+
+
 # 7: url filters
 
 

@@ -65,15 +65,16 @@ class MergedTable:
         if number <= last:
             return
         bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
-        new = batch.select(*self._empty().columns).withColumn("_bucket", bucket).persist()
+        values = F.struct(*self.merge)
+        new = batch.select(bucket.alias("_bucket"), *self.keys, values.alias("_new")).repartition(self.buckets, "_bucket").persist()
         touched = [r[0] for r in new.select("_bucket").distinct().collect()]
-        old = self._read(versions, touched)
-        same = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in self.keys]
-        both = old.withColumn("_old", F.lit(True)).alias("o").join(new.withColumn("_new", F.lit(True)).alias("n"), same, "full")
-        keys = [F.when(F.col("_new"), F.col(f"n.{k}")).otherwise(F.col(f"o.{k}")).alias(k) for k in self.keys]
-        merged = both.select(*keys, *[f(F.col(f"o.{c}"), F.col(f"n.{c}")).alias(c) for c, f in self.merge.items()])
+        old = self._read(versions, touched).select(bucket.alias("_bucket"), *self.keys, values.alias("_old"))
+        # One shuffle by bucket serves the grouping and the writing, so a bucket is one file, however many tasks there are.
+        both = old.unionByName(new, allowMissingColumns=True).repartition(self.buckets, "_bucket").groupBy("_bucket", *self.keys)
+        both = both.agg(*[F.first(x, ignorenulls=True).alias(x) for x in ("_old", "_new")])
+        merged = both.select("_bucket", *self.keys, *[f(F.col(f"_old.{c}"), F.col(f"_new.{c}")).alias(c) for c, f in self.merge.items()])
         # What a failed attempt left here is overwritten.
-        merged.withColumn("_bucket", bucket).write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.folder}/batch-{number}")
+        merged.write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.folder}/batch-{number}")
         commit = self.spark.createDataFrame([(number, versions | {b: number for b in touched})], "batch long, versions map<int,long>")
         commit.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/commits/{number:019d}")
         new.unpersist()

@@ -91,6 +91,18 @@ def test_merged_table_reads_only_the_buckets_of_a_batch(spark, tmp_path):
     assert {r.k: r.n for r in t.read().collect()} == {i: i + 100 * (i == 7) for i in range(200)}
 
 
+def test_a_bucket_of_a_merged_table_is_one_file(spark, tmp_path):
+    """However many tasks a batch has, a bucket that it touches is written as one file, so later batches read few files."""
+    t = MergedTable(spark, f"file://{tmp_path}/t", "n int, o int, v int", ["n"], {"o": patched, "v": newest}, 4)
+    coalesced = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesced, "false")
+    for number in range(2):
+        t.put(spark.range(0, 4000, 1, 16).select(F.col("id").cast("int").alias("n"), F.lit(None).cast("int").alias("o"), F.lit(number).alias("v")), number)
+    spark.conf.unset(coalesced)
+    assert all(len(list(tmp_path.glob(f"t/batch-{b}/_bucket={k}/part-*"))) == 1 for b in range(2) for k in range(4))
+    assert [tuple(r) for r in t.read().groupBy("o", "v").count().collect()] == [(None, 1, 4000)]
+
+
 def test_late_results_do_not_overwrite_an_end():
     said = ["unavailable", "running", "running", "unavailable", "odd", None, "pending", "not_found", "completed", "running"]
     told, _ = advance(StatusMachine(), [(i, i, v) for i, v in enumerate(said)], {}, DAY)
